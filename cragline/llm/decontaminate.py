@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, flat, pieces, ragged, run_hash, span_hash, spans
 
 BLOCK = 100_000
+FINAL = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
 
 
 def words(text: pa.Array):
@@ -109,7 +110,7 @@ def _match(t: dict, h: np.ndarray, d: np.ndarray, first: np.ndarray):
     return begin, win
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = BLOCK, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The kept columns (doc_id by default) with n_words, n_hit, n_items, items_sha256 and contaminated."""
     keep = keep or ["doc_id"]
     all_windows = windows(benchmark, size).toArrow() if (total := windows(benchmark, size).count()) <= block else None
@@ -119,15 +120,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = BLO
     for k in range(blocks):
         part = all_windows if all_windows is not None else windows(benchmark, size).filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toArrow()
         table = _table(docs, part) if part.num_rows else None
-        rows = _pass(rows, table, keep if k == blocks - 1 else list(kinds), kinds, k == 0, k == blocks - 1)
+        rows = _pass(rows, table, keep if k == blocks - 1 else list(kinds), kinds, k == 0, k == blocks - 1, prefix)
     return rows
 
 
-def _pass(rows: DataFrame, table: dict | None, keep: list[str], kinds: dict, head: bool, tail: bool) -> DataFrame:
+def _pass(rows: DataFrame, table: dict | None, keep: list[str], kinds: dict, head: bool, tail: bool, prefix: str) -> DataFrame:
     """One block's hits, or-ed into those of the blocks before."""
     ship = rows.sparkSession.sparkContext.broadcast(table)
     carry = "_hits binary, _items array<string>"
-    final = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    final = ", ".join(f"`{prefix}{c}` {kind}" for c, kind in FINAL.items())
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + (final if tail else carry)
 
     def run(batches):
@@ -150,7 +151,7 @@ def _pass(rows: DataFrame, table: dict | None, keep: list[str], kinds: dict, hea
                 n_hit = np.diff(np.r_[0, np.cumsum(hit)][first])
                 out += [pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64())]
                 out += [pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()), pa.array(n_hit > 0)]
-                names = [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+                names = [*keep, *(prefix + c for c in FINAL)]
             else:
                 out += [pa.array([np.packbits(hit[a:z]).tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                 names = [*keep, "_hits", "_items"]

@@ -111,13 +111,13 @@ def mixture(ll: np.ndarray, words: np.ndarray, letters: np.ndarray, rounds: int,
     return best, size
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, rounds: int = 8, penalty: float = 2.0) -> DataFrame:
-    """Adds lang_pred, score and n_langs to the kept columns of docs (doc_id by default); rows by whole texts."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, rounds: int = 8, penalty: float = 2.0, prefix: str = "") -> DataFrame:
+    """Adds lang_pred, score and n_langs, with a prefix, to the kept columns of docs (doc_id by default)."""
     names, table = model
     keep = keep or ["doc_id"]
     ship = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", lang_pred string, score double, n_langs int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + f", `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}n_langs` int"
 
     def run(batches):
         ll = ship.value
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
                         pred[t], score[t], size[t] = -1, 0, 0
             label = np.array([*names, "und"], object)[pred]
             out = [b.column(c) for c in keep] + [pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(size)]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score", "n_langs"])
+            yield pa.RecordBatch.from_arrays(out, names=[*keep, *(prefix + x for x in ("lang_pred", "score", "n_langs"))])
 
     return rows.mapInArrow(run, schema)
 

@@ -4,12 +4,13 @@ A byte goes if a `LENGTH`-byte string that covers it also starts in a document w
 
 Plan. Every 50-byte string holds one or more anchors (20-byte strings of locally least hash), so equal strings hold
 equal anchors. (1) Slices send their distinct anchors to buckets, which answer which of them occur in two documents or
-slices. (2) Around such anchors a slice cuts units: the bytes of up to eight neighbouring windows, keyed by the bytes
-that all of them share, equal units once with their smallest doc_id. (3) A bucket puts all distinct units of a key into
-one text and sorts its suffixes by linear grouping (gsaca.py); neighbours in the suffix array that agree in 50 bytes are
-one string and get its smallest doc_id. A unit that is alone in its key holds every string once and needs no sorting.
+slices. (2) A slice cuts the regions of all windows around such anchors and sends them to the anchors' buckets, equal
+regions once with their smallest doc_id. (3) A bucket parts regions into units of up to eight neighbouring windows,
+keyed by the bytes that all of them share, puts all distinct units of a key into one text and sorts its suffixes by
+linear grouping (gsaca.py); neighbours in the suffix array that agree in 50 bytes are one string and get its smallest
+doc_id. A unit that is alone in its key holds every string once and needs no sorting.
 (4) Slices get the smallest doc_id of each of their windows and cut their texts. What travels for a string that occurs
-in very many documents is one unit a slice.
+in very many documents is one region a slice.
 
 Defined results: null texts are empty; rows with a null doc_id lose nothing and take nothing from others; rows of one
 repeated id lose nothing to each other. kept_text drops bytes of characters that were cut in part.
@@ -81,35 +82,51 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(pos), np.concatenate(out)) if pos else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def units(raw, offs, pos):
-    """(first window, windows, key) of the units around the anchors at pos."""
-    doc = np.searchsorted(offs, pos, "right") - 1
-    lo, hi = offs[doc], offs[doc + 1] - LENGTH
-    first, count, key = [], [], []
+def _prefix_hash(raw: np.ndarray):
+    """A function of starts and ends that hashes those spans of raw."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    ones = np.full(len(raw) + 1, base, np.uint64)
+    ones[0] = 1
+    power = np.cumprod(ones, dtype=np.uint64)
+    ones[1:] = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    inverse = np.cumprod(ones, dtype=np.uint64)
     acc = np.zeros(len(raw) + 1, np.uint64)
-    power = np.full(len(raw), 0x9E3779B97F4A7C15, np.uint64)
-    if len(raw):
-        power[0] = 1
-        power = np.cumprod(power, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=acc[1:])
-    inv = np.cumprod(np.r_[np.uint64(1), np.full(max(0, len(raw)), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-    sub = lambda s, e: mix((acc[e] - acc[s]) * inv[s])
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=acc[1:])
+    return lambda s, e: mix((acc[e] - acc[s]) * inverse[s])
+
+
+def regions(offs: np.ndarray, pos: np.ndarray):
+    """(first window, windows, windows that are missing before the first) around the anchors at pos."""
+    doc = np.searchsorted(offs, pos, "right") - 1
+    first = np.maximum(pos - (SPAN - 1), offs[doc])
+    last = np.minimum(pos, offs[doc + 1] - LENGTH)
+    return first, last - first + 1, first - (pos - (SPAN - 1))
+
+
+def units(data: np.ndarray, begin: np.ndarray, count: np.ndarray, shift: np.ndarray):
+    """(region, first window's place in data, windows, its place in the unit, key, content hash, first window of the
+    unit's range) of the units of regions that begin at `begin` in data."""
+    span = _prefix_hash(data)
+    out = []
     for j0 in range(0, SPAN, RANGE):
         j1 = min(j0 + RANGE, SPAN)
-        a = np.maximum(pos - (SPAN - 1) + j0, lo)
-        b = np.minimum(pos - (SPAN - 1) + j1 - 1, hi)
-        ok = a <= b
-        p, a, b = pos[ok], a[ok], b[ok]
-        first.append(a)
-        count.append(b - a + 1)
-        key.append(sub(p - (SPAN - 1) + j1 - 1, p - (SPAN - 1) + j0 + LENGTH) + np.uint64(j0))
-        # windows missing at a text's start shift the unit against its key
-        shift = a - (p - (SPAN - 1) + j0)
-        count[-1] = count[-1] | (shift << 8)
-    first, count, key = map(np.concatenate, (first, count, key))
-    shift, count = count >> 8, count & 255
-    same = sub(first, first + count + LENGTH - 1) * np.uint64(31) + (shift * 16 + count).astype(np.uint64)
-    return first, count, shift, key, same
+        a, b = np.maximum(shift, j0), np.minimum(shift + count, j1)
+        r = np.flatnonzero(a < b)
+        at, n, sub = (begin - shift + a)[r], (b - a)[r], (a - j0)[r]
+        core = (begin - shift)[r] + j1 - 1
+        key = span(core, core + LENGTH - (j1 - 1 - j0)) + np.uint64(j0)
+        same = span(at, at + n + LENGTH - 1) * np.uint64(31) + (sub * 16 + n).astype(np.uint64)
+        out.append((r, at, n, sub, key, same, np.full(len(r), j0)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers by byte planes, which compress well if neighbours are close."""
+    return squeeze(a.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(widen(b, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def _classes(text: list[bytes], shift: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -197,53 +214,58 @@ def dedup(docs: DataFrame, with_text: bool = False, slice_bytes: int = SLICE_BYT
         (row,) = left.to_pylist()
         ids, _, offs, raw, pos, h = parts(row)
         keys = [np.cumsum(widen(x, np.uint64), dtype=np.uint64) for x in right["a"].to_pylist()]
-        pos = pos[np.isin(h, np.concatenate(keys))] if keys else pos[:0]
+        live = np.isin(h, np.concatenate(keys)) if keys else np.zeros(len(h), bool)
+        pos = pos[live]
         if not len(pos):
             return pa.Table.from_pylist([], _SCHEMA)
-        first, count, shift, key, same = units(raw, offs, pos)
+        h = h[live]
+        first, count, shift = regions(offs, pos)
         doc = ids[np.searchsorted(offs, first, "right") - 1]
-        # equal units once, by bucket and key
-        bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-        o = np.lexsort((doc, same, key, bucket))
+        same = _prefix_hash(raw)(first, first + count + LENGTH - 1) * np.uint64(31) + shift.astype(np.uint64)
+        # equal regions once, by bucket and anchor
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        o = np.lexsort((doc, same, h, bucket))
         new = np.ones(len(o), bool)
-        new[1:] = (same[o][1:] != same[o][:-1]) | (key[o][1:] != key[o][:-1])
-        unit = np.empty(len(o), np.int64)
-        unit[o] = np.cumsum(new) - 1
+        new[1:] = (same[o][1:] != same[o][:-1]) | (h[o][1:] != h[o][:-1])
+        region = np.empty(len(o), np.int64)
+        region[o] = np.cumsum(new) - 1
         u = o[new]
-        # where the windows are: kept with the slice
-        occ = np.argsort(first, kind="stable")
-        rows = [_row(2, -1, row["slice"], 0, squeeze(np.diff(first[occ], prepend=0).astype(np.int32)), squeeze(count[occ].astype(np.uint8)), squeeze(unit[occ].astype(np.int32)), squeeze(shift[occ].astype(np.uint8)))]
+        # where the regions are: kept with the slice
+        rows = [_row(2, -1, row["slice"], 0, squeeze(np.diff(first, prepend=0).astype(np.int32)), squeeze(count.astype(np.uint8)), squeeze(region.astype(np.int32)), squeeze(shift.astype(np.uint8)))]
         edge = np.searchsorted(bucket[u], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edge)):
             v = u[edge[b] : edge[b + 1]]
-            meta = np.stack([key[v].view(np.int64), same[v].view(np.int64), doc[v]])
-            rows.append(_row(1, int(b), row["slice"], int(edge[b]), squeeze(meta), squeeze((shift[v] * 16 + count[v]).astype(np.uint8)), squeeze(raw[ragged(first[v], count[v] + LENGTH - 1)])))
+            rows.append(_row(1, int(b), row["slice"], int(edge[b]), _planes(doc[v]), squeeze(shift[v].astype(np.uint8)), squeeze(count[v].astype(np.uint8)), squeeze(raw[ragged(first[v], count[v] + LENGTH - 1)])))
         return pa.Table.from_pylist(rows, _SCHEMA)
 
     cuts = materialize(packed.groupBy("slice").cogroup(hot.groupBy("slice")).applyInArrow(cut, ROW), "units")
 
     def settle(t: pa.Table) -> pa.Table:
-        meta = [widen(x, np.int64).reshape(3, -1) for x in t["a"].to_pylist()]
-        form = np.concatenate([widen(x, np.uint8) for x in t["b"].to_pylist()]).astype(np.int64)
-        data = np.concatenate([widen(x, np.uint8) for x in t["c"].to_pylist()])
-        at = np.cumsum([0, *[m.shape[1] for m in meta]])
-        key, same, doc = np.concatenate(meta, axis=1)
-        size = (form & 15) + LENGTH - 1
-        begin = np.cumsum(size) - size
-        o = np.lexsort((doc, same, key))
+        docs = [_numbers(x) for x in t["a"].to_pylist()]
+        shift, count = (np.concatenate([widen(x, np.uint8) for x in t[c].to_pylist()]).astype(np.int64) for c in "bc")
+        data = np.concatenate([widen(x, np.uint8) for x in t["d"].to_pylist()])
+        at = np.cumsum([0, *map(len, docs)])
+        doc = np.concatenate(docs)
+        size = count + LENGTH - 1
+        region, begin, n, sub, key, same, j0 = units(data, np.cumsum(size) - size, count, shift)
+        o = np.lexsort((doc[region], same, key))
         new = np.ones(len(o), bool)
         new[1:] = (same[o][1:] != same[o][:-1]) | (key[o][1:] != key[o][:-1])
         unit = np.empty(len(o), np.int64)
         unit[o] = np.cumsum(new) - 1
         u = o[new]
-        least = doc[u]
-        out = np.repeat(least[:, None], RANGE, axis=1)
+        least = doc[region[u]]
+        low = np.repeat(least[:, None], RANGE, axis=1)
         start = np.flatnonzero(np.r_[True, key[u][1:] != key[u][:-1]])
         width = np.diff(np.r_[start, len(u)])
         for s, w in zip(start[width > 1].tolist(), width[width > 1].tolist(), strict=True):
             v = u[s : s + w]
-            out[s : s + w] = _classes([data[begin[x] : begin[x] + size[x]].tobytes() for x in v], form[v] >> 4, least[s : s + w])
-        rows = [_row(3, b, s, f, squeeze(out[unit[x:y]])) for b, s, f, x, y in zip(t["bucket"].to_pylist(), t["slice"].to_pylist(), t["first"].to_pylist(), at[:-1], at[1:], strict=True)]
+            low[s : s + w] = _classes([data[begin[x] : begin[x] + n[x] + LENGTH - 1].tobytes() for x in v], sub[v], least[s : s + w])
+        out = np.zeros((len(doc), SPAN + RANGE), np.int64)
+        for j in range(RANGE):
+            out[region, j0 + j] = low[unit, j]
+        out = out[:, :SPAN]
+        rows = [_row(3, b, s, f, _planes(out[x:y].ravel())) for b, s, f, x, y in zip(t["bucket"].to_pylist(), t["slice"].to_pylist(), t["first"].to_pylist(), at[:-1], at[1:], strict=True)]
         return pa.Table.from_pylist(rows, _SCHEMA)
 
     settled = cuts.filter("kind = 1").groupBy("bucket").applyInArrow(settle, ROW)
@@ -258,16 +280,18 @@ def dedup(docs: DataFrame, with_text: bool = False, slice_bytes: int = SLICE_BYT
         for r in rows:
             if r["kind"] != 2:
                 continue
-            first, count, unit, shift = np.cumsum(widen(r["a"], np.int32).astype(np.int64)), widen(r["b"], np.uint8), widen(r["c"], np.int32), widen(r["d"], np.uint8).astype(np.int64)
+            first, count, region, shift = np.cumsum(widen(r["a"], np.int32).astype(np.int64)), widen(r["b"], np.uint8), widen(r["c"], np.int32), widen(r["d"], np.uint8).astype(np.int64)
             parts = sorted((x["first"], x["a"]) for x in rows if x["kind"] == 3)
-            least = np.concatenate([widen(a, np.int64) for _, a in parts]).reshape(-1, RANGE)
+            least = np.concatenate([_numbers(a) for _, a in parts]).reshape(-1, SPAN)
             doc = ids[np.searchsorted(offs, first, "right") - 1]
-            for j in range(RANGE):
+            gone = []
+            for j in range(SPAN):
                 live = j < count
                 w = first[live] + j
-                w = w[least[unit[live], shift[live] + j] < doc[live]]
-                step += np.bincount(w, minlength=len(step)).astype(np.int32)
-                step -= np.bincount(w + LENGTH, minlength=len(step)).astype(np.int32)
+                gone.append(w[least[region[live], shift[live] + j] < doc[live]])
+            gone = np.concatenate(gone)
+            step += np.bincount(gone, minlength=len(step)).astype(np.int32)
+            step -= np.bincount(gone + LENGTH, minlength=len(step)).astype(np.int32)
         gone = np.cumsum(step[:-1]) > 0
         total = np.r_[0, np.cumsum(gone)]
         new = gone.copy()

@@ -5,7 +5,7 @@ A byte goes if a `LENGTH`-byte string that covers it also starts in a document w
 Plan. Every 50-byte string holds one or more anchors (20-byte strings of locally least hash), so equal strings hold
 equal anchors. (1) Slices send their distinct anchors to buckets, which answer which of them occur in two documents or
 slices. (2) A slice cuts the regions of all windows around such anchors and sends them to the anchors' buckets, equal
-regions once with their smallest doc_id. (3) A bucket parts regions into units of up to eight neighbouring windows,
+regions once with their smallest doc_id. (3) A bucket parts regions into units of a few neighbouring windows,
 keyed by the bytes that all of them share, puts all distinct units of a key into one text and sorts its suffixes by
 linear grouping (gsaca.py); neighbours in the suffix array that agree in 50 bytes are one string and get its smallest
 doc_id. A unit that is alone in its key holds every string once and needs no sorting.
@@ -31,7 +31,7 @@ from .gsaca import suffix_array
 
 LENGTH, ANCHOR = 50, 20
 SPAN = LENGTH - ANCHOR + 1  # windows around an anchor
-RANGE = 8  # windows in a unit
+RANGE = 4  # windows in a unit
 NONE = np.iinfo(np.int64).max
 SLICE_BYTES = 4 << 20
 BITS = np.uint64(44)
@@ -208,17 +208,14 @@ def dedup(docs: DataFrame, with_text: bool = False, slice_bytes: int = SLICE_BYT
         rows = [_row(0, b, s, 0, squeeze(np.diff(k[yes[x:y]], prepend=np.uint64(0)))) for b, s, k, x, y in zip(t["bucket"].to_pylist(), t["slice"].to_pylist(), keys, at[:-1], at[1:], strict=True)]
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    hot = asked.groupBy("bucket").applyInArrow(shared, ROW)
+    hot = materialize(asked.groupBy("bucket").applyInArrow(shared, ROW), "shared")
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        (row,) = left.to_pylist()
-        ids, _, offs, raw, pos, h = parts(row)
-        keys = [np.cumsum(widen(x, np.uint64), dtype=np.uint64) for x in right["a"].to_pylist()]
+    def around(row, answers):
+        """The shared regions of a slice, the same each time: their places and numbers, and the distinct ones."""
+        ids, flags, offs, raw, pos, h = parts(row)
+        keys = [np.cumsum(widen(x, np.uint64), dtype=np.uint64) for x in answers]
         live = np.isin(h, np.concatenate(keys)) if keys else np.zeros(len(h), bool)
-        pos = pos[live]
-        if not len(pos):
-            return pa.Table.from_pylist([], _SCHEMA)
-        h = h[live]
+        pos, h = pos[live], h[live]
         first, count, shift = regions(offs, pos)
         doc = ids[np.searchsorted(offs, first, "right") - 1]
         same = _prefix_hash(raw)(first, first + count + LENGTH - 1) * np.uint64(31) + shift.astype(np.uint64)
@@ -230,15 +227,19 @@ def dedup(docs: DataFrame, with_text: bool = False, slice_bytes: int = SLICE_BYT
         region = np.empty(len(o), np.int64)
         region[o] = np.cumsum(new) - 1
         u = o[new]
-        # where the regions are: kept with the slice
-        rows = [_row(2, -1, row["slice"], 0, squeeze(np.diff(first, prepend=0).astype(np.int32)), squeeze(count.astype(np.uint8)), squeeze(region.astype(np.int32)), squeeze(shift.astype(np.uint8)))]
+        return ids, flags, offs, raw, first, count, shift, doc, region, u, bucket
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        _, _, _, raw, first, count, shift, doc, _, u, bucket = around(row, right["a"].to_pylist())
+        rows = []
         edge = np.searchsorted(bucket[u], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edge)):
             v = u[edge[b] : edge[b + 1]]
             rows.append(_row(1, int(b), row["slice"], int(edge[b]), _planes(doc[v]), squeeze(shift[v].astype(np.uint8)), squeeze(count[v].astype(np.uint8)), squeeze(raw[ragged(first[v], count[v] + LENGTH - 1)])))
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    cuts = materialize(packed.groupBy("slice").cogroup(hot.groupBy("slice")).applyInArrow(cut, ROW), "units")
+    cuts = packed.groupBy("slice").cogroup(hot.groupBy("slice")).applyInArrow(cut, ROW)
 
     def settle(t: pa.Table) -> pa.Table:
         docs = [_numbers(x) for x in t["a"].to_pylist()]
@@ -268,30 +269,25 @@ def dedup(docs: DataFrame, with_text: bool = False, slice_bytes: int = SLICE_BYT
         rows = [_row(3, b, s, f, _planes(out[x:y].ravel())) for b, s, f, x, y in zip(t["bucket"].to_pylist(), t["slice"].to_pylist(), t["first"].to_pylist(), at[:-1], at[1:], strict=True)]
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    settled = cuts.filter("kind = 1").groupBy("bucket").applyInArrow(settle, ROW)
-    back = cuts.filter("kind = 2").unionByName(settled)
+    settled = materialize(cuts.groupBy("bucket").applyInArrow(settle, ROW), "settled")
+    back = hot.unionByName(settled)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_sha256 string, kept_text string" * with_text
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        ids, flags, offs, raw = unpack(row)
+        answers = right.to_pylist()
+        ids, flags, offs, raw, first, count, shift, doc, region, _, _ = around(row, [r["a"] for r in answers if r["kind"] == 0])
         step = np.zeros(len(raw) + 1, np.int32)
-        rows = right.to_pylist()
-        for r in rows:
-            if r["kind"] != 2:
-                continue
-            first, count, region, shift = np.cumsum(widen(r["a"], np.int32).astype(np.int64)), widen(r["b"], np.uint8), widen(r["c"], np.int32), widen(r["d"], np.uint8).astype(np.int64)
-            parts = sorted((x["first"], x["a"]) for x in rows if x["kind"] == 3)
-            least = np.concatenate([_numbers(a) for _, a in parts]).reshape(-1, SPAN)
-            doc = ids[np.searchsorted(offs, first, "right") - 1]
-            gone = []
+        if len(first):
+            least = np.concatenate([_numbers(a) for _, a in sorted((r["first"], r["a"]) for r in answers if r["kind"] == 3)]).reshape(-1, SPAN)
+            start = []
             for j in range(SPAN):
                 live = j < count
                 w = first[live] + j
-                gone.append(w[least[region[live], shift[live] + j] < doc[live]])
-            gone = np.concatenate(gone)
-            step += np.bincount(gone, minlength=len(step)).astype(np.int32)
-            step -= np.bincount(gone + LENGTH, minlength=len(step)).astype(np.int32)
+                start.append(w[least[region[live], shift[live] + j] < doc[live]])
+            start = np.concatenate(start)
+            step += np.bincount(start, minlength=len(step)).astype(np.int32)
+            step -= np.bincount(start + LENGTH, minlength=len(step)).astype(np.int32)
         gone = np.cumsum(step[:-1]) > 0
         total = np.r_[0, np.cumsum(gone)]
         new = gone.copy()

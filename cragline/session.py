@@ -42,4 +42,6 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cragline-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
+    # shuffle files of the plan just run are dropped once the driver notices that nothing refers to them
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -80,11 +80,14 @@ def fill_sinks(dem: DataFrame, step: int = 0, rounds: int = 10_000) -> DataFrame
     top = dem.agg(F.max("z")).first()[0]
     w = materialize(dem.join(edge, ["r", "c"], "left").select("pix", "r", "c", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(top)).alias("w")), "fill")
     for _ in range(rounds):
-        low = scatter(w, ["w"]).groupBy("r", "c").agg(F.min("w").alias("low"))
-        w = materialize(w.select("pix", "r", "c", "z", F.col("w").alias("old")).join(low, ["r", "c"], "left").select("pix", "r", "c", "z", "old", F.least("old", F.greatest("z", F.coalesce(F.col("low") + step, F.col("old")))).alias("w")), "fill")
-        if w.filter("w != old").isEmpty():
+        new = w.withColumn("old", F.col("w"))
+        for _ in range(6):  # steps between two written rounds
+            low = scatter(new, ["w"]).groupBy("r", "c").agg(F.min("w").alias("low"))
+            new = new.join(low, ["r", "c"], "left").select("pix", "r", "c", "z", "old", F.least("w", F.greatest("z", F.coalesce(F.col("low") + step, F.col("w")))).alias("w"))
+        new = materialize(new, "fill")
+        w = new.select("pix", "r", "c", "z", "w")
+        if new.filter("w != old").isEmpty():
             break
-        w = w.drop("old")
     return w.select("pix", "r", "c", "z", "w")
 
 

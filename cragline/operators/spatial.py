@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """All pairs of a(fid, x, y) and b(bid, bx, by, ...) within radius, with d2. b is sent to the 3x3 cells around its own."""
+    """All pairs of a(fid, x, y) and b(bid, qx, qy, ...) within radius, with d2. b is sent to the 3x3 cells around its own."""
     cell = lambda x: F.floor(F.col(x) / radius)
     ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = a.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
-    right = b.withColumn("_o", ring).withColumn("_cx", cell("bx") + F.col("_o.i")).withColumn("_cy", cell("by") + F.col("_o.j")).drop("_o")
-    d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
+    right = b.withColumn("_o", ring).withColumn("_cx", cell("qx") + F.col("_o.i")).withColumn("_cy", cell("qy") + F.col("_o.j")).drop("_o")
+    d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
     return left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
 
 

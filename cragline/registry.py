@@ -1,4 +1,8 @@
 """Queries over the driver tables and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from .plans import rule_queries, raster_queries, spatial_queries
+
+QUERIES: dict = rule_queries.QUERIES | raster_queries.QUERIES | spatial_queries.QUERIES
+SQL: dict = rule_queries.SQL | raster_queries.SQL | spatial_queries.SQL

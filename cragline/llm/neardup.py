@@ -6,7 +6,7 @@
    long enough for any linked pair to meet: two texts at the threshold share at least MEET of k values, but for a chance
    below 1e-12).
 3. Pairs: each list's leaders are compared with the list instead of all pairs of a group; after a few rounds, members
-   that are still in different components are compared in full. Candidates must share MEET values in the bottom-k of
+   that are still in different components are compared in blocks, of which only likely pairs come out. Candidates must share MEET values in the bottom-k of
    the union of their sketches (union-sketch estimate).
 4. Exact Jaccard on the full shingle sets confirms each link.
 5. Components by min-label propagation.
@@ -30,6 +30,7 @@ from .common import LOWER, SPACED, flat, mix, pieces, run_hash, span_hash, spans
 
 K, MEET, WORDS = 64, 22, 5
 ROUNDS = 3
+SHORT, BLOCK = 16, 1024
 BLOOM_BITS = 22
 
 
@@ -63,7 +64,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest, sketch of every row."""
 
     def run(batches):
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             h, offs = shingles(b.column("text"))
             cut = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -80,14 +81,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def lists(classes: DataFrame) -> DataFrame:
-    """v, id, n: under which of its rarest shared values each class is listed."""
+    """v, id, n: under which of its rarest shared values each class (of n shingles) is listed."""
     rows = classes.select("id", "n_shingles", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     shared = rows.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     # of kept values, all but (least overlap - 1) must be looked at; values of one class are the rarest and meet nobody
     least = F.when(F.col("n_shingles") > K, MEET).otherwise(F.least(F.ceil(F.col("n_shingles") * 0.75), F.lit(42)))
     w = Window.partitionBy("id").orderBy(F.desc("df"), "v")
     met = rows.join(shared, "v").withColumn("least", least).withColumn("rank", F.row_number().over(w))
-    return met.filter("rank >= least").select("v", "id")
+    return met.filter("rank >= least").select("v", "id", F.col("n_shingles").alias("n"))
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -116,6 +117,46 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a list's members in different components, from rows(v, id, n, comp, members).
+
+    Short lists give all of theirs. The members of longer ones are dealt to blocks of about BLOCK; each pair of blocks is
+    compared as a product of incidence matrices, and only pairs with enough common values leave it.
+    """
+    short = rows.filter(F.col("members") <= SHORT)
+    a = short.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    b = short.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = a.join(b, "v").filter("a < b and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    long = rows.filter(F.col("members") > SHORT).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    long = long.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp").join(classes.select("id", "sketch"), "id")
+
+    def compare(t: pa.Table) -> pa.Table:
+        lists_ = t["sketch"].combine_chunks()
+        width = np.diff(lists_.offsets.to_numpy())
+        row = np.repeat(np.arange(len(width)), width)
+        keys, inv, count = np.unique(lists_.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        live = np.cumsum(count > 1) - 1
+        met = count[inv] > 1
+        m = np.zeros((len(width), int((count > 1).sum())), np.float32)
+        m[row[met], live[inv[met]]] = 1
+        ids, n, comp, own = (t[c].to_numpy() for c in ("id", "n", "comp", "own"))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out = []
+        for part in np.array_split(left, max(1, len(left) // 256)):
+            common = m[part] @ m[right].T
+            na, nb = n[part][:, None], n[right][None]
+            ok = np.where((na <= K) & (nb <= K), 7 * common >= 3 * (na + nb), common >= MEET)
+            ok &= (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (comp[part][:, None] != comp[right][None])
+            x, y = np.nonzero(ok)
+            out.append(np.sort(np.stack([ids[part[x]], ids[right[y]]], axis=1), axis=1))
+        got = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
+
+    return pairs.unionByName(long.groupBy("v", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 75 * union."""
     spark = pairs.sparkSession
@@ -130,7 +171,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         bits = np.unpackbits(ship.value).astype(bool)
         for b in batches:
             b = b.filter(pa.array(bits[b.column("s").to_numpy()]))
-            for p in pieces([b], "text"):
+            for p in pieces([b], "text", 2 << 20):
                 h, offs = shingles(p.column("text"))
                 yield pa.RecordBatch.from_arrays([p.column("id"), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "full"])
 
@@ -148,12 +189,11 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     done = None
     for r in range(ROUNDS + 1):
         rows = met.join(comp, "id")
-        mixed = rows.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("lead"), F.min_by("comp", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("lead_comp")).filter("lo < hi")
+        mixed = rows.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("lead"), F.min_by("comp", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("lead_comp")).filter("lo < hi")
         if r < ROUNDS:
             pairs = rows.join(mixed.select("v", "lead", "lead_comp"), "v").filter("comp != lead_comp").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
         else:
-            left = rows.join(mixed.select("v"), "v", "left_semi")
-            pairs = left.select("v", F.col("id").alias("a"), F.col("comp").alias("ca")).join(left.select("v", F.col("id").alias("b"), F.col("comp").alias("cb")), "v").filter("a < b and ca != cb").select("a", "b")
+            pairs = _rest(rows.join(mixed.select("v", "members"), "v"), classes)
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")

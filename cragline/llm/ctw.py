@@ -189,6 +189,7 @@ def score(docs: DataFrame, depth: int = DEPTH, slice_bytes: int = SLICE_BYTES) -
         return pa.table({"key": pa.array(k.astype(np.int64)), "a": a, "b": b, "w": w})
 
     s = asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(summary, "key long, a long, b long, w double").toArrow()
+    spark.sparkContext._jvm.System.gc()  # the summary's shuffle files may go
     key, a, b, w = (s[c].to_numpy() for c in ("key", "a", "b", "w"))
     tokens, vocabulary = int(a[key < 0].sum()) + train_docs, int(b[key < 0].sum()) + (train_docs > 0)
     own = key >= 0

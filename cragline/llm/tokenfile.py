@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from .bpe import Bpe, ChunkStore, load_spec, worker_store
-from .common import pieces
+from .common import pieces, ragged
 
 BLOCK = 1 << 16
 
@@ -80,7 +80,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1
             tok.no_padding()
             own = Bpe(spec.value)  # only counts the words of a chunk
 
-            def encode_new(chunks):
+            def library(chunks):
                 """Lines of many chunks in one call of the library; the word ends tell the chunks apart."""
                 lines = [chunks[k : k + 64] for k in range(0, len(chunks), 64)]
                 got = [e.ids for e in tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)]
@@ -91,6 +91,29 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1
                     raise ValueError("a word was cut in another way than foreseen")
                 return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(words)]])
 
+            inner = ChunkStore(library)
+            mark = {c: tok.encode(c, add_special_tokens=False).ids[0] for c in ",."}
+
+            def encode_new(chunks):
+                """Chunks that differ in case or a last comma or full stop share one call of the library."""
+                base, tail = [], []
+                for c in chunks:
+                    if c.isascii() and c.isalpha():
+                        base.append(c.lower())
+                        tail.append(-1)
+                    elif c.isascii() and c[-1] in mark and c[:-1].isalpha():
+                        base.append(c[:-1].lower())
+                        tail.append(mark[c[-1]])
+                    else:
+                        base.append(c)
+                        tail.append(-1)
+                place = {b: k for k, b in enumerate(dict.fromkeys(base))}
+                ids, start, n = inner.lookup(list(place))
+                at, last = np.array([place[b] for b in base], np.int64), np.array(tail, np.int64)
+                flat = ids[ragged(start[at], n[at])]
+                has = last >= 0
+                return np.insert(flat, np.cumsum(n[at])[has], last[has].astype(np.uint32)), n[at] + has
+
             word_end = np.zeros(len(own.names), bool)
             names = own.names.to_pylist()
             word_end[[k for k, x in enumerate(names) if x.endswith("</w>")] + list(own.specials.values())] = True

@@ -6,8 +6,9 @@
    long enough for any linked pair to meet: two texts at the threshold share at least MEET of k values, but for a chance
    below 1e-12).
 3. Pairs: each list's leaders are compared with the list instead of all pairs of a group; after a few rounds, members
-   that are still in different components are compared in blocks, of which only likely pairs come out. Candidates must share MEET values in the bottom-k of
-   the union of their sketches (union-sketch estimate).
+   that are still in different components are compared in blocks by wide sketches (WIDE values of 16 bits; whole sets of
+   most texts), so that texts with only a passage in common do not leave a block as a pair. Candidates must share MEET
+   values in the bottom-k of the union of their sketches (union-sketch estimate).
 4. Exact Jaccard on the full shingle sets confirms each link.
 5. Components by min-label propagation.
 
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import materialize
-from .common import LOWER, SPACED, flat, mix, pieces, run_hash, span_hash, spans
+from .common import LOWER, SPACED, flat, mix, pieces, ragged, run_hash, span_hash, spans
 
 K, MEET, WORDS = 64, 22, 5
 ROUNDS = 3
-SHORT, BLOCK = 16, 1024
+SHORT, BLOCK = 16, 2048
+#: Wide sketches: values, and how many of them two texts at the threshold share, but for a chance below 1e-12.
+WIDE, WIDE_MEET = 256, 140
+#: Values with more holders than this in a block are counted by a matrix product, others by their pairs of holders.
+COMMON = 128
 BLOOM_BITS = 22
 
 
@@ -61,7 +66,7 @@ def shingles(text: pa.Array, k: int = WORDS):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, sketch of every row."""
+    """doc_id, n_shingles, digest, sketch, wide of every row; wide: the low 16 bits of the WIDE smallest hashes."""
 
     def run(batches):
         for b in pieces(batches, "text", 2 << 20):
@@ -73,11 +78,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array(np.diff(offs), pa.int64()),
                     pa.array([hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in cut], pa.binary()),
                     pa.array([h[x : min(y, x + K)].view(np.int64) for x, y in cut], pa.list_(pa.int64())),
+                    pa.array([h[x : min(y, x + WIDE)].astype(np.uint16).tobytes() for x, y in cut], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sketch"],
+                names=["doc_id", "n_shingles", "digest", "sketch", "wide"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>, wide binary")
 
 
 def lists(classes: DataFrame) -> DataFrame:
@@ -129,25 +135,42 @@ def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = a.join(b, "v").filter("a < b and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     long = rows.filter(F.col("members") > SHORT).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    long = long.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp").join(classes.select("id", "sketch"), "id")
+    long = long.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp").join(classes.select("id", "wide"), "id")
 
     def compare(t: pa.Table) -> pa.Table:
-        lists_ = t["sketch"].combine_chunks()
-        width = np.diff(lists_.offsets.to_numpy())
-        row = np.repeat(np.arange(len(width)), width)
-        keys, inv, count = np.unique(lists_.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        live = np.cumsum(count > 1) - 1
-        met = count[inv] > 1
-        m = np.zeros((len(width), int((count > 1).sum())), np.float32)
-        m[row[met], live[inv[met]]] = 1
+        raw, offs = flat(t["wide"])
+        width = np.diff(offs) // 2
+        slot = np.repeat(np.arange(len(width)), width) << 16 | np.frombuffer(raw.tobytes(), np.uint16)
+        slot = np.unique(slot)  # (row, value), each once
+        row, value = slot >> 16, slot & 0xFFFF
+        lost = width - np.bincount(row, minlength=len(width))  # values that fell together
         ids, n, comp, own = (t[c].to_numpy() for c in ("id", "n", "comp", "own"))
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        place = np.full(len(width), -1)
+        place[right] = np.arange(len(right))
+        holders = np.bincount(value, minlength=1 << 16)
+        dense = np.cumsum(holders > COMMON) - 1
+        often = holders[value] > COMMON
+        m = np.zeros((len(width), int((holders > COMMON).sum())), np.float32)
+        m[row[often], dense[value[often]]] = 1
+        # holders of the other values within the right block, value by value
+        rare = np.flatnonzero(~often & (place[row] >= 0))
+        rare = rare[np.argsort(value[rare], kind="stable")]
+        many = np.bincount(value[rare], minlength=1 << 16)
+        first = np.cumsum(many) - many
+        holder = place[row[rare]]
+        cut = np.r_[0, np.cumsum(np.bincount(row, minlength=len(width)))]
         out = []
         for part in np.array_split(left, max(1, len(left) // 256)):
-            common = m[part] @ m[right].T
+            at = ragged(cut[part], np.diff(cut)[part])
+            v, x = value[at], np.repeat(np.arange(len(part)), np.diff(cut)[part])
+            v, x = v[~often[at]], x[~often[at]]
+            met = np.repeat(x, many[v]) * len(right) + holder[ragged(first[v], many[v])]
+            common = np.bincount(met, minlength=len(part) * len(right)).reshape(len(part), len(right)) + np.rint(m[part] @ m[right].T).astype(np.int64)
+            common += np.minimum(lost[part][:, None], lost[right][None])
             na, nb = n[part][:, None], n[right][None]
-            ok = np.where((na <= K) & (nb <= K), 7 * common >= 3 * (na + nb), common >= MEET)
+            ok = np.where((na <= WIDE) & (nb <= WIDE), 7 * common >= 3 * (na + nb), common >= WIDE_MEET)
             ok &= (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (comp[part][:, None] != comp[right][None])
             x, y = np.nonzero(ok)
             out.append(np.sort(np.stack([ids[part[x]], ids[right[y]]], axis=1), axis=1))
@@ -212,8 +235,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     sk = materialize(sketches(docs), "sketches")
     # one row a class: its smallest id, with that row's sketch
     some = sk.filter("digest is not null and doc_id is not null")
-    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    comp = links(classes.select("id", "n_shingles", "sketch"), docs)
+    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
+    comp = links(classes.select("id", "n_shingles", "sketch", "wide"), docs)
     of = classes.select("digest", "id").join(comp, "id").select("digest", "comp")
     out = sk.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

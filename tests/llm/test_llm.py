@@ -180,10 +180,11 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, model).count() == 10 and toxicity.score(odd, toxicity.fit(empty, labels)).filter("toxic").count() == 0
 
 
-@pytest.mark.parametrize("short, block", [(16, 1024), (2, 3)])
-def test_near_duplicates_equal_brute_force(spark, odd, empty, monkeypatch, short, block):
+@pytest.mark.parametrize("short, block, common", [(16, 2048, 128), (2, 3, 128), (2, 5, 1)])
+def test_near_duplicates_equal_brute_force(spark, odd, empty, monkeypatch, short, block, common):
     monkeypatch.setattr(neardup, "SHORT", short)
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "COMMON", common)
     rng = random.Random(3)
     base = [rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(90)]
     rows = []

@@ -6,9 +6,9 @@
    long enough for any linked pair to meet: two texts at the threshold share at least MEET of k values, but for a chance
    below 1e-12).
 3. Pairs: each list's leaders are compared with the list instead of all pairs of a group; after a few rounds, members
-   that are still in different components are compared in blocks by wide sketches (WIDE values of 16 bits; whole sets of
-   most texts), so that texts with only a passage in common do not leave a block as a pair. Candidates must share MEET
-   values in the bottom-k of the union of their sketches (union-sketch estimate).
+   that are still in different components are compared by wide sketches (WIDE values of 16 bits; whole sets of most
+   texts), long lists in blocks and short ones as they pass by, so that texts with only a passage in common make no pair.
+   Candidates must share MEET values in the bottom-k of the union of their sketches (union-sketch estimate).
 4. Exact Jaccard on the full shingle sets confirms each link.
 5. Components by min-label propagation.
 
@@ -34,6 +34,8 @@ ROUNDS = 3
 SHORT, BLOCK = 16, 2048
 #: Wide sketches: values, and how many of them two texts at the threshold share, but for a chance below 1e-12.
 WIDE, WIDE_MEET = 256, 140
+#: Size of the map of a wide sketch by which members of short lists are compared.
+BITS = 2048
 #: Values with more holders than this in a block are counted by a matrix product, others by their pairs of holders.
 COMMON = 128
 BLOOM_BITS = 22
@@ -123,16 +125,63 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def _bits(classes: DataFrame) -> DataFrame:
+    """id, bits: the wide sketch as a map of BITS bits; slots that fall together are one bit."""
+
+    def run(batches):
+        for b in batches:
+            raw, offs = flat(b.column("wide"))
+            width = np.diff(offs) // 2
+            m = np.zeros((b.num_rows, BITS), bool)
+            m[np.repeat(np.arange(b.num_rows), width), np.frombuffer(raw.tobytes(), np.uint16) % BITS] = True
+            packed = np.packbits(m, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["id", "bits"])
+
+    return classes.select("id", "wide").mapInArrow(run, "id long, bits binary")
+
+
+def _short_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each short list's members in different components whose maps have enough bits in common."""
+    full = rows.select("v", "id", "n", "comp").join(_bits(classes), "id").repartition("v").sortWithinPartitions("v")
+
+    def compare(t: pa.Table) -> pa.Table:
+        v, ids, n, comp = (t[c].to_numpy() for c in ("v", "id", "n", "comp"))
+        m = flat(t["bits"])[0].reshape(len(ids), BITS // 64 * 8).view(np.uint64)
+        lost = np.minimum(n, WIDE) - np.bitwise_count(m).sum(axis=1).astype(np.int64)
+        out = [np.zeros((0, 2), np.int64)]
+        for gap in range(1, SHORT):  # lists lie together, so partners are less than SHORT rows apart
+            x = np.flatnonzero((v[gap:] == v[:-gap]) & (comp[gap:] != comp[:-gap]) & (4 * np.minimum(n[gap:], n[:-gap]) >= 3 * np.maximum(n[gap:], n[:-gap])))
+            y = x + gap
+            common = np.bitwise_count(m[x] & m[y]).sum(axis=1).astype(np.int64) + np.minimum(lost[x], lost[y])
+            ok = np.where((n[x] <= WIDE) & (n[y] <= WIDE), 7 * common >= 3 * (n[x] + n[y]), common >= WIDE_MEET)
+            out.append(np.sort(np.stack([ids[x[ok]], ids[y[ok]]], axis=1), axis=1))
+        got = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
+
+    def run(batches):
+        kept = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            v = t["v"].to_numpy()
+            if not len(v):
+                continue
+            end = int(np.searchsorted(v, v[-1]))  # the last list may go on in the next batch
+            if end:
+                yield from compare(t.slice(0, end)).to_batches()
+            kept = t.slice(end)
+        if kept is not None:
+            yield from compare(kept).to_batches()
+
+    return full.mapInArrow(run, "a long, b long")
+
+
 def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of a list's members in different components, from rows(v, id, n, comp, members).
 
-    Short lists give all of theirs. The members of longer ones are dealt to blocks of about BLOCK; each pair of blocks is
-    compared as a product of incidence matrices, and only pairs with enough common values leave it.
+    Short lists are compared whole. The members of longer ones are dealt to blocks of about BLOCK; each pair of blocks is
+    compared as a product of incidence matrices. Only pairs with enough common values leave either.
     """
-    short = rows.filter(F.col("members") <= SHORT)
-    a = short.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = short.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "v").filter("a < b and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
+    pairs = _short_pairs(rows.filter(F.col("members") <= SHORT), classes)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     long = rows.filter(F.col("members") > SHORT).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     long = long.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp").join(classes.select("id", "wide"), "id")

@@ -34,6 +34,8 @@ ROUNDS = 3
 SHORT, BLOCK = 16, 2048
 #: Wide sketches: values, and how many of them two texts at the threshold share, but for a chance below 1e-12.
 WIDE, WIDE_MEET = 256, 140
+#: Texts of so few shingles are listed under few values: leaders take their pairs even from a single list.
+FEW = 16
 #: Size of the map of a wide sketch by which members of short lists are compared.
 BITS = 2048
 #: Values with more holders than this in a block are counted by a matrix product, others by their pairs of holders.
@@ -258,23 +260,28 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links between classes: enough of them for the same components as all links would give."""
     met = materialize(lists(classes), "lists")
     comp = classes.select("id", F.col("id").alias("comp"))
-    done = None
+    done = found = None
     for r in range(ROUNDS + 1):
         rows = met.join(comp, "id")
-        mixed = rows.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("lead"), F.min_by("comp", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("lead_comp")).filter("lo < hi")
+        first = F.xxhash64("id", F.lit(r)) if r else F.col("id")
+        mixed = rows.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "comp", "n"), first).alias("lead")).filter("lo < hi")
         if r < ROUNDS:
-            pairs = rows.join(mixed.select("v", "lead", "lead_comp"), "v").filter("comp != lead_comp").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+            # pairs that meet in a single list mostly share one chance phrase: they are left to the last round
+            met_lead = rows.join(mixed.select("v", "lead"), "v").filter("comp != lead.comp and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
+            times = met_lead.groupBy(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("n", "lead.n")).alias("least"))
+            pairs = times.filter(f"times > 1 or least <= {FEW}").select("a", "b")
         else:
-            pairs = _rest(rows.join(mixed.select("v", "members"), "v"), classes)
-        pairs = pairs.distinct()
+            pairs = _rest(rows.join(mixed.select("v", "members"), "v"), classes).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pairs{r}")
         if pairs.isEmpty():
+            if r < ROUNDS:
+                continue
             break
         good = materialize(verify(_near(pairs, classes), docs).withColumn("ok", F.lit(True)), f"links{r}")
         done = pairs if done is None else done.unionByName(pairs)
-        found = good if r == 0 else found.unionByName(good)
+        found = good if found is None else found.unionByName(good)
         comp = materialize(components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")), classes.select("id")), f"comp{r}")
     return comp
 

@@ -18,10 +18,13 @@ and is kept); repeated rows of an id share a component.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +35,40 @@ from .common import LOWER, SPACED, flat, mix, pieces, ragged, run_hash, span_has
 K, MEET, WORDS = 64, 22, 5
 ROUNDS = 3
 SHORT, BLOCK = 16, 2048
-#: Wide sketches: values, and how many of them two texts at the threshold share, but for a chance below 1e-12.
-WIDE, WIDE_MEET = 256, 140
+#: Values of wide sketches, and those of them that members of short lists are compared by.
+WIDE, NARROW = 512, 256
 #: Texts of so few shingles are listed under few values: leaders take their pairs even from a single list.
 FEW = 16
 #: Size of the map of a wide sketch by which members of short lists are compared.
 BITS = 2048
 #: Values with more holders than this in a block are counted by a matrix product, others by their pairs of holders.
-COMMON = 128
+COMMON = 256
 BLOOM_BITS = 22
 
 
+@functools.cache
+def _meets(width: int) -> np.ndarray:
+    """How many values two sketches of `width` share at the threshold, but for a chance below 1e-12, by percent of the sizes.
+
+    Of the smallest values of either set a binomial count lies in the intersection, which holds at least 3/7 of both
+    sizes together; the sketch that ends first has all of its share in common.
+    """
+    out = np.zeros(101, np.int64)
+    k = np.arange(width + 1)
+    choose = np.array([math.lgamma(width + 1) - math.lgamma(i + 1) - math.lgamma(width - i + 1) for i in k])
+    for percent in range(75, 101):
+        p = 3 / 7 * (1 + percent / 100)
+        below = np.cumsum(np.exp(choose + k * math.log(p) + (width - k) * math.log1p(-p)))
+        out[percent] = np.searchsorted(below, 5e-13, "right")
+    return out
+
+
+def _enough(common: np.ndarray, na: np.ndarray, nb: np.ndarray, width: int) -> np.ndarray:
+    """Whether sets of these sizes with so many common sketch values can be linked; exact for sets that fit a sketch."""
+    low, high = np.minimum(na, nb), np.maximum(na, nb)
+    return (4 * low >= 3 * high) & np.where(high <= width, 7 * common >= 3 * (na + nb), common >= _meets(width)[100 * low // np.maximum(high, 1)])
+
+
 def shingles(text: pa.Array, k: int = WORDS):
     """Distinct shingle hashes of each text, sorted within the text, and offsets."""
     raw, offs = flat(text)
@@ -128,11 +154,11 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _bits(classes: DataFrame) -> DataFrame:
-    """id, bits: the wide sketch as a map of BITS bits; slots that fall together are one bit."""
+    """id, bits: the NARROW smallest values as a map of BITS bits; slots that fall together are one bit."""
 
     def run(batches):
         for b in batches:
-            raw, offs = flat(b.column("wide"))
+            raw, offs = flat(pc.binary_slice(b.column("wide"), 0, 2 * NARROW))
             width = np.diff(offs) // 2
             m = np.zeros((b.num_rows, BITS), bool)
             m[np.repeat(np.arange(b.num_rows), width), np.frombuffer(raw.tobytes(), np.uint16) % BITS] = True
@@ -149,13 +175,13 @@ def _short_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     def compare(t: pa.Table) -> pa.Table:
         v, ids, n, comp = (t[c].to_numpy() for c in ("v", "id", "n", "comp"))
         m = flat(t["bits"])[0].reshape(len(ids), BITS // 64 * 8).view(np.uint64)
-        lost = np.minimum(n, WIDE) - np.bitwise_count(m).sum(axis=1).astype(np.int64)
+        lost = np.minimum(n, NARROW) - np.bitwise_count(m).sum(axis=1).astype(np.int64)
         out = [np.zeros((0, 2), np.int64)]
         for gap in range(1, SHORT):  # lists lie together, so partners are less than SHORT rows apart
             x = np.flatnonzero((v[gap:] == v[:-gap]) & (comp[gap:] != comp[:-gap]) & (4 * np.minimum(n[gap:], n[:-gap]) >= 3 * np.maximum(n[gap:], n[:-gap])))
             y = x + gap
             common = np.bitwise_count(m[x] & m[y]).sum(axis=1).astype(np.int64) + np.minimum(lost[x], lost[y])
-            ok = np.where((n[x] <= WIDE) & (n[y] <= WIDE), 7 * common >= 3 * (n[x] + n[y]), common >= WIDE_MEET)
+            ok = _enough(common, n[x], n[y], NARROW)
             out.append(np.sort(np.stack([ids[x[ok]], ids[y[ok]]], axis=1), axis=1))
         got = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
@@ -213,7 +239,7 @@ def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
         holder = place[row[rare]]
         cut = np.r_[0, np.cumsum(np.bincount(row, minlength=len(width)))]
         out = []
-        for part in np.array_split(left, max(1, len(left) // 256)):
+        for part in np.array_split(left, max(1, len(left) // 64)):
             at = ragged(cut[part], np.diff(cut)[part])
             v, x = value[at], np.repeat(np.arange(len(part)), np.diff(cut)[part])
             v, x = v[~often[at]], x[~often[at]]
@@ -221,8 +247,7 @@ def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
             common = np.bincount(met, minlength=len(part) * len(right)).reshape(len(part), len(right)) + np.rint(m[part] @ m[right].T).astype(np.int64)
             common += np.minimum(lost[part][:, None], lost[right][None])
             na, nb = n[part][:, None], n[right][None]
-            ok = np.where((na <= WIDE) & (nb <= WIDE), 7 * common >= 3 * (na + nb), common >= WIDE_MEET)
-            ok &= (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (comp[part][:, None] != comp[right][None])
+            ok = _enough(common, na, nb, WIDE) & (comp[part][:, None] != comp[right][None])
             x, y = np.nonzero(ok)
             out.append(np.sort(np.stack([ids[part[x]], ids[right[y]]], axis=1), axis=1))
         got = np.unique(np.concatenate(out), axis=0)

@@ -10,6 +10,7 @@ from .views import dem, with_sql
 
 QUERIES: dict = {}
 SQL: dict = {}
+#: Rows of the grid that the recursive SQL covers; the queries take the whole grid.
 GRID = 48
 NB = "nb AS (SELECT a.pix, a.r, a.c, a.z, b.pix AS q, b.z AS zq, (b.r - a.r) AS dr, (b.c - a.c) AS dc FROM dem a JOIN dem b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND a.pix <> b.pix)"
 TOP = "dem AS (SELECT * FROM full_dem WHERE r < {n})"
@@ -117,17 +118,17 @@ _ORDER = "nbo AS (SELECT pix, arg_min(q, (-zq, q)) AS q FROM nb WHERE (-zq, q) <
 
 @add("watershed_labels", small(GRID, NB, _ORDER, recursive=True) + "SELECT pix AS id, root FROM bas WHERE root IN (SELECT root FROM bas GROUP BY root HAVING count(*) >= 5)")
 def _(spark, sf):
-    return O.watershed(dem(spark, sf, GRID), 5)
+    return O.watershed(dem(spark, sf), 5)
 
 
 @add("region_centroids", small(GRID, "m AS (SELECT * FROM dem WHERE z > 0)", "e AS (SELECT a.pix AS a, b.pix AS b FROM m a JOIN m b ON (a.r = b.r AND abs(a.c - b.c) = 1) OR (a.c = b.c AND abs(a.r - b.r) = 1))", "reach(pix, lab) AS (SELECT pix, pix FROM m UNION SELECT e.b, reach.lab FROM reach JOIN e ON reach.pix = e.a WHERE reach.lab < e.b)", "lab AS (SELECT pix, min(lab) AS region FROM reach GROUP BY pix)", recursive=True) + "SELECT region, count(*) AS cells, CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c, max(z) AS z FROM lab JOIN m ON lab.pix = m.pix GROUP BY region")
 def _(spark, sf):
-    return O.region_centroids(dem(spark, sf, GRID).filter("z > 0"))
+    return O.region_centroids(dem(spark, sf).filter("z > 0"))
 
 
 @add("fill_sinks", small(GRID, NB, "fill(pix, w) USING KEY (pix) AS (SELECT pix, any_value(z) FROM nb GROUP BY pix HAVING count(*) < 8 UNION SELECT nb.q, min(greatest(nb.zq, f.w)) FROM fill f JOIN nb ON nb.pix = f.pix LEFT JOIN recurring.fill o ON o.pix = nb.q WHERE o.w IS NULL OR greatest(nb.zq, f.w) < o.w GROUP BY 1)", recursive=True) + "SELECT d.pix, d.r, d.c, d.z, f.w FROM dem d JOIN fill f ON d.pix = f.pix")
 def _(spark, sf):
-    return O.fill_sinks(dem(spark, sf, GRID))
+    return O.fill_sinks(dem(spark, sf))
 
 
 _PROM = small(
@@ -146,10 +147,10 @@ _PROM = small(
 
 @add("prominence", _PROM + "SELECT pix, z, keycol, z - keycol AS prom FROM prom WHERE z > keycol")
 def _(spark, sf):
-    return prominence(dem(spark, sf, GRID)).select("pix", "z", "keycol", "prom")
+    return prominence(dem(spark, sf)).select("pix", "z", "keycol", "prom")
 
 
 @add("prominence_filter", _PROM + "SELECT pix, z - keycol AS prom FROM prom WHERE z - keycol >= 1300 AND pix % 64 >= 8 AND pix % 64 < 56")
 def _(spark, sf):
-    kept = prominence(dem(spark, sf, GRID)).filter("prom >= 1300")
+    kept = prominence(dem(spark, sf)).filter("prom >= 1300")
     return kept.filter((F.col("pix") % 64 >= 8) & (F.col("pix") % 64 < 56)).select("pix", "prom")

@@ -3,7 +3,8 @@
 Centroids come from balanced k-means on a bounded sample and are searched by a neighbour graph in memory (beam search
 from pivot centroids). Every row is stored in the list of its nearest centroid; rows near a border are replicated to
 further lists, if no chosen centroid lies closer to the next one than the row does. A query reads the lists whose
-centroid distance is within a ratio of the nearest one; the ratio is calibrated on the sample for `recall`.
+centroid distance is within a ratio of the nearest one; the ratio and the number of centroids searched are calibrated
+on the sample for `recall`, up to all lists.
 Lists of many rows are split over several tasks. Scores are cosines in double precision on the original vectors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, and neither do those
@@ -70,6 +71,12 @@ class Lists:
         beam = min(beam, len(self.c))
         ids, dist = [], []
         for p in np.array_split(x, max(1, len(x) // 256)) if len(x) else []:
+            if beam == len(self.c):  # no graph needed
+                s = p @ self.c.T
+                o = np.argsort(-s, axis=1, kind="stable")
+                ids.append(o)
+                dist.append(np.sqrt(np.maximum(2 - 2 * np.take_along_axis(s, o, 1), 0)))
+                continue
             s = p @ self.c[self.pivots].T
             start = min(beam, s.shape[1])
             at = self.pivots[np.argpartition(-s, start - 1, axis=1)[:, :start]]
@@ -114,14 +121,14 @@ class Lists:
             out[ok, j] = ids[ok, j]
         return out
 
-    def probe(self, x: np.ndarray, ratio: float, beam: int) -> np.ndarray:
-        """Lists a query reads (-1: none)."""
+    def probe(self, x: np.ndarray, ratio: float, beam: int, least: int = 1) -> np.ndarray:
+        """Lists a query reads (-1: none), the `least` nearest in any case."""
         ids, dist = self.search(x, beam)
-        return np.where(dist <= ratio * dist[:, :1] + 1e-9, ids, -1)
+        return np.where((dist <= ratio * dist[:, :1] + 1e-9) | (np.arange(ids.shape[1]) < least), ids, -1)
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE, recall: float = 0.97) -> dict:
-    """Centroids and probing ratio from at most `sample` rows, chosen by a hash of their ids."""
+    """Centroids, probing ratio and beam from at most `sample` rows, chosen by a hash of their ids."""
     n = rows.count()
     x = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()["embedding"])
     if not len(x):
@@ -135,13 +142,15 @@ def fit(rows: DataFrame, sample: int = SAMPLE, recall: float = 0.97) -> dict:
     top = np.argsort(-s, axis=1)[:, : min(5, len(x) - 1)]
     where = lists.place(x)
     beam = min(len(lists.c), 64)
-    ratio = 1.0
-    for ratio in (1.02, 1.05, 1.1, 1.15, 1.2, 1.3, 1.4, 1.6, 2.0, 9.0):
-        got = lists.probe(q, ratio, beam)
-        found = (where[top][:, :, :, None] == np.where(got < 0, -2, got)[:, None, None, :]).any((2, 3)) if top.size else np.ones(1)
-        if found.mean() >= recall:
-            break
-    return {"lists": lists, "ratio": ratio, "beam": beam}
+    while True:
+        for ratio in (1.02, 1.05, 1.1, 1.15, 1.2, 1.3, 1.4, 1.6, 2.0, 9.0):
+            got = lists.probe(q, ratio, beam)
+            found = (where[top][:, :, :, None] == np.where(got < 0, -2, got)[:, None, None, :]).any((2, 3)) if top.size else np.ones(1)
+            if found.mean() >= recall:
+                return {"lists": lists, "ratio": ratio, "beam": beam}
+        if beam == len(lists.c):  # even so: read all lists
+            return {"lists": lists, "ratio": ratio, "beam": beam, "least": beam}
+        beam = min(2 * beam, len(lists.c))
 
 
 def index(rows: DataFrame, model: dict) -> DataFrame:
@@ -202,7 +211,7 @@ def search(index_rows: DataFrame, queries: DataFrame, model: dict, k: int = 5) -
             if not len(x):
                 continue
             m = ship.value
-            got = m["lists"].probe(_unit(x), m["ratio"], m["beam"])
+            got = m["lists"].probe(_unit(x), m["ratio"], m["beam"], m.get("least", 1))
             r, c = np.nonzero(got >= 0)
             lists = got[r, c]
             n = splits.value[lists]

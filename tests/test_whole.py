@@ -3,10 +3,14 @@
 import heapq
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from test_core import scan
 
 from cragline import registry
+from cragline.llm import ann
 
 W, COLS, ROWS = 64, 12, 56
 NEAR = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
@@ -90,3 +94,20 @@ def flood(z):
 def test_sinks_of_the_whole_grid(spark, tall):
     folder, z = tall
     assert {r["pix"]: r["w"] for r in collect(spark, "fill_sinks", folder)} == flood(z)
+
+
+def test_recall_over_many_lists(spark, tmp_path, monkeypatch):
+    n = 12_000
+    x = np.random.default_rng(5).normal(size=(n, 64))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), f"{tmp_path}/e.parquet")
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    df = spark.read.parquet(f"{tmp_path}/e.parquet")
+    assert len(ann.fit(df)["lists"].c) == 600
+    got = ann.nearest(df).toPandas().groupby("query_id").vec_id.agg(set)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, n, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(got.get(q, set()) & set(np.argpartition(-s, 5)[:5]))
+    assert hit >= 0.93 * 5 * (n // 50)

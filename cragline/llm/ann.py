@@ -172,15 +172,18 @@ def index(rows: DataFrame, model: dict) -> DataFrame:
 
 def _best(q_id, q, c_id, c, k: int):
     """k best candidates of each query within one block: (query, candidate, score)."""
-    # of equal vectors only the k + 1 smallest ids can be among the k nearest
+    # of equal vectors only the k + 1 smallest ids can be among the k nearest, each counted once
     o = np.lexsort((c_id,))
     c_id, c = c_id[o], c[o]
     _, inv = np.unique(c, axis=0, return_inverse=True)
+    inv = inv.ravel()
     o = np.lexsort((c_id, inv))
-    g = inv.ravel()[o]
+    o = o[np.append(True, (np.diff(c_id[o]) != 0) | (np.diff(inv[o]) != 0))]
+    g = inv[o]
     nth = np.arange(len(g)) - np.searchsorted(g, g)
     o = o[nth <= k]
     c_id, c = c_id[o], c[o]
+    k *= int(np.unique(c_id, return_counts=True)[1].max())  # rows of one id are one candidate
     qn, cn = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     out = []
     for a in range(0, len(q), 256):
@@ -243,4 +246,17 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     if model["lists"] is None:
         return search(ok, ok, model, k)
     stored = materialize(index(ok, model), "postings")
-    return search(stored, ok.filter(F.pmod("vec_id", F.lit(every)) == 0), model, k)
+    asked = ok.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    best = materialize(search(stored, asked, model, k), "nearest")
+    want = ok.select("vec_id").distinct().limit(k + 1).count() - 1
+    # queries whose lists hold too few candidates read more lists, in the end all
+    n = len(model["lists"].c)
+    for least in sorted({min(16, n), min(128, n), n}) if want else []:
+        full = best.groupBy("query_id").count().filter(F.col("count") >= want)
+        short = materialize(asked.join(full, asked["vec_id"] == full["query_id"], "left_anti"), "short")
+        if short.isEmpty():
+            break
+        more = search(stored, short, model | {"beam": max(model["beam"], least), "least": least}, k)
+        kept = best.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
+        best = materialize(kept.unionByName(more), "nearest")
+    return best

@@ -81,7 +81,8 @@ def _(spark, sf):
 
 
 def _points(spark, sf):
-    return dem(spark, sf).filter("pix % 131 = 7").select(F.col("pix").alias("fid"), F.col("r").alias("pr"), F.col("c").alias("pc"))
+    """Every cell as a disc centre; the SQL below has those with pix % 131 = 7 only."""
+    return dem(spark, sf).select(F.col("pix").alias("fid"), F.col("r").alias("pr"), F.col("c").alias("pc"))
 
 
 _DISC = "d AS (SELECT p.pix AS fid, q.pix, q.z, (p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c) AS d2 FROM dem p JOIN dem q ON q.r BETWEEN p.r - 3 AND p.r + 3 AND q.c BETWEEN p.c - 3 AND p.c + 3 WHERE p.pix % 131 = 7 AND (p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c) <= 9)"

@@ -125,3 +125,15 @@ def test_isolated_rows_get_all_neighbours(spark, tmp_path, monkeypatch):
     assert got.groupby("query_id").size().to_dict() == {q: 5 for q in range(0, n, 50)}
     few = spark.createDataFrame([(0, [1.0, 0.0]), *[(1, [1.0, 0.1])] * 20, (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r)[:3] for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_discs_around_all_cells(spark, tall):
+    folder, z = tall
+    disc = {p: [q for dr in range(-3, 4) for dc in range(-3, 4) if dr * dr + dc * dc <= 9 and 0 <= p % W + dc < W and (q := p + dr * W + dc) in z] for p in z}
+    assert {r["fid"]: r["z"] for r in collect(spark, "disc_zonal_max", folder)} == {p: max(z[q] for q in d) for p, d in disc.items()}
+    assert {r["fid"]: r["z"] for r in collect(spark, "disc_zonal_min", folder)} == {p: min(z[q] for q in d) for p, d in disc.items()}
+    want = {}
+    for p, d in disc.items():
+        q = min(d, key=lambda q: (-z[q], q))
+        want[p] = (z[q], q, (p // W - q // W) ** 2 + (p % W - q % W) ** 2, z[q] - z[p])
+    assert {r["fid"]: (r["z"], r["pix"], r["d2"], r["dz"]) for r in collect(spark, "local_max_disc", folder)} == want

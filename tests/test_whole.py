@@ -137,3 +137,12 @@ def test_discs_around_all_cells(spark, tall):
         q = min(d, key=lambda q: (-z[q], q))
         want[p] = (z[q], q, (p // W - q // W) ** 2 + (p % W - q % W) ** 2, z[q] - z[p])
     assert {r["fid"]: (r["z"], r["pix"], r["d2"], r["dz"]) for r in collect(spark, "local_max_disc", folder)} == want
+
+
+def test_box_of_all_peaks(spark):
+    sf = "/root/testdata/sf0.001"
+    peaks = [((k * 7919) % 20011, (k * 10007) % 20021) for (k,) in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    refs = {k: ((k * 7907) % 20011, (k * 10009) % 20021) for (k,) in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    (lx, *_, hx), (ly, *_, hy) = (sorted(v) for v in zip(*peaks, strict=True))
+    want = {k for k, (x, y) in refs.items() if lx - 100 <= x <= hx + 100 and ly - 100 <= y <= hy + 100}
+    assert {r["bid"] for r in collect(spark, "bbox_filter", sf)} == want

@@ -70,16 +70,20 @@ def region_centroids(mask: DataFrame) -> DataFrame:
     return mask.join(comp, F.col("pix") == F.col("id")).groupBy(F.col("comp").alias("region")).agg(F.count("*").alias("cells"), F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"), F.max("z").alias("z"))
 
 
-def fill_sinks(dem: DataFrame, step: int = 0, rounds: int = 10_000) -> DataFrame:
+def fill_sinks(dem: DataFrame, step: int = 0, rounds: int | None = None) -> DataFrame:
     """Cells raised to the lowest level at which water reaches the edge, `step` per cell; edge cells keep their height.
 
-    Relaxes water levels downwards until nothing changes; a round is one shuffle.
+    Relaxes water levels downwards until nothing changes; raises if `rounds` are given and do not suffice.
     """
     sent = scatter(dem, ["z"])
     edge = sent.groupBy("r", "c").count().withColumnRenamed("count", "n")
     top = dem.agg(F.max("z")).first()[0]
     w = materialize(dem.join(edge, ["r", "c"], "left").select("pix", "r", "c", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(top)).alias("w")), "fill")
-    for _ in range(rounds):
+    done = 0
+    while True:
+        if done == rounds:
+            raise RuntimeError(f"water levels still change after {rounds} rounds")
+        done += 1
         new = w.withColumn("old", F.col("w"))
         for _ in range(6):  # steps between two written rounds
             low = scatter(new, ["w"]).groupBy("r", "c").agg(F.min("w").alias("low"))

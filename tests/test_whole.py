@@ -11,6 +11,7 @@ from test_core import scan
 
 from cragline import registry
 from cragline.llm import ann
+from cragline.operators import raster
 
 W, COLS, ROWS = 64, 12, 56
 NEAR = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
@@ -146,3 +147,12 @@ def test_box_of_all_peaks(spark):
     (lx, *_, hx), (ly, *_, hy) = (sorted(v) for v in zip(*peaks, strict=True))
     want = {k for k, (x, y) in refs.items() if lx - 100 <= x <= hx + 100 and ly - 100 <= y <= hy + 100}
     assert {r["bid"] for r in collect(spark, "bbox_filter", sf)} == want
+
+
+def test_unfinished_filling_is_no_result(spark):
+    # a low channel between walls, longer than the steps of one round
+    z = {r * W + c: 1 if r == 1 and c < 11 else 9 for r in range(3) for c in range(COLS)}
+    z[W] = 0
+    cells = spark.createDataFrame([(p, p // W, p % W, v) for p, v in z.items()], "pix long, r long, c long, z int")
+    with pytest.raises(RuntimeError):
+        raster.fill_sinks(cells, rounds=1)

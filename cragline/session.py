@@ -1,12 +1,17 @@
-"""Session construction and the shared work folder."""
+"""Session construction, the shared work folder and the tables written there."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_local = threading.local()
+
 
 def get_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the engine is tested under."""
@@ -37,11 +42,63 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextlib.contextmanager
+def _release(spark: SparkSession):
+    """Shuffle files of a finished query go at once: what it wrote needs them no more."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cragline-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    # shuffle files of the plan just run are dropped once the driver notices that nothing refers to them
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/cragline-{uuid.uuid4().hex}"
+    if getattr(_local, "open", None):
+        _local.open[-1].append((spark, folder))
+    with _release(spark):
+        df.write.parquet(f"{folder}/{tag}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
+
+
+def to_arrow(df: DataFrame):
+    """The rows on the driver; the query's shuffle files go."""
+    with _release(df.sparkSession):
+        return df.toArrow()
+
+
+class Work:
+    """The tables written since scratch() was entered."""
+
+    def __init__(self):
+        self.tables: list = []
+
+    def keep(self, df: DataFrame, tag: str = "stage") -> DataFrame:
+        """Write df as a table that outlives this scope (but not an outer one)."""
+        _local.open.pop()
+        try:
+            return materialize(df, tag)
+        finally:
+            _local.open.append(self.tables)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that materialize() writes inside are deleted at the end, but for those of keep()."""
+    if not hasattr(_local, "open"):
+        _local.open = []
+    work = Work()
+    _local.open.append(work.tables)
+    try:
+        yield work
+    finally:
+        _local.open.pop()
+        for spark, folder in work.tables:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

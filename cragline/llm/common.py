@@ -97,14 +97,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def span_hasher(raw: np.ndarray):
+    """A function of starts and ends that gives a 64-bit polynomial hash of those spans of raw, from prefix sums."""
+    power, inverse = _powers(len(raw) + 1)
+    acc = np.empty(len(raw) + 1, np.uint64)
+    acc[0] = 0
+    terms = raw.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= power[: len(raw)]
+    np.cumsum(terms, out=acc[1:])
+    return lambda s, e: mix((acc[e] - acc[s]) * inverse[s])
+
+
 def span_hash(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each span, from prefix sums."""
-    p, inv = _powers(len(raw))
-    acc = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p, out=acc[1:])
-    if "i" in _pow and len(inv) <= (s.max() if len(s) else 0):
-        inv = _powers(int(s.max()) + 1)[1]
-    return mix((acc[e] - acc[s]) * inv[s])
+    """64-bit polynomial hash of each span."""
+    return span_hasher(raw)(s, e)
 
 
 _STEP = np.array([pow(0xD6E8FEB86659FD93, j, 1 << 64) for j in range(1, 65)], np.uint64)
@@ -142,11 +149,12 @@ def widen(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
-PACKED = "slice long, ids binary, offs binary, flag binary, data binary"
+PACKED = "slice long, part int, ids binary, offs binary, flag binary, data binary"
 
 
-def pack(docs: DataFrame, flag: str | None = None, limit: int = 8 << 20) -> DataFrame:
-    """One row per slice of about `limit` text bytes: ids (nullable ids are marked in flag bit 1), offsets, bytes.
+def pack(docs: DataFrame, flag: str | None = None, limit: int = 4 << 20, unit: int = 16 << 20) -> DataFrame:
+    """Rows of about `limit` text bytes each: ids (nullable ids are marked in flag bit 1), offsets, bytes. Consecutive
+    rows of a task, about `unit` bytes together, are the parts of one slice.
 
     docs must hold doc_id and text (and the boolean flag column, bit 0). Materialise the result before it is
     read twice: slices follow the order in which a task reads its rows.
@@ -154,25 +162,45 @@ def pack(docs: DataFrame, flag: str | None = None, limit: int = 8 << 20) -> Data
     cols = ["doc_id", "text"] + ([flag] if flag else [])
 
     def run(batches):
-        part, n = TaskContext.get().partitionId(), 0
+        task, n, part, held_bytes = TaskContext.get().partitionId(), 0, 0, 0
         for b in pieces(batches, "text", limit):
             raw, offs = flat(b.column("text"))
+            if held_bytes and held_bytes + len(raw) > unit:
+                n, part, held_bytes = n + 1, 0, 0
             ids = b.column("doc_id")
             bits = (b.column(flag).to_numpy(zero_copy_only=False).astype(np.uint8) if flag else np.zeros(len(ids), np.uint8)) | (pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.uint8) << 1)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "slice": pa.array([(part << 32) | n], pa.int64()),
+                    "slice": pa.array([(task << 32) | n], pa.int64()),
+                    "part": pa.array([part], pa.int32()),
                     "ids": pa.array([squeeze(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64))], pa.binary()),
                     "offs": pa.array([squeeze(offs)], pa.binary()),
                     "flag": pa.array([squeeze(bits)], pa.binary()),
                     "data": pa.array([squeeze(raw)], pa.binary()),
                 }
             )
-            n += 1
+            part, held_bytes = part + 1, held_bytes + len(raw)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *cols[1:]).mapInArrow(run, PACKED)
 
 
+def by_slice(batches):
+    """(slice, its rows that lie together) of packed record batches, one slice at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["slice"] != row["slice"]:
+                yield held[0]["slice"], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0]["slice"], held
+
+
+def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, flags, offsets, bytes of a packed slice."""
     return widen(row["ids"], np.int64), widen(row["flag"], np.uint8), widen(row["offs"], np.int64), widen(row["data"], np.uint8)

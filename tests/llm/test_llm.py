@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cragline.llm import ann, bpe, chat, ctw, decontaminate, langid, neardup, queries, suffixdedup, tokenfile, toxicity
+from cragline.llm import ann, bpe, chat, ctw, decontaminate, gsaca, langid, neardup, queries, suffixdedup, tokenfile, toxicity
 from cragline.llm.gsaca import suffix_array
 
 SF = "/root/testdata/sf0.001"
@@ -69,7 +69,7 @@ def test_ctw_equals_brute_force(spark, odd, empty):
     rows = [(i, t) for i, t in enumerate(["abab ab", "abba", None, "", "Ab c ab", "bbb"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     depth = 3
-    got = {r["doc_id"]: r for r in ctw.score(docs, depth, 64).collect()}
+    got = {r["doc_id"]: r for r in ctw.score(docs, depth, 16, 32).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
     seq = {i: list((t or "").lower().encode()) + [255] for i, t in rows}
     count: dict = {}
@@ -112,7 +112,7 @@ def test_ctw_equals_brute_force(spark, odd, empty):
                     p += reach * stop * (c[bit] + 0.5) / (sum(c) + 1)
                     reach *= 1 - stop
                 total += log10(p)
-        assert abs(got[i]["score"] - total) < 1e-4, i
+        assert abs(got[i]["score"] - total) < 1e-9, i
     train = [w for i, t in rows if not held[i] for w in [*(t or "").lower().split(), "</end>"]]
     n, v = len(train), len(set(train))
     for i, t in rows:
@@ -143,12 +143,26 @@ def test_suffix_array():
         assert suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-def test_suffix_dedup_equals_brute_force(spark, odd, empty):
+@pytest.mark.parametrize("few", [0, 24, 10**6])
+def test_suffix_arrays_of_many_texts(monkeypatch, few):
+    monkeypatch.setattr(gsaca, "FEW", few)
+    rng = random.Random(few)
+    for _ in range(60):
+        texts = [[rng.randrange(rng.choice([1, 2, 3, 26])) for _ in range(rng.randrange(40))] for _ in range(rng.randrange(60))]
+        got = gsaca.suffix_arrays(np.array(sum(texts, []), np.int64), np.array([len(t) for t in texts], np.int64)).tolist()
+        for t in texts:
+            here, got = got[: len(t)], got[len(t) :]
+            assert [x - min(here) for x in here] == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_suffix_dedup_equals_brute_force(spark, odd, empty, monkeypatch, crowd):
+    monkeypatch.setattr(suffixdedup, "CROWD", crowd)
     rng = random.Random(5)
     passage = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (50, 49, 180, 60)]
     rows = [(i, "".join(rng.choice([*passage, "".join(rng.choice("xyz ") for _ in range(rng.randrange(40)))]) for _ in range(rng.randrange(7)))) for i in range(60)]
     for data, size in ((spark.createDataFrame(rows, "doc_id long, text string"), 700), (odd, 1 << 20)):
-        got = suffixdedup.dedup(data, True, size).collect()
+        got = suffixdedup.dedup(data, True, size, 2 * size).collect()
         seen: dict = {}
         src = [(r["doc_id"], (r["text"] or "").encode()) for r in data.collect()]
         for i, b in src:

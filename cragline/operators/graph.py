@@ -2,30 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+GATHER = 1 << 20
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+
+def _stars(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) among these edges."""
+    nodes, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = inv[: len(src)], inv[len(src) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contract(batches):
+    """The components of a partition's edges as stars; memory grows with its nodes, not its edges."""
+    src, dst, wait = [], [], 0
+    for b in batches:
+        src.append(b.column("src").to_numpy(zero_copy_only=False))
+        dst.append(b.column("dst").to_numpy(zero_copy_only=False))
+        wait += b.num_rows
+        if wait > max(GATHER, 2 * len(src[0])):
+            x, y = _stars(np.concatenate(src), np.concatenate(dst))
+            src, dst, wait = [x], [y], 0
+    if src:
+        x, y = _stars(np.concatenate(src), np.concatenate(dst))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["id", "root"])
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """id, comp: the smallest id reachable from each node.
 
-    edges(src, dst) is undirected; nodes(id). Every round takes the least label among a node's neighbours and then
-    follows the label's own label, so a path's length halves; a hub's neighbours are reduced map-side first.
+    edges(src, dst) is undirected, without nulls; nodes(id), or all nodes with an edge. Every round contracts each
+    partition's edges to stars before anything is shuffled; a node that several partitions know joins their roots, and the
+    edges between roots are the next round's graph. A hub has one row a partition.
+
+    Defined results: loops and repeated edges change nothing; a node without edges is its own component.
     """
-    e = edges.filter("src != dst")
-    both = materialize(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    label = materialize(both.select(F.col("src").alias("id")).distinct().withColumn("comp", F.col("id")), "label")
+    rounds = []
+    rest = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     while True:
-        near = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("comp").alias("m"))
-        step = label.join(near.withColumnRenamed("src", "id"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        # labels are ids of nodes with edges, so each has a row of its own
-        up = step.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        step = materialize(step.join(up, "comp").select("id", "old", F.least("comp", "up").alias("comp")), "label")
-        label = step.select("id", "comp")
-        if step.filter("comp != old").isEmpty():
+        star = rest.mapInArrow(_contract, "id long, root long")
+        star = materialize(star.withColumn("least", F.min("root").over(Window.partitionBy("id"))), "stars")
+        rounds.append(star)
+        rest = star.filter("root != least").select(F.col("root").alias("src"), F.col("least").alias("dst")).distinct()
+        if rest.isEmpty():
             break
+    label = None
+    for star in reversed(rounds):
+        own = star.select("id", F.col("least").alias("comp")).distinct()
+        if label is not None:
+            up = label.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+            own = own.join(up, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
+        label = own
+    if nodes is None:
+        return label
     return nodes.join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 

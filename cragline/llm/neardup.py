@@ -1,19 +1,21 @@
 """Near-duplicate detection with bottom-k MinHash sketches.
 
-1. Sketch: the k smallest hashes (one hash function) of a text's distinct 5-word shingles; texts with equal sets, by a
-   128-bit digest, form one class and its smallest doc_id stands for it.
-2. Inverted lists: sketch values kept by two or more classes, each class listing only under its rarest values (a prefix
-   long enough for any linked pair to meet: two texts at the threshold share at least MEET of k values, but for a chance
-   below 1e-12).
-3. Pairs: each list's leaders are compared with the list instead of all pairs of a group; after a few rounds, members
-   that are still in different components are compared by wide sketches (WIDE values of 16 bits; whole sets of most
-   texts), long lists in blocks and short ones as they pass by, so that texts with only a passage in common make no pair.
-   Candidates must share MEET values in the bottom-k of the union of their sketches (union-sketch estimate).
-4. Exact Jaccard on the full shingle sets confirms each link.
-5. Components by min-label propagation.
+1. Sketch: the K smallest hashes (one hash function) of a text's distinct 5-word shingles; texts with equal sets, by a
+   128-bit digest, form one class and its smallest doc_id stands for it. Only classes that share enough sketch values
+   with others can have a link; the rest drop out here.
+2. Inverted lists: the WIDE smallest hashes of those classes, each class listing only under its rarest values, so many
+   that any linked pair meets at the rarest value it shares.
+3. Overlaps: a value's place among a class's values bounds what two classes that share it first can have in common. Each
+   list's leaders are compared with the list instead of all pairs of a group; after a few rounds the members that are
+   still in different components are compared: those of short lists pair by pair, those of long ones in blocks.
+   Pairs are estimated by the bottom K of the union of their sketches before their sets are looked at.
+4. Exact Jaccard on the full shingle sets confirms each link. A block verifies its pairs itself and gives only edges
+   that join components, fewer than it has members.
+5. Components, by contraction of the edges between those of the round before.
 
 Defined results: texts without words, null texts and null ids are linked with nothing (a null id has a null component
-and is kept); repeated rows of an id share a component.
+and is kept); repeated rows of an id share a component; an empty table gives an empty result; columns besides doc_id and
+text are not looked at.
 """
 
 from __future__ import annotations
@@ -23,54 +25,50 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import LOWER, SPACED, flat, mix, pieces, ragged, run_hash, span_hash, spans
 
-K, MEET, WORDS = 64, 22, 5
+K, WIDE, WORDS = 64, 512, 5
 ROUNDS = 3
-SHORT, BLOCK = 16, 2048
-#: Values of wide sketches, and those of them that members of short lists are compared by.
-WIDE, NARROW = 512, 256
-#: Texts of so few shingles are listed under few values: leaders take their pairs even from a single list.
-FEW = 16
-#: Size of the map of a wide sketch by which members of short lists are compared.
-BITS = 2048
+#: Lists of more members are compared in blocks, of so many members and shingles at most (one larger text is alone).
+SHORT, BLOCK, VALUES = 16, 2048, 1 << 20
 #: Values with more holders than this in a block are counted by a matrix product, others by their pairs of holders.
 COMMON = 256
-BLOOM_BITS = 22
 
 
 @functools.cache
-def _meets(width: int) -> np.ndarray:
-    """How many values two sketches of `width` share at the threshold, but for a chance below 1e-12, by percent of the sizes.
+def meet(width: int) -> int:
+    """How many values two sketches of `width` share if their sets are linked, but for a chance below 1e-12.
 
-    Of the smallest values of either set a binomial count lies in the intersection, which holds at least 3/7 of both
-    sizes together; the sketch that ends first has all of its share in common.
+    The sketch that ends first has all of its share in common; at least three quarters of a linked set are common.
     """
-    out = np.zeros(101, np.int64)
     k = np.arange(width + 1)
     choose = np.array([math.lgamma(width + 1) - math.lgamma(i + 1) - math.lgamma(width - i + 1) for i in k])
-    for percent in range(75, 101):
-        p = 3 / 7 * (1 + percent / 100)
-        below = np.cumsum(np.exp(choose + k * math.log(p) + (width - k) * math.log1p(-p)))
-        out[percent] = np.searchsorted(below, 5e-13, "right")
-    return out
+    return int(np.searchsorted(np.cumsum(np.exp(choose + k * math.log(0.75) + (width - k) * math.log(0.25))), 5e-13, "right"))
+
+
+def least(n, width: int):
+    """How many of its sketch values a set of n shingles shares with any linked one, at least (a column).
+
+    A whole set may meet one a third larger, whose sketch lacks what exceeds the width.
+    """
+    return F.when(n > width, meet(width)).otherwise(F.least(F.ceil(n * 0.75), F.lit(2 * width // 3)))
 
 
-def _enough(common: np.ndarray, na: np.ndarray, nb: np.ndarray, width: int) -> np.ndarray:
-    """Whether sets of these sizes with so many common sketch values can be linked; exact for sets that fit a sketch."""
-    low, high = np.minimum(na, nb), np.maximum(na, nb)
-    return (4 * low >= 3 * high) & np.where(high <= width, 7 * common >= 3 * (na + nb), common >= _meets(width)[100 * low // np.maximum(high, 1)])
+def possible(na, ma, nb, mb):
+    """Whether sets of na and nb shingles can be linked if the first value they share leaves ma and mb shared ones."""
+    met = F.when((na <= WIDE) & (nb <= WIDE), 7 * F.least(ma, mb) >= 3 * (na + nb)).otherwise(F.least(ma, mb) >= meet(WIDE))
+    return met & (4 * F.least(na, nb) >= 3 * F.greatest(na, nb))
 
 
 def shingles(text: pa.Array, k: int = WORDS):
-    """Distinct shingle hashes of each text, sorted within the text, and offsets."""
+    """Distinct shingle hashes (signed) of each text, sorted within the text, and offsets."""
     raw, offs = flat(text)
     raw = LOWER[raw]
     s, e, d = spans(raw, offs, SPACED)
@@ -86,6 +84,7 @@ def shingles(text: pa.Array, k: int = WORDS):
         if len(short):
             hs = run_hash(h, size)[first[short]]
             run, doc = np.concatenate([run, mix(hs + np.uint64(size))]), np.concatenate([doc, short])
+    run = run.view(np.int64)
     o = np.argsort(run)
     o = o[np.argsort(doc[o], kind="stable")]
     run, doc = run[o], doc[o]
@@ -95,96 +94,91 @@ def shingles(text: pa.Array, k: int = WORDS):
     return run, np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, sketch, wide of every row; wide: the low 16 bits of the WIDE smallest hashes."""
+    """doc_id, n_shingles, digest, sketch of every row."""
 
     def run(batches):
         for b in pieces(batches, "text", 2 << 20):
             h, offs = shingles(b.column("text"))
+            n = np.diff(offs)
             cut = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array(np.diff(offs), pa.int64()),
-                    pa.array([hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in cut], pa.binary()),
-                    pa.array([h[x : min(y, x + K)].view(np.int64) for x, y in cut], pa.list_(pa.int64())),
-                    pa.array([h[x : min(y, x + WIDE)].astype(np.uint16).tobytes() for x, y in cut], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "digest", "sketch", "wide"],
-            )
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>, wide binary")
-
-
-def lists(classes: DataFrame) -> DataFrame:
-    """v, id, n: under which of its rarest shared values each class (of n shingles) is listed."""
-    rows = classes.select("id", "n_shingles", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
+            digest = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in cut]
+            kept = np.minimum(n, K)
+            sketch = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], pa.int32()), pa.array(h[ragged(offs[:-1], kept)]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), sketch], names=["doc_id", "n_shingles", "digest", "sketch"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+
+
+def suspects(classes: DataFrame) -> DataFrame:
+    """id of the classes that share enough sketch values with others to have a link."""
+    rows = classes.select("id", "n", F.explode("sketch").alias("v"))
     shared = rows.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    # of kept values, all but (least overlap - 1) must be looked at; values of one class are the rarest and meet nobody
-    least = F.when(F.col("n_shingles") > K, MEET).otherwise(F.least(F.ceil(F.col("n_shingles") * 0.75), F.lit(42)))
-    w = Window.partitionBy("id").orderBy(F.desc("df"), "v")
-    met = rows.join(shared, "v").withColumn("least", least).withColumn("rank", F.row_number().over(w))
-    return met.filter("rank >= least").select("v", "id", F.col("n_shingles").alias("n"))
+    met = rows.join(shared, "v").groupBy("id", "n").agg(F.count("*").alias("met"))
+    return met.filter(F.col("met") >= least(F.col("n"), K)).select("id").distinct()
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch holds MEET common values or, for whole sets, the threshold itself."""
-    s = classes.select("id", "n_shingles", "sketch")
-    both = pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-    both = both.filter("4 * least(na, nb) >= 3 * greatest(na, nb)")  # the sets' sizes alone can rule a pair out
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, full (sorted) of each different text of these ids."""
 
     def run(batches):
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y, nx, ny) in enumerate(zip(b.column("sa"), b.column("sb"), b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)):
-                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-                both_sides = np.sort(np.concatenate([x, y]))
-                same = both_sides[1:] == both_sides[:-1]
-                if nx <= K and ny <= K:
-                    keep[i] = 7 * same.sum() >= 3 * (nx + ny)
-                else:
-                    edge = np.ones(len(both_sides), bool)
-                    edge[1:] = ~same
-                    union = both_sides[edge]
-                    last = union[min(K, len(union)) - 1]
-                    keep[i] = (both_sides[1:][same] <= last).sum() >= MEET
-            yield b.select(["a", "b"]).filter(pa.array(keep))
-
-    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
-
-
-def _bits(classes: DataFrame) -> DataFrame:
-    """id, bits: the NARROW smallest values as a map of BITS bits; slots that fall together are one bit."""
+        for b in pieces(batches, "text", 2 << 20):
+            h, offs = shingles(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offs), pa.int64()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(h))], names=["id", "n", "full"])
 
-    def run(batches):
-        for b in batches:
-            raw, offs = flat(pc.binary_slice(b.column("wide"), 0, 2 * NARROW))
-            width = np.diff(offs) // 2
-            m = np.zeros((b.num_rows, BITS), bool)
-            m[np.repeat(np.arange(b.num_rows), width), np.frombuffer(raw.tobytes(), np.uint16) % BITS] = True
-            packed = np.packbits(m, axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["id", "bits"])
+    rows = _texts(docs).withColumnRenamed("doc_id", "id").filter("id is not null").join(ids, "id", "left_semi")
+    return rows.dropDuplicates(["id", "text"]).mapInArrow(run, "id long, n long, full array<long>")
 
-    return classes.select("id", "wide").mapInArrow(run, "id long, bits binary")
 
+def lists(sets: DataFrame) -> DataFrame:
+    """v, id, n, most: the rarest shared values of each class (of n shingles); most: its values that are not rarer."""
+    rows = sets.select("id", "n", F.explode(F.slice("full", 1, WIDE)).alias("v"))
+    shared = rows.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    # of a class's values, all but (least overlap - 1) must be looked at; values of one class are the rarest and meet nobody
+    w = Window.partitionBy("id").orderBy(F.desc("df"), "v")
+    met = rows.join(shared, "v").withColumn("most", F.row_number().over(w))
+    return met.filter(F.col("most") >= least(F.col("n"), WIDE)).select("v", "id", "n", "most")
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of pairs(a, b, ...) whose full sets have 100 * intersection >= 75 * union."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("full").alias("f" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    # the union sketch: its values that both sets have are nearly always enough if the sets are linked
+    sa, sb = F.slice("fa", 1, K), F.slice("fb", 1, K)
+    last = F.element_at(F.slice(F.array_sort(F.array_union(sa, sb)), 1, K), -1)
+    near = F.when(F.greatest("na", "nb") <= K, True).otherwise(F.size(F.filter(F.array_intersect(sa, sb), lambda x: x <= last)) >= meet(K))
+    common = F.size(F.array_intersect("fa", "fb"))
+    return both.filter(near).filter(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select(*pairs.columns).distinct()
 
-def _short_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each short list's members in different components whose maps have enough bits in common."""
-    full = rows.select("v", "id", "n", "comp").join(_bits(classes), "id").repartition("v").sortWithinPartitions("v")
+
+def _pairs(x: str, y: str) -> list:
+    """Columns a, b (the smaller id first) and their components ca, cb of two structs or prefixes."""
+    flip = F.col(x + "id") > F.col(y + "id")
+    pick = lambda c, one, two: F.when(flip, F.col(two + c)).otherwise(F.col(one + c))
+    return [pick("id", x, y).alias("a"), pick("id", y, x).alias("b"), pick("comp", x, y).alias("ca"), pick("comp", y, x).alias("cb")]
+
+
+def _short_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, ca, cb) of each short list's members in different components that can be linked."""
+    full = rows.select("v", "id", "n", "most", "comp").repartition("v").sortWithinPartitions("v")
 
     def compare(t: pa.Table) -> pa.Table:
-        v, ids, n, comp = (t[c].to_numpy() for c in ("v", "id", "n", "comp"))
-        m = flat(t["bits"])[0].reshape(len(ids), BITS // 64 * 8).view(np.uint64)
-        lost = np.minimum(n, NARROW) - np.bitwise_count(m).sum(axis=1).astype(np.int64)
-        out = [np.zeros((0, 2), np.int64)]
+        v, ids, n, most, comp = (t[c].to_numpy() for c in ("v", "id", "n", "most", "comp"))
+        out = [np.zeros((0, 4), np.int64)]
         for gap in range(1, SHORT):  # lists lie together, so partners are less than SHORT rows apart
-            x = np.flatnonzero((v[gap:] == v[:-gap]) & (comp[gap:] != comp[:-gap]) & (4 * np.minimum(n[gap:], n[:-gap]) >= 3 * np.maximum(n[gap:], n[:-gap])))
+            x = np.flatnonzero((v[gap:] == v[:-gap]) & (comp[gap:] != comp[:-gap]))
             y = x + gap
-            common = np.bitwise_count(m[x] & m[y]).sum(axis=1).astype(np.int64) + np.minimum(lost[x], lost[y])
-            ok = _enough(common, n[x], n[y], NARROW)
-            out.append(np.sort(np.stack([ids[x[ok]], ids[y[ok]]], axis=1), axis=1))
+            ok = _possible(n[x], most[x], n[y], most[y])
+            x, y = x[ok], y[ok]
+            x, y = np.where(ids[x] <= ids[y], x, y), np.where(ids[x] <= ids[y], y, x)
+            out.append(np.stack([ids[x], ids[y], comp[x], comp[y]], axis=1))
         got = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
+        return pa.table({c: pa.array(got[:, k], pa.int64()) for k, c in enumerate(("a", "b", "ca", "cb"))})
 
     def run(batches):
         kept = None
@@ -200,125 +194,145 @@ def _short_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
         if kept is not None:
             yield from compare(kept).to_batches()
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(run, "a long, b long, ca long, cb long").distinct()
+
+
+def _possible(na, ma, nb, mb):
+    """possible() on arrays."""
+    most = np.minimum(ma, mb)
+    met = np.where((na <= WIDE) & (nb <= WIDE), 7 * most >= 3 * (na + nb), most >= meet(WIDE))
+    return met & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb))
 
 
-def _rest(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a list's members in different components, from rows(v, id, n, comp, members).
+def join_block(ids, n, most, comp, left, right, value, offs) -> list[tuple[int, int]]:
+    """Edges between components (comp, comp) that join what the links of left members with right ones join.
 
-    Short lists are compared whole. The members of longer ones are dealt to blocks of about BLOCK; each pair of blocks is
-    compared as a product of incidence matrices. Only pairs with enough common values leave either.
+    value, offs: the members' full sets. Links are confirmed by counting the values in common.
     """
-    pairs = _short_pairs(rows.filter(F.col("members") <= SHORT), classes)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    long = rows.filter(F.col("members") > SHORT).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    long = long.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp").join(classes.select("id", "wide"), "id")
+    size = np.diff(offs)
+    row = np.repeat(np.arange(len(size)), size)
+    code, _ = pd.factorize(value)
+    holders = np.bincount(code)
+    live = holders[code] > 1
+    row, code = row[live], code[live]
+    cut = np.r_[0, np.cumsum(np.bincount(row, minlength=len(size)))]
+    often = holders > COMMON
+    dense = np.cumsum(often) - 1
+    m = np.zeros((len(size), int(often.sum())), np.float32)
+    m[row[often[code]], dense[code[often[code]]]] = 1
+    # holders of the other values within the right block, value by value
+    place = np.full(len(size), -1)
+    place[right] = np.arange(len(right))
+    rare = np.flatnonzero(~often[code] & (place[row] >= 0))
+    rare = rare[np.argsort(code[rare], kind="stable")]
+    many = np.bincount(code[rare], minlength=len(holders))
+    first = np.cumsum(many) - many
+    holder = place[row[rare]]
+    lab = pd.factorize(comp)[0]
+    out = []
+    for part in np.array_split(left, max(1, len(left) // 64)):
+        near = _possible(n[part][:, None], most[part][:, None], n[right][None], most[right][None]) & (lab[part][:, None] != lab[right][None])
+        keep = near.any(1)
+        part, near = part[keep], near[keep]
+        if not len(part):
+            continue
+        at = ragged(cut[part], np.diff(cut)[part])
+        v, x = code[at], np.repeat(np.arange(len(part)), np.diff(cut)[part])
+        v, x = v[~often[v]], x[~often[v]]
+        met = np.repeat(x, many[v]) * len(right) + holder[ragged(first[v], many[v])]
+        common = np.bincount(met, minlength=len(part) * len(right)).reshape(len(part), len(right)) + np.rint(m[part] @ m[right].T).astype(np.int64)
+        near &= 7 * common >= 3 * (n[part][:, None] + n[right][None])
+        for p, y in zip(part[near.any(1)].tolist(), near[near.any(1)], strict=True):
+            partners = right[y]
+            while len(partners := partners[lab[partners] != lab[p]]):
+                out.append((int(comp[p]), int(comp[partners[0]])))
+                lab[lab == lab[partners[0]]] = lab[p]
+    return out
 
-    def compare(t: pa.Table) -> pa.Table:
-        raw, offs = flat(t["wide"])
-        width = np.diff(offs) // 2
-        slot = np.repeat(np.arange(len(width)), width) << 16 | np.frombuffer(raw.tobytes(), np.uint16)
-        slot = np.unique(slot)  # (row, value), each once
-        row, value = slot >> 16, slot & 0xFFFF
-        lost = width - np.bincount(row, minlength=len(width))  # values that fell together
-        ids, n, comp, own = (t[c].to_numpy() for c in ("id", "n", "comp", "own"))
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        place = np.full(len(width), -1)
-        place[right] = np.arange(len(right))
-        holders = np.bincount(value, minlength=1 << 16)
-        dense = np.cumsum(holders > COMMON) - 1
-        often = holders[value] > COMMON
-        m = np.zeros((len(width), int((holders > COMMON).sum())), np.float32)
-        m[row[often], dense[value[often]]] = 1
-        # holders of the other values within the right block, value by value
-        rare = np.flatnonzero(~often & (place[row] >= 0))
-        rare = rare[np.argsort(value[rare], kind="stable")]
-        many = np.bincount(value[rare], minlength=1 << 16)
-        first = np.cumsum(many) - many
-        holder = place[row[rare]]
-        cut = np.r_[0, np.cumsum(np.bincount(row, minlength=len(width)))]
-        out = []
-        for part in np.array_split(left, max(1, len(left) // 64)):
-            at = ragged(cut[part], np.diff(cut)[part])
-            v, x = value[at], np.repeat(np.arange(len(part)), np.diff(cut)[part])
-            v, x = v[~often[at]], x[~often[at]]
-            met = np.repeat(x, many[v]) * len(right) + holder[ragged(first[v], many[v])]
-            common = np.bincount(met, minlength=len(part) * len(right)).reshape(len(part), len(right)) + np.rint(m[part] @ m[right].T).astype(np.int64)
-            common += np.minimum(lost[part][:, None], lost[right][None])
-            na, nb = n[part][:, None], n[right][None]
-            ok = _enough(common, na, nb, WIDE) & (comp[part][:, None] != comp[right][None])
-            x, y = np.nonzero(ok)
-            out.append(np.sort(np.stack([ids[part[x]], ids[right[y]]], axis=1), axis=1))
-        got = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
 
-    return pairs.unionByName(long.groupBy("v", "i", "j").applyInArrow(compare, "a long, b long"))
+def _long_edges(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (ca, cb) between components of the members of long lists, from rows(v, id, n, most, comp).
+
+    A list's largest component isn't compared with itself; it and the other members are dealt to blocks, and each block of
+    others meets each block. What is replicated is linear in the list as long as the others fit in one block.
+    """
+    sizes = rows.groupBy("v", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("v").agg(F.max(F.struct("c", "comp", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    deal = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / VALUES)).cast("int")
+    plan = sizes.select("v", F.col("top.comp").alias("major"), deal(F.col("top.c"), F.col("top.s")).alias("majors"), deal(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("minors"))
+    of = rows.join(plan, "v").withColumn("own", F.when(F.col("comp") == F.col("major"), F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minors"))).cast("int"))
+    last = F.when(F.col("own") < F.col("minors"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
+    dealt = of.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "most", "comp")
+    full = dealt.join(sets, "id")
 
+    def compare(t: pa.Table) -> pa.Table:
+        ids, n, most, comp, own = (t[c].to_numpy() for c in ("id", "n", "most", "comp", "own"))
+        column = t["full"].combine_chunks()
+        offs = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+        left, right = np.flatnonzero(own == t["i"][0].as_py()), np.flatnonzero(own == t["j"][0].as_py())
+        edges = join_block(ids, n, most, comp, left, right, column.flatten().to_numpy(), offs) if len(left) and len(right) else []
+        return pa.table({"ca": pa.array([x for x, _ in edges], pa.int64()), "cb": pa.array([y for _, y in edges], pa.int64())})
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 75 * union."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # a fixed-size filter keeps other texts from being hashed and shuffled; it lets no wanted one go
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BLOOM_BITS)).cast("int")
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    bits[wanted.select(slot("id").alias("s")).distinct().toArrow()["s"].to_numpy()] = True
-    ship = spark.sparkContext.broadcast(np.packbits(bits))
+    return full.groupBy("v", "i", "j").applyInArrow(compare, "ca long, cb long")
 
-    def run(batches):
-        bits = np.unpackbits(ship.value).astype(bool)
-        for b in batches:
-            b = b.filter(pa.array(bits[b.column("s").to_numpy()]))
-            for p in pieces([b], "text", 2 << 20):
-                h, offs = shingles(p.column("text"))
-                yield pa.RecordBatch.from_arrays([p.column("id"), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "full"])
-
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), slot(F.col("doc_id").cast("long")).alias("s"))
-    sets = materialize(texts.mapInArrow(run, "id long, full array<long>"), "sets")
-    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a").join(sets.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
-    common = F.size(F.array_intersect("fa", "fb"))
-    return p.filter(100 * common >= 75 * (F.size("fa") + F.size("fb") - common)).select("a", "b").distinct()
+
+def _joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """comp(id, comp) after the components that edges(ca, cb) connect have become one."""
+    up = components(edges.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))).select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+    return comp.join(up, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links between classes: enough of them for the same components as all links would give."""
-    met = materialize(lists(classes), "lists")
-    comp = classes.select("id", F.col("id").alias("comp"))
-    done = found = None
-    for r in range(ROUNDS + 1):
+    """id, comp of the classes that can have a link; other classes are alone."""
+    sets = materialize(full_sets(docs, suspects(classes)), "sets")
+    met = materialize(lists(sets), "lists")
+    comp = sets.select("id", F.col("id").alias("comp")).distinct()
+    failed = None
+    for r in range(ROUNDS):
         rows = met.join(comp, "id")
         first = F.xxhash64("id", F.lit(r)) if r else F.col("id")
-        mixed = rows.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "comp", "n"), first).alias("lead")).filter("lo < hi")
-        if r < ROUNDS:
-            # pairs that meet in a single list mostly share one chance phrase: they are left to the last round
-            met_lead = rows.join(mixed.select("v", "lead"), "v").filter("comp != lead.comp and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
-            times = met_lead.groupBy(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("n", "lead.n")).alias("least"))
-            pairs = times.filter(f"times > 1 or least <= {FEW}").select("a", "b")
-        else:
-            pairs = _rest(rows.join(mixed.select("v", "members"), "v"), classes).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        mixed = rows.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "comp", "n", "most"), first).alias("lead")).filter("lo < hi")
+        pairs = rows.join(mixed.select("v", "lead"), "v").filter("comp != lead.comp").filter(possible(F.col("n"), F.col("most"), F.col("lead.n"), F.col("lead.most")))
+        pairs = pairs.select(*_pairs("", "lead.")).distinct()
+        if failed is not None:
+            pairs = pairs.join(failed, ["a", "b"], "left_anti")
         pairs = materialize(pairs, f"pairs{r}")
         if pairs.isEmpty():
-            if r < ROUNDS:
-                continue
-            break
-        good = materialize(verify(_near(pairs, classes), docs).withColumn("ok", F.lit(True)), f"links{r}")
-        done = pairs if done is None else done.unionByName(pairs)
-        found = good if found is None else found.unionByName(good)
-        comp = materialize(components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")), classes.select("id")), f"comp{r}")
-    return comp
+            continue
+        good = materialize(verify(pairs, sets), f"links{r}")
+        lost = pairs.select("a", "b").join(good.select("a", "b"), ["a", "b"], "left_anti")
+        failed = lost if failed is None else failed.unionByName(lost)
+        comp = materialize(_joined(comp, good), f"comp{r}")
+    rows = met.join(comp, "id")
+    mixed = rows.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v", "members")
+    rest = materialize(rows.join(mixed, "v"), "rest")
+    pairs = _short_pairs(rest.filter(F.col("members") <= SHORT))
+    if failed is not None:
+        pairs = pairs.join(failed, ["a", "b"], "left_anti")
+    edges = verify(pairs, sets).select("ca", "cb").unionByName(_long_edges(rest.filter(F.col("members") > SHORT), sets))
+    return _joined(comp, materialize(edges, "edges"))
 
 
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    with scratch() as work:
+        return work.keep(_cluster(docs), "near_dup")
+
+
+def _cluster(docs: DataFrame) -> DataFrame:
     sk = materialize(sketches(docs), "sketches")
     # one row a class: its smallest id, with that row's sketch
     some = sk.filter("digest is not null and doc_id is not null")
-    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "classes")
-    comp = links(classes.select("id", "n_shingles", "sketch", "wide"), docs)
-    of = classes.select("digest", "id").join(comp, "id").select("digest", "comp")
-    out = sk.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    of = sk.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "id"), "digest", "left")
+    # the classes of an id that has several texts
+    known = of.filter("doc_id is not null and id is not null").select("doc_id", "id")
+    both = known.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("doc_id", "lo")
+    again = materialize(known.join(both, "doc_id").select(F.col("id").alias("ca"), F.col("lo").alias("cb")).distinct(), "again")
+    comp = materialize(links(classes.select("id", "n", "sketch"), docs), "comp")
+    if not again.isEmpty():
+        known = comp.unionByName(again.select(F.explode(F.array("ca", "cb")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp")))
+        a, b = known.select(F.col("id").alias("ca"), F.col("comp").alias("x")), known.select(F.col("id").alias("cb"), F.col("comp").alias("y"))
+        comp = _joined(known, again.join(a, "ca").join(b, "cb").select(F.col("x").alias("ca"), F.col("y").alias("cb")))
+    out = of.join(comp, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

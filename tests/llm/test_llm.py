@@ -194,8 +194,10 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, model).count() == 10 and toxicity.score(odd, toxicity.fit(empty, labels)).filter("toxic").count() == 0
 
 
-@pytest.mark.parametrize("short, block, common", [(16, 2048, 128), (2, 3, 128), (2, 5, 1)])
-def test_near_duplicates_equal_brute_force(spark, odd, empty, monkeypatch, short, block, common):
+@pytest.mark.parametrize("rounds, short, block, common, wide", [(3, 16, 2048, 128, 512), (0, 2, 3, 128, 512), (0, 2, 5, 1, 512), (0, 16, 2048, 128, 512), (1, 2, 5, 3, 80)])
+def test_near_duplicates_equal_brute_force(spark, odd, empty, monkeypatch, rounds, short, block, common, wide):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "WIDE", wide)
     monkeypatch.setattr(neardup, "SHORT", short)
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "COMMON", common)
@@ -208,6 +210,8 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty, monkeypatch, short
             w[rng.randrange(len(w))] = f"e{i}"
         rows.append((i, " ".join(w).upper() if i % 5 == 0 else " ".join(w)))
     rows += [(100, "a b"), (101, "A  B"), (102, "a c"), (103, None), (104, " "), (105, " ")]
+    again = spark.createDataFrame([(1, "p q"), (2, "p q"), (2, "r s"), (3, "r s")], "doc_id long, text string")
+    assert {r["component_id"] for r in neardup.cluster(again).collect()} == {1}
     got = {r["doc_id"]: r for r in neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sets = {}
     for i, t in rows:

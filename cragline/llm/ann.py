@@ -7,8 +7,11 @@ centroid distance is within a ratio of the nearest one; the ratio and the number
 on the sample for `recall`, up to all lists.
 Lists of many rows are split over several tasks. Scores are cosines in double precision on the original vectors.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, and neither do those
-whose length is not the most frequent one; equal vectors tie to the smaller vec_id; a repeated id is one candidate.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids;
+vectors are near only to those of their own length, and lengths other than the most frequent one are searched without
+lists, in blocks; vectors are scaled by powers of two, so no square is too large or small; equal vectors tie to the
+smaller vec_id; a repeated id is one candidate, by its nearest vector, and as a query takes its best matches; an empty
+table gives an empty result; columns besides vec_id and embedding are not looked at.
 """
 
 from __future__ import annotations
@@ -18,19 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 
-SAMPLE = 40_000
-LIST_ROWS = 200
+#: Lists: one for LIST_ROWS rows, MAX_LISTS at most (the graph is in memory); SAMPLE rows a list are looked at to place them.
+LIST_ROWS, MAX_LISTS, SAMPLE = 200, 4096, 40
+#: How much nearer a centroid of average load must be than an empty one, in cosine.
+LOAD = 0.02
 TASK_ROWS = 8192
 
 
 def valid(rows: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part."""
+    """vec_id, embedding of the rows that can take part."""
     e = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null")
-    ok = e.filter("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x != 0)")
-    top = ok.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return ok.filter(F.size("embedding") == (top["n"] if top else 0))
+    return e.filter("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x != 0)")
 
 
 def _matrix(col) -> np.ndarray:
@@ -38,6 +41,11 @@ def _matrix(col) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, exactly, so that its largest component is between a half and one."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow of squares
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -54,16 +62,19 @@ class Lists:
         c = x[:lists].copy()
         load = np.ones(lists)
         for _ in range(rounds):
-            near = np.concatenate([(p @ c.T - 0.02 * load / load.mean()).argmax(1) for p in np.array_split(x, max(1, len(x) // 4096))])
+            near = np.concatenate([(p @ c.T - LOAD * load / load.mean()).argmax(1) for p in np.array_split(x, max(1, len(x) // 4096))])
             load = np.bincount(near, minlength=lists).astype(float) + 1
             total = np.zeros_like(c)
             np.add.at(total, near, x)
             live = np.linalg.norm(total, axis=1) > 1e-6
             c[live] = total[live] / np.linalg.norm(total[live], axis=1, keepdims=True)
-        self.c = c
-        sim = c @ c.T
-        np.fill_diagonal(sim, 2)
-        self.graph = np.argsort(-sim, axis=1, kind="stable")[:, 1 : degree + 1] if lists > 1 else np.zeros((lists, 0), int)
+        self.c, self.load = c, (LOAD * load / load.mean()).astype(np.float32)
+        near = []
+        for k in range(0, lists, 512):
+            sim = c[k : k + 512] @ c.T
+            sim[np.arange(len(sim)), k + np.arange(len(sim))] = 2
+            near.append(np.argsort(-sim, axis=1, kind="stable")[:, 1 : degree + 1])
+        self.graph = np.concatenate(near) if lists > 1 else np.zeros((lists, 0), int)
         self.pivots = np.arange(0, lists, max(1, int(lists**0.5) // 2))
 
     def search(self, x: np.ndarray, beam: int, hops: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +119,11 @@ class Lists:
         return np.concatenate([wide(a, -1) for a in ids]), np.concatenate([wide(a, 9) for a in dist])
 
     def place(self, x: np.ndarray, replicas: int = 4, near: float = 1.15) -> np.ndarray:
-        """Lists of each vector (-1: none): the nearest, and border lists not shadowed by a chosen one."""
+        """Lists of each vector (-1: none): the nearest after the lists' load, and border lists not shadowed by a chosen one."""
         ids, dist = self.search(x, 8)
         ids, dist = ids[:, :8], dist[:, :8]
+        o = np.argsort(np.where(ids < 0, 9, dist * dist / 2 + self.load[ids]), axis=1, kind="stable")
+        ids, dist = np.take_along_axis(ids, o, 1), np.take_along_axis(dist, o, 1)
         out = np.full(ids.shape, -1)
         out[:, 0] = ids[:, 0]
         for j in range(1, ids.shape[1]):
@@ -128,13 +141,14 @@ class Lists:
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE, recall: float = 0.97) -> dict:
-    """Centroids, probing ratio and beam from at most `sample` rows, chosen by a hash of their ids."""
+    """Centroids, probing ratio and beam from at most `sample` rows a list, chosen by a hash of their ids."""
     n = rows.count()
-    x = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()["embedding"])
+    many = int(np.clip(n // LIST_ROWS, 1, MAX_LISTS))
+    x = _matrix(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1000, many * sample)).toArrow()["embedding"])
     if not len(x):
         return {"lists": None, "ratio": 1.0, "beam": 1}
     x = _unit(x)
-    lists = Lists(x, int(np.clip(n // LIST_ROWS, 1, max(1, sample // 40))))
+    lists = Lists(x, many)
     # calibrate: nearest neighbours of some sample rows among the sample, against the lists these are stored in
     q = x[:200]
     s = q @ x.T
@@ -172,6 +186,7 @@ def index(rows: DataFrame, model: dict) -> DataFrame:
 
 def _best(q_id, q, c_id, c, k: int):
     """k best candidates of each query within one block: (query, candidate, score)."""
+    q, c = _scaled(q), _scaled(c)
     # of equal vectors only the k + 1 smallest ids can be among the k nearest, each counted once
     o = np.lexsort((c_id,))
     c_id, c = c_id[o], c[o]
@@ -227,13 +242,27 @@ def search(index_rows: DataFrame, queries: DataFrame, model: dict, k: int = 5) -
     part = F.pmod(F.xxhash64("vec_id", "embedding"), F.coalesce(n_of[F.col("list")], F.lit(1))).cast("int") if n_of is not None else F.lit(0)
     stored = index_rows.withColumn("part", part)
 
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, c, s = _best(left["vec_id"].to_numpy(), _matrix(left["embedding"]), right["vec_id"].to_numpy(), _matrix(right["embedding"]), k)
-        return pa.table({"query_id": q, "vec_id": c, "score": s})
+    found = asked.groupBy("list", "part").cogroup(stored.groupBy("list", "part")).applyInArrow(lambda left, right: _match(left, right, k), "query_id long, vec_id long, score double")
+    return _ranked(found, k)
+
+
+def exact(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query among the rows of its length, block by block."""
+    sizes = rows.groupBy(F.size("embedding").alias("n")).agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("parts"))
+    stored = rows.withColumn("n", F.size("embedding")).join(sizes, "n").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("n", "part", "vec_id", "embedding")
+    asked = queries.withColumn("n", F.size("embedding")).join(sizes, "n").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*[F.col(c).alias(c) for c in ("n", "part", "vec_id", "embedding")])
+    found = asked.groupBy("n", "part").cogroup(stored.groupBy("n", "part")).applyInArrow(lambda left, right: _match(left, right, k), "query_id long, vec_id long, score double")
+    return _ranked(found, k)
+
+
+def _match(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    q, c, s = _best(left["vec_id"].to_numpy(), _matrix(left["embedding"]), right["vec_id"].to_numpy(), _matrix(right["embedding"]), k)
+    return pa.table({"query_id": q, "vec_id": c, "score": s})
+
 
-    found = asked.groupBy("list", "part").cogroup(stored.groupBy("list", "part")).applyInArrow(match, "query_id long, vec_id long, score double")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -241,7 +270,19 @@ def search(index_rows: DataFrame, queries: DataFrame, model: dict, k: int = 5) -
 
 def nearest(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """Index all rows and search for those whose id is divisible by `every`."""
-    ok = valid(rows)
+    with scratch() as work:
+        every_length = valid(rows)
+        top = every_length.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        length = top["n"] if top else 0
+        found = _nearest(every_length.filter(F.size("embedding") == length), every, k)
+        if every_length.filter(F.size("embedding") != length).isEmpty():
+            return work.keep(found, "nearest")
+        rare = every_length.filter(F.size("embedding") != length)
+        both = found.unionByName(exact(rare, rare.filter(F.pmod("vec_id", F.lit(every)) == 0), k))
+        return work.keep(_ranked(both.drop("rank"), k), "nearest")
+
+
+def _nearest(ok: DataFrame, every: int, k: int) -> DataFrame:
     model = fit(ok)
     if model["lists"] is None:
         return search(ok, ok, model, k)

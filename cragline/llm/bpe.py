@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces, ragged
+from .common import flat, pieces, ragged
 
 CACHE = 600_000
 
@@ -41,7 +41,10 @@ class Bpe:
         vocab = model["vocab"]
         self.specials = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
-        suffix = model.get("end_of_word_suffix") or ""
+        self.suffix = suffix = model.get("end_of_word_suffix") or ""
+        kinds = [x["type"] for x in (j.get("normalizer") or {}).get("normalizers", [])]
+        if kinds != ["NFC", "Replace", "Lowercase"] or not suffix:
+            raise ValueError(f"not a vocabulary of lower-case words with end marks: {kinds}")
         self.words = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         chars = byte_chars()
         self.plain = np.array([vocab[c] for c in chars], np.int64)
@@ -53,7 +56,7 @@ class Bpe:
         o = np.argsort(key)
         self.keys, self.ranks, self.outs = key[o], o.astype(np.int64), out[o]
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
-        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.string())
+        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.large_string())
         self.store = ChunkStore(self.chunks)
 
     def split(self, chunk: str) -> list[str | int]:
@@ -135,7 +138,7 @@ class Bpe:
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> pa.Array:
         """Token strings of each text joined by blanks: what decode() gives for a file without a decoder."""
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), self.names.take(pa.array(ids))), " ")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), self.names.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
 
 class ChunkStore:
@@ -209,7 +212,8 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
             ids, offs = bpe.encode(b.column("text"))
             text = bpe.decode(ids, offs)
             raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
-            to, data = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1], memoryview(text.buffers()[2] or b"")
+            chars, to = flat(text)
+            data = memoryview(np.ascontiguousarray(chars)).cast("B")
             cols = {
                 "doc_id": b.column("doc_id"),
                 "n_tokens": pa.array(np.diff(offs), pa.int64()),

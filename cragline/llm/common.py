@@ -141,6 +141,14 @@ def held(column: str, mod: int, rest: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % mod == rest, F.lit(False))
 
 
+def fresh(*columns: list[str]) -> str:
+    """A prefix that no column of these lists has, whatever its case."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for names in columns for c in names):
+        prefix += "_"
+    return prefix
+
+
 def squeeze(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, flat, pieces, ragged, run_hash, span_hash, spans
+from .common import ALNUM, LOWER, flat, fresh, pieces, ragged, run_hash, span_hash, spans
 
 BLOCK = 100_000
 FINAL = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
@@ -115,19 +115,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block: int = BLO
     keep = keep or ["doc_id"]
     all_windows = windows(benchmark, size).toArrow() if (total := windows(benchmark, size).count()) <= block else None
     blocks = max(1, -(-total // block))
+    between = fresh(docs.columns)
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     for k in range(blocks):
         part = all_windows if all_windows is not None else windows(benchmark, size).filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toArrow()
         table = _table(docs, part) if part.num_rows else None
-        rows = _pass(rows, table, keep if k == blocks - 1 else list(kinds), kinds, k == 0, k == blocks - 1, prefix)
+        rows = _pass(rows, table, keep if k == blocks - 1 else list(kinds), kinds, k == 0, k == blocks - 1, prefix, between)
     return rows
 
 
-def _pass(rows: DataFrame, table: dict | None, keep: list[str], kinds: dict, head: bool, tail: bool, prefix: str) -> DataFrame:
+def _pass(rows: DataFrame, table: dict | None, keep: list[str], kinds: dict, head: bool, tail: bool, prefix: str, between: str) -> DataFrame:
     """One block's hits, or-ed into those of the blocks before."""
     ship = rows.sparkSession.sparkContext.broadcast(table)
-    carry = "_hits binary, _items array<string>"
+    hits, found = between + "hits", between + "items"
+    carry = f"{hits} binary, {found} array<string>"
     final = ", ".join(f"`{prefix}{c}` {kind}" for c, kind in FINAL.items())
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + (final if tail else carry)
 
@@ -135,8 +137,8 @@ def _pass(rows: DataFrame, table: dict | None, keep: list[str], kinds: dict, hea
         t = ship.value
         for b in pieces(batches, "text"):
             h, d, first = words(b.column("text"))
-            hit = np.zeros(len(h), bool) if head else np.unpackbits(np.frombuffer(b"".join(b.column("_hits").to_pylist()), np.uint8))[ragged(8 * np.r_[0, np.cumsum(-(-np.diff(first) // 8))][:-1], np.diff(first))].astype(bool)
-            items: list[set] = [set() for _ in range(b.num_rows)] if head else [set(x) for x in b.column("_items").to_pylist()]
+            hit = np.zeros(len(h), bool) if head else np.unpackbits(np.frombuffer(b"".join(b.column(hits).to_pylist()), np.uint8))[ragged(8 * np.r_[0, np.cumsum(-(-np.diff(first) // 8))][:-1], np.diff(first))].astype(bool)
+            items: list[set] = [set() for _ in range(b.num_rows)] if head else [set(x) for x in b.column(found).to_pylist()]
             if t is not None and len(h):
                 begin, win = _match(t, h, d, first)
                 step = np.zeros(len(h) + 1, np.int64)
@@ -154,7 +156,7 @@ def _pass(rows: DataFrame, table: dict | None, keep: list[str], kinds: dict, hea
                 names = [*keep, *(prefix + c for c in FINAL)]
             else:
                 out += [pa.array([np.packbits(hit[a:z]).tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                names = [*keep, "_hits", "_items"]
+                names = [*keep, hits, found]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return rows.mapInArrow(run, schema)

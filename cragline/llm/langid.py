@@ -1,68 +1,108 @@
 """Language identification by multilingual mixture inference.
 
-Per-language letter-trigram likelihoods are counted from labelled documents. For each document, expectation-
+Per-language letter-trigram likelihoods, of any script's letters, are counted from labelled documents. For each document, expectation-
 maximisation over its words estimates the share of every language; nested language sets, in order of share, are
 then compared by penalised likelihood and the largest share within the best set names the language.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled training row
-every text is `und`; a null doc_id stays null and is a training row. Repeated rows are scored each on its own.
+every text is `und`; a null doc_id stays null and is a training row. Repeated rows are scored each on its own, and a
+text's result is the same beside any others. Bytes that are no UTF-8 are no letters; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, held, pieces, ragged, spans
-
-#: Letter classes: 0 no letter, 1-26 a-z of either case, 27 a lead byte, 28-31 continuation bytes by their low bits.
-CLASS = np.zeros(256, np.int32)
-CLASS[97:123] = CLASS[65:91] = np.arange(1, 27)
-CLASS[0xC0:] = 27
-CLASS[0x80:0xC0] = 28 + np.arange(64) % 4
-GRAMS = 1 << 15
-#: The model is a dense languages x 32,768 table; beyond this many languages fit() refuses instead of shipping it.
-MAX_LANGUAGES = 2000
-
-
-def _grams(raw: np.ndarray, offs: np.ndarray):
-    """Trigram code of each letter (centre position), word of each letter, words per text."""
-    s, e, d = spans(raw, offs, CLASS > 0)
-    c = np.zeros(len(raw) + 2, np.int32)
-    c[1:-1] = CLASS[raw]
-    code = (c[:-2] << 10) | (c[1:-1] << 5) | c[2:]
-    # a neighbour in another text is no context
-    inner = offs[(offs > 0) & (offs < len(raw))]
-    code[inner] &= 0x3FF
-    code[inner - 1] &= 0x7FE0
-    return code[ragged(s, e - s)], s, e, d
+from .common import flat, held, mix, pieces, ragged, spans
+
+#: Slots of trigrams of a-z, one each, and of those with other letters, by a hash of their code points.
+PLAIN, HASHED = 1 << 15, 1 << 16
+#: Entries of the model; beyond 170 languages the slots of a language are fewer.
+BUDGET = 1 << 24
+#: More values than that are no languages (ISO 639-3 knows about 8,000); fit() refuses them.
+MAX_LANGUAGES = 1 << 14
+
+
+@functools.cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 0 no letter, 1 a mark within words, 2 a letter; and the symbol of a letter: 1-26 for a-z of either
+    case, else its lower-case code point."""
+    kind, symbol = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.int32)
+    for k in range(0x110000):
+        c = unicodedata.category(chr(k))[0]
+        if c in "LM":
+            kind[k] = 2 if c == "L" else 1
+            low = chr(k).lower()
+            symbol[k] = ord(low) if len(low) == 1 else k
+    symbol[97:123] = symbol[65:91] = np.arange(1, 27)
+    return kind, symbol
+
+
+def code_points(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts given as bytes, and offsets."""
+    try:
+        text = raw.tobytes().decode("utf-8")
+    except UnicodeDecodeError:  # bytes that are no UTF-8 count as unknown characters
+        parts = [raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offs[:-1], offs[1:], strict=True)]
+        return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][offs]
+
+
+def _grams(raw: np.ndarray, offs: np.ndarray, slots: int):
+    """Trigram slot of each letter (centre position), start, end and text of each word, and whether a text has a letter."""
+    kind, symbol = _letters()
+    cp, offs = code_points(raw, offs)
+    k = kind[cp]
+    s, e, d = spans(k, offs, np.array([False, True, True]))
+    c = np.zeros(len(cp) + 2, np.int32)
+    c[1:-1] = symbol[cp]
+    inner = offs[(offs > 0) & (offs < len(cp))]
+    left, right = c[:-2].copy(), c[2:].copy()
+    left[inner], right[inner - 1] = 0, 0  # a neighbour in another text is no context
+    at = ragged(s, e - s)
+    left, mid, right = left[at], c[1:-1][at], right[at]
+    code = (left << 10) | (mid << 5) | right
+    other = np.flatnonzero((left | mid | right) >= 32)
+    h = left[other].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mid[other].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + right[other].astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    code[other] = PLAIN + (mix(h) % np.uint64(HASHED)).astype(np.int32)
+    has = np.zeros(len(offs) - 1, bool)
+    has[np.searchsorted(offs, np.flatnonzero(k == 2), "right") - 1] = True
+    return code % slots, s, e, d, has
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-likelihood table (GRAMS x languages) from rows with text and lang."""
+    """Languages and their log-likelihood table (slots x languages) from rows with text and lang."""
+    rows = docs.filter("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    found = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).toArrow()["lang"].to_pylist()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    slots = PLAIN + HASHED
+    while slots > 1024 and slots * len(found) > BUDGET:
+        slots //= 2
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for b in pieces(batches, "text"):
             lang = b.column("lang").dictionary_encode()
             raw, offs = flat(b.column("text"))
-            code, s, e, d = _grams(raw, offs)
+            code, s, e, d, _ = _grams(raw, offs, slots)
             which = lang.indices.to_numpy(zero_copy_only=False)[d].repeat(e - s)
             for k, name in enumerate(lang.dictionary.to_pylist()):
-                n = np.bincount(code[which == k], minlength=GRAMS)
+                n = np.bincount(code[which == k], minlength=slots)
                 total[name] = total[name] + n if name in total else n
         for name, n in total.items():
             g = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(g), pa.string()), "gram": pa.array(g, pa.int32()), "n": pa.array(n[g], pa.int64())})
 
-    rows = docs.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    t = rows.toArrow()
-    names = sorted(set(t["lang"].to_pylist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is meant for {MAX_LANGUAGES} at most")
-    table = np.full((GRAMS, max(1, len(names))), 0.5)
+    t = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(found)
+    table = np.full((slots, max(1, len(names))), 0.5)
     if names:
         at = {x: k for k, x in enumerate(names)}
         table[t["gram"].to_numpy(), [at[x] for x in t["lang"].to_pylist()]] += t["n"].to_numpy()
@@ -82,32 +122,35 @@ def _em(like, top, weight, first, doc, share, total, rounds):
 def mixture(ll: np.ndarray, words: np.ndarray, letters: np.ndarray, rounds: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Shares (texts x languages) within the selected set, and the set's size, for texts that have words.
 
-    ll: words x languages log-likelihoods; words: words per text (all positive); letters: per word.
+    ll: words x languages log-likelihoods; words: words per text (all positive); letters: per word. A text's sets grow by
+    one language as long as that pays for it; other texts have no part in it.
     """
     n_lang = ll.shape[1]
-    first = np.cumsum(words) - words
-    doc = np.repeat(np.arange(len(words)), words)
     top = ll.max(1)
     like = np.exp(ll - top[:, None])
     weight = letters.astype(np.float32)
+    first = np.cumsum(words) - words
+    doc = np.repeat(np.arange(len(words)), words)
     total = np.add.reduceat(weight, first)
+    best, size, bound = np.zeros((len(words), n_lang), np.float32), np.zeros(len(words), np.int32), np.full(len(words), -np.inf)
     share, _ = _em(like, top, weight, first, doc, np.full((len(words), n_lang), 1 / n_lang, np.float32), total, rounds)
-    order = np.argsort(-share, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    best, size, bound = None, np.ones(len(words), np.int32), None
+    rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
+    open_ = np.arange(len(words))  # texts whose set still grows
     for k in range(1, n_lang + 1):
         part = np.where(rank < k, np.maximum(share, 1e-6), 0).astype(np.float32)
         part /= part.sum(1, keepdims=True)
         part, value = _em(like, top, weight, first, doc, part, total, 3 if k > 1 else 0)
         value = value - penalty * k * np.log(total + 1)
-        if best is None:
-            best, bound = part, value
-        else:
-            better = value > bound
-            if not better.any():
-                break
-            best, bound = np.where(better[:, None], part, best), np.where(better, value, bound)
-            size[better] = k
+        better = value > bound[open_]
+        now = open_[better]
+        best[now], bound[now], size[now] = part[better], value[better], k
+        if not better.any():
+            break
+        if not better.all():
+            keep = better[doc]
+            open_, words, rank, share, total = now, words[better], rank[better], share[better], total[better]
+            like, top, weight = like[keep], top[keep], weight[keep]
+            first, doc = np.cumsum(words) - words, np.repeat(np.arange(len(words)), words)
     return best, size
 
 
@@ -124,19 +167,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
         for b in pieces(batches, "text"):
             raw, offs = flat(b.column("text"))
             pred, score, size = np.full(b.num_rows, -1), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
-            code, s, e, d = _grams(raw, offs)
+            code, s, e, d, has = _grams(raw, offs, len(ll))
             if len(s) and names:
                 seq = e - s
                 # each letter lies in three grams, hence the third
                 w = np.add.reduceat(ll[code], np.cumsum(seq) - seq, axis=0) / np.float32(3)
                 texts, words = np.unique(d, return_counts=True)
-                # bytes above 0x7F count as letters above; a text of symbols only is no language
                 share, n = mixture(w, words, seq, rounds, penalty)
                 pred[texts], score[texts], size[texts] = share.argmax(1), share.max(1), n
-                plain = np.add.reduceat(((raw | 32) - 97 < 26)[ragged(s, seq)].astype(np.int64), np.cumsum(seq) - seq)
-                for t in texts[np.bincount(np.repeat(np.arange(len(texts)), words), weights=plain) == 0]:
-                    if not any(x.isalpha() for x in b.column("text")[int(t)].as_py()):
-                        pred[t], score[t], size[t] = -1, 0, 0
+                pred[~has], score[~has], size[~has] = -1, 0, 0
             label = np.array([*names, "und"], object)[pred]
             out = [b.column(c) for c in keep] + [pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(size)]
             yield pa.RecordBatch.from_arrays(out, names=[*keep, *(prefix + x for x in ("lang_pred", "score", "n_langs"))])

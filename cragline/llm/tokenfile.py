@@ -8,11 +8,12 @@ A data set is a folder with two Parquet containers, so that any Hadoop file syst
 Shards hold ascending doc_id ranges. Every document ends with the end id.
 
 Defined results: null or empty texts hold the end id alone; null doc_ids come first; repeated doc_ids stay, in
-the order of their texts.
+the order of their texts; an empty table gives no files' rows; columns besides doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 
@@ -62,6 +63,37 @@ def join_planes(data: bytes, ends: list[int], n: int, planes: str = "byte") -> n
     return np.concatenate(got) if got else np.zeros(0, np.uint32)
 
 
+def by_chunk(spec: str) -> bool:
+    """Whether a vocabulary file's own steps make ids of white-space chunks, in lower case, those of the whole text.
+
+    Its normaliser must lower the case and do nothing else than NFC and blanks, its first cut must drop white space and
+    words must carry an end mark. Texts of other vocabularies go to the library whole.
+    """
+    j = json.loads(spec)
+    norm, cut = j.get("normalizer") or {}, j.get("pre_tokenizer") or {}
+    kinds = [x["type"] if x["type"] != "Replace" or x["pattern"] == {"Regex": r"\s+"} else "other" for x in norm.get("normalizers", [norm]) if x]
+    first, *rest = cut.get("pretokenizers", [cut])
+    return (
+        "Lowercase" in kinds
+        and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+        and first.get("type") == "Split"
+        and (first["behavior"], first["invert"]) == ("Removed", True)
+        and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in rest] == [("ByteLevel", False, False)]
+        and bool(j["model"].get("end_of_word_suffix"))
+    )
+
+
+class _Whole:
+    """Encodes whole texts by the library."""
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.fromiter((i for x in got for i in x), np.uint32), np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int64)
+
+
 def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1, planes: str = "byte") -> str:
     """Encode every text with the public library and write the files; returns the folder."""
     spark = docs.sparkSession
@@ -78,6 +110,8 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1
             tok = Tokenizer.from_str(spec.value)
             tok.no_truncation()
             tok.no_padding()
+            if not by_chunk(spec.value):
+                return _Whole(tok)
             own = Bpe(spec.value)  # only counts the words of a chunk
 
             def library(chunks):
@@ -87,12 +121,14 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1
                 ids = np.fromiter((i for x in got for i in x), np.uint32)
                 words = np.array([len(own.split(c)) for c in chunks], np.int64)
                 ends = np.flatnonzero(word_end[ids]) + 1
-                if len(ends) != words.sum():
-                    raise ValueError("a word was cut in another way than foreseen")
+                if len(ends) != words.sum():  # a word was cut in another way than foreseen: one by one
+                    got = [e.ids for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+                    return np.fromiter((i for x in got for i in x), np.uint32), np.array([len(x) for x in got], np.int64)
                 return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(words)]])
 
             inner = ChunkStore(library)
-            mark = {c: tok.encode(c, add_special_tokens=False).ids[0] for c in ",."}
+            marks = {c: tok.encode(c, add_special_tokens=False).ids for c in ",."}
+            mark = {c: x[0] for c, x in marks.items() if len(x) == 1}
 
             def encode_new(chunks):
                 """Chunks that differ in case or a last comma or full stop share one call of the library."""
@@ -116,7 +152,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1
 
             word_end = np.zeros(len(own.names), bool)
             names = own.names.to_pylist()
-            word_end[[k for k, x in enumerate(names) if x.endswith("</w>")] + list(own.specials.values())] = True
+            word_end[[k for k, x in enumerate(names) if x.endswith(own.suffix)] + list(own.specials.values())] = True
             return ChunkStore(encode_new)
 
         store, shard, chunk = worker_store(("library", path), make), TaskContext.get().partitionId(), 0

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -37,7 +38,7 @@ def test_language(spark, odd, empty):
     by = {r[0]: r for r in got}
     assert len(got) == 10 and by[1][3] == by[2][3] == by[6][3] == "und" and by[4][3] == "de"
     assert langid.identify(empty, langid.fit(empty)).count() == 0
-    assert {r["lang_pred"] for r in langid.identify(odd, ([], np.zeros((langid.GRAMS, 1), np.float32))).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.identify(odd, ([], np.zeros((1024, 1), np.float32))).collect()} == {"und"}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = queries.op1_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
     assert out.filter("lang_pred = lang").count() >= 0.97 * out.count()
@@ -49,6 +50,58 @@ def test_mixture_finds_two_languages():
     assert size[0] == 2 and abs(share[0, 0] - 0.75) < 0.03 and share[0, 2] == 0
 
 
+def plain_mixture(ll, letters, rounds, penalty):
+    """The selection for one text, in plain floats."""
+
+    def em(share, n):
+        for _ in range(n):
+            new = [0.0] * len(share)
+            for row, w in zip(ll, letters, strict=True):
+                r = [math.exp(x - max(row)) * s for x, s in zip(row, share, strict=True)]
+                for k, x in enumerate(r):
+                    new[k] += w * x / max(sum(r), 1e-30)
+            share = [x / sum(letters) for x in new]
+        mass = sum(math.log(max(sum(math.exp(x - max(row)) * s for x, s in zip(row, share, strict=True)), 1e-30)) + max(row) for row in ll)
+        return share, mass
+
+    n = len(ll[0])
+    share, _ = em([1 / n] * n, rounds)
+    order = sorted(range(n), key=lambda k: -share[k])
+    best, size, bound = None, 0, -math.inf
+    for k in range(1, n + 1):
+        part = [max(share[j], 1e-6) if j in order[:k] else 0.0 for j in range(n)]
+        part, value = em([x / sum(part) for x in part], 3 if k > 1 else 0)
+        value -= penalty * k * math.log(sum(letters) + 1)
+        if value <= bound:
+            break
+        best, size, bound = part, k, value
+    return best, size
+
+
+def test_mixture_equals_brute_force_alone_and_in_any_batch():
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 40, 30)
+    mean = np.repeat(rng.normal(size=(30, 5)) * rng.choice([0.5, 3], 30)[:, None], words, axis=0)
+    ll = (mean + 4 * rng.normal(size=(words.sum(), 5)) - 6).astype(np.float32)
+    letters = rng.integers(1, 9, words.sum())
+    share, size = langid.mixture(ll, words, letters, 8, 2.0)
+    cut = np.r_[0, np.cumsum(words)]
+    assert len(set(size.tolist())) > 2
+    for k in range(30):
+        here = slice(cut[k], cut[k + 1])
+        one, n = langid.mixture(ll[here], words[k : k + 1], letters[here], 8, 2.0)
+        want, m = plain_mixture(ll[here].astype(float).tolist(), letters[here].tolist(), 8, 2.0)
+        assert n[0] == size[k] == m and np.allclose(one[0], share[k], atol=1e-6) and np.allclose(want, share[k], atol=1e-3), k
+
+
+def test_language_tells_scripts_apart(spark):
+    text = {"ru": "мама мыла раму и съела кашу", "uk": "мати їла кашу і пішла гуляти", "el": "η μητέρα τρώει το φαγητό", "hi": "माँ खाना खाती है और सोती है", "zh": "妈妈在家里吃饭 然后睡觉", "en": "mother eats her food and sleeps"}
+    rows = [(i, f"{t} " * (1 + i % 3), x) for i, (x, t) in enumerate([*text.items()] * 4)] + [(99, "\u0301 ?! 12", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert got.pop(99) == "und" and all(got[i] == x for i, _, x in rows[:-1])
+
+
 def test_bpe_equals_the_library(spark, odd, empty):
     from tokenizers import Tokenizer
 
@@ -264,6 +317,28 @@ def test_token_files(spark, odd, empty, planes):
     assert tokenfile.read(spark, tokenfile.write(empty, WORD)).count() == 0
 
 
+@pytest.mark.parametrize("name, table", [("word_bpe_49k.json", True), ("word_bpe_49k.json", False), ("byte_bpe_50k.json", False)])
+def test_token_files_equal_the_library(spark, odd, name, table):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path(name))
+    assert tokenfile.by_chunk(bpe.load_spec(P.path(name))) == name.startswith("word")
+    docs = spark.read.parquet(f"{SF}/documents.parquet") if table else odd
+    got = tokenfile.read(spark, tokenfile.write(docs, P.path(name))).collect()
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    at, want = 0, []
+    for i, t in rows:
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+    if name.startswith("word"):
+        back = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_decode(docs, P.path(name)).collect()}
+        for i, t in rows:
+            ids = tok.encode(t, add_special_tokens=False).ids
+            assert back[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(12, 16))
@@ -286,6 +361,46 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("false")).count() == 0
 
 
+def test_nearest_takes_large_small_and_rare_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 6)) * np.where(np.arange(120) % 2, 1e200, 1e-200)[:, None]
+    y = rng.normal(size=(30, 3))
+    rows = [(i, v.tolist(), "x", 0.5) for i, v in enumerate(x)] + [(200 + 10 * i, v.tolist(), "y", None) for i, v in enumerate(y)]
+    rows += [(50, x[50].tolist(), "again", 1.0), (None, x[3].tolist(), None, None), (500, None, None, None)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string, score double")).toPandas()
+    big = {i: np.ldexp(v, -np.frexp(np.abs(v).max())[1]) for i, v in [*enumerate(x), *((200 + 10 * i, v) for i, v in enumerate(y))]}
+    for q in [0, 50, 100, *range(200, 500, 50)]:
+        s = {i: float(big[q] @ v / np.sqrt((big[q] @ big[q]) * (v @ v))) for i, v in big.items() if i != q and len(v) == len(big[q])}
+        want = sorted(s, key=lambda i: (-s[i], i))[:5]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == want and np.allclose(mine.score, [s[i] for i in want], atol=1e-12), q
+    assert set(got.query_id) == {0, 50, 100, *range(200, 500, 50)}
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("a b c d bad worse".split()) for _ in range(8)), rng.randrange(3)) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for i, t, _ in rows:
+        _, col = toxicity.features(pa.array([t]))
+        s = sum(float(model["w"][c]) for c in col)
+        below = [1 / (1 + math.exp(s - x)) for x in model["t"]]
+        p = [b - a for a, b in zip([0, *below], [*below, 1], strict=True)]
+        assert abs(got[i]["severity"] - (p[1] + 2 * p[2])) < 1e-6 and got[i]["grade"] == p.index(max(p)) and abs(got[i]["p_toxic"] - (1 - p[0])) < 1e-6
+
+
+def test_chat_digest_of_repeated_long_and_odd_rows(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    long = "</s> word [INST] " * 20_000
+    rows = [(1, 1, "user", "hi", "k"), (1, 1, "user", "hi", "k"), (1, 2, "assistant", long, None), (2, 1, "assistant", "[/INST]", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids string")
+    got = {r["conv_id"]: r for r in chat.digest(chat.read_turns(chat.format_turns(df, path, P.PATTERN), path, P.PATTERN)).collect()}
+    assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert got[1]["turns_sha256"] == hashlib.sha256(f"user\nhi\nuser\nhi\nassistant\n{long}\n".encode()).hexdigest() and got[2]["loss_chars"] == 7
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF)
@@ -293,7 +408,65 @@ def test_pipeline(spark):
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd, empty):
-    for docs in (odd, empty):
+    clash = ["_id", "_sha", "_text", "_cut", "_null", "_key", "_gone", "_score", "_lang_pred", "_contaminated", "_hits", "_items", "id", "v", "n", "comp", "__id", "digest"]
+    wide = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(clash)])
+    for docs in (odd, empty, wide):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             got = stage(spark, docs, SF)
             assert got.columns == docs.columns and got.count() <= docs.count(), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+    assert decontaminate.scan(wide, spark.read.parquet(f"{SF}/benchmark.parquet"), block=50).count() == odd.count()
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """The kept ids and texts of all stages against plain code, on planted copies, passages and benchmark items."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    pool = {"en": [f"the{i}ing" for i in range(60)], "de": [f"und{i}ung" for i in range(60)]}
+    words = lambda x, n: " ".join(rng.choice(pool[x]) for _ in range(n))
+    items = [(1, words("en", 14)), (2, words("de", 12)), (3, "short item")]
+    shared = {x: words(x, 30) for x in pool}
+    rows = []
+    for i in range(60):
+        x = "en" if i % 2 else "de"
+        t = words(x, 50)
+        if i % 6 == 0:
+            t = f"{t} {shared[x]} {words(x, 10)}"
+        if i % 10 == 7 and i > 7:
+            t = rows[i - 10][1] + " " + words(x, 3)
+        if i % 15 == 4:
+            t = f"{t} {items[i % 2][1]} {words(x, 4)}"
+        rows.append((i, t, x, "s", len(t)))
+    rows += [(60, rows[3][1], "en", "s", 1), (61, "?! 12", "en", "s", 5), (62, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    left = {i: t for i, t, *_ in rows if t and any(c.isalpha() for c in t)}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, split(t)) for i, t in left.items())}
+    comp = {i: i for i in left}
+    for _ in range(8):
+        for a in left:
+            for b in left:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    left = {i: t for i, t in left.items() if comp[i] == i}
+    first: dict = {}
+    for i, t in sorted(left.items()):
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    cut = {}
+    for i, t in left.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        cut[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    assert any(cut[i] != left[i] for i in left)
+    plain = lambda t: " " + " ".join(re.findall(r"[a-z0-9]+", t.lower())) + " "
+    windows = [" " + " ".join(w[k : k + 10]) + " " for _, t in items for w in [plain(t).split()] for k in range(max(1, len(w) - 9))]
+    want = {i: t for i, t in cut.items() if not any(w in plain(t) for w in windows)}
+    assert len(want) < len(cut) < len(rows)
+    tok = Tokenizer.from_file(WORD)
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids for i, t in want.items()}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cragline.llm import bpe, decontaminate, langid, neardup, suffixdedup
+from cragline.llm.common import fresh
 from cragline.session import materialize
 
 #: A document goes whose text has no letter, or no language with at least this share.
@@ -20,32 +21,36 @@ LEAST_SHARE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a main language; the model learns from its input's labelled training rows."""
     model = langid.fit(langid.train_rows(docs))
-    out = langid.identify(docs, model, docs.columns, prefix="_")
-    return out.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SHARE)).select(docs.columns)
+    p = fresh(docs.columns)
+    out = langid.identify(docs, model, docs.columns, prefix=p)
+    return out.filter((F.col(p + "lang_pred") != "und") & (F.col(p + "score") >= LEAST_SHARE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component."""
-    gone = neardup.cluster(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = fresh(docs.columns) + "gone"
+    lost = neardup.cluster(docs).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte strings that a document with a smaller id has; texts that lose everything go."""
-    cut = suffixdedup.dedup(docs, with_text=True).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept_text").alias("_text"), (F.col("n_removed") > 0).alias("_cut")).dropDuplicates(["_id", "_sha"])
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    left = docs.select(*rest, *(["n_chars"] if "n_chars" in docs.columns else []), F.col("text").isNull().alias("_null"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_key"))
-    both = left.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")))
-    both = both.filter("not (_cut and trim(_text) = '')").withColumn("text", F.when(~F.col("_null"), F.col("_text")))
+    p = fresh(docs.columns)
+    new_id, sha, kept, was_cut, null, key = (p + x for x in ("id", "sha", "text", "cut", "null", "key"))
+    cut = suffixdedup.dedup(docs, with_text=True).select(F.col("doc_id").alias(new_id), F.col("text_sha256").alias(sha), F.col("kept_text").alias(kept), (F.col("n_removed") > 0).alias(was_cut)).dropDuplicates([new_id, sha])
+    left = docs.select(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias(null), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias(key))
+    both = left.join(cut, F.col("doc_id").eqNullSafe(F.col(new_id)) & (F.col(key) == F.col(sha)))
+    both = both.filter(~(F.col(was_cut) & (F.trim(F.col(kept)) == ""))).withColumn("text", F.when(~F.col(null), F.col(kept)))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        both = both.withColumn("n_chars", F.when(F.col(was_cut), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return both.select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a passage of the benchmark."""
-    out = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns, prefix="_")
-    return out.filter("not _contaminated").select(docs.columns)
+    p = fresh(docs.columns)
+    out = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns, prefix=p)
+    return out.filter(~F.col(p + "contaminated")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_dup", near_duplicates), ("suffix_dedup", repeated_strings), ("decontamination", benchmark_passages), ("bpe", encode)]
 
-#: Expectation-maximisation, suffix cutting and merge rounds are beyond SQL; the stages are tested against brute force.
+#: Expectation-maximisation, suffix cutting and merge rounds are beyond SQL; the stages and their composition are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,8 @@
    that any linked pair meets at the rarest value it shares.
 3. Overlaps: a value's place among a class's values bounds what two classes that share it first can have in common. Each
    list's leaders are compared with the list instead of all pairs of a group; after a few rounds the members that are
-   still in different components are compared: those of short lists pair by pair, those of long ones in blocks.
+   still in different components are compared: those of short lists pair by pair, those of long ones in blocks, the
+   lists of one leader together.
    Pairs are estimated by the bottom K of the union of their sketches before their sets are looked at.
 4. Exact Jaccard on the full shingle sets confirms each link. A block verifies its pairs itself and gives only edges
    that join components, fewer than it has members.
@@ -253,7 +254,7 @@ def join_block(ids, n, most, comp, left, right, value, offs) -> list[tuple[int,
 def _long_edges(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (ca, cb) between components of the members of long lists, from rows(v, id, n, most, comp).
 
-    A list's largest component isn't compared with itself; it and the other members are dealt to blocks, and each block of
+    Families fill many lists, so lists of one leader (v) come as one, each member once. A list's largest component isn't compared with itself; it and the other members are dealt to blocks, and each block of
     others meets each block. What is replicated is linear in the list as long as the others fit in one block.
     """
     sizes = rows.groupBy("v", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("v").agg(F.max(F.struct("c", "comp", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
@@ -262,7 +263,7 @@ def _long_edges(rows: DataFrame, sets: DataFrame) -> DataFrame:
     of = rows.join(plan, "v").withColumn("own", F.when(F.col("comp") == F.col("major"), F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minors"))).cast("int"))
     last = F.when(F.col("own") < F.col("minors"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
     dealt = of.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "most", "comp")
-    full = dealt.join(sets, "id")
+    full = dealt.join(sets, "id")  # all texts of an id: one of them may have another n
 
     def compare(t: pa.Table) -> pa.Table:
         ids, n, most, comp, own = (t[c].to_numpy() for c in ("id", "n", "most", "comp", "own"))
@@ -283,7 +284,7 @@ def _joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id, comp of the classes that can have a link; other classes are alone."""
-    sets = materialize(full_sets(docs, suspects(classes)), "sets")
+    sets = materialize(full_sets(docs, materialize(suspects(classes), "suspects")), "sets")
     met = materialize(lists(sets), "lists")
     comp = sets.select("id", F.col("id").alias("comp")).distinct()
     failed = None
@@ -303,12 +304,13 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         failed = lost if failed is None else failed.unionByName(lost)
         comp = materialize(_joined(comp, good), f"comp{r}")
     rows = met.join(comp, "id")
-    mixed = rows.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v", "members")
+    mixed = rows.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id")).alias("lead")).filter("lo < hi").select("v", "members", "lead")
     rest = materialize(rows.join(mixed, "v"), "rest")
     pairs = _short_pairs(rest.filter(F.col("members") <= SHORT))
     if failed is not None:
         pairs = pairs.join(failed, ["a", "b"], "left_anti")
-    edges = verify(pairs, sets).select("ca", "cb").unionByName(_long_edges(rest.filter(F.col("members") > SHORT), sets))
+    long = rest.filter(F.col("members") > SHORT).groupBy(F.col("lead").alias("v"), "id", "n", "comp").agg(F.max("most").alias("most"))
+    edges = verify(pairs, sets).select("ca", "cb").unionByName(_long_edges(materialize(long, "long"), sets))
     return _joined(comp, materialize(edges, "edges"))
 
 

@@ -27,7 +27,7 @@ from ..session import materialize, scratch, to_arrow
 from .common import LOWER, SPACED, by_slice, held, id_array, mix, pack, ragged, span_hash, spans, squeeze, uniq_counts, unpack, widen
 
 DEPTH, SPLIT = 5, 3
-PIECE_BYTES, SLICE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20, 64 << 20
+PIECE_BYTES, SLICE_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20, 64 << 20
 #: Keys that a bucket gathers before it sums what is equal.
 GATHER = 4 << 20
 LN2 = np.log(2.0)

@@ -80,7 +80,7 @@ def spans(raw: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _pow or len(_pow["p"]) < n:
-        size = max(n, PIECE_BYTES + (1 << 16))
+        size = max(n, (2 << 20) + (1 << 16))
         for key, base in (("p", _BASE), ("i", _INV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1
@@ -110,8 +110,16 @@ def span_hasher(raw: np.ndarray):
 
 
 def span_hash(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each span."""
-    return span_hasher(raw)(s, e)
+    """64-bit polynomial hash of each span; starts ascend. Long data are taken a piece at a time."""
+    if len(raw) <= PIECE_BYTES:
+        return span_hasher(raw)(s, e)
+    out = np.empty(len(s), np.uint64)
+    cut = np.searchsorted(s, np.arange(0, len(raw) + PIECE_BYTES // 2, PIECE_BYTES // 2))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if a < b:
+            lo = int(s[a])
+            out[a:b] = span_hasher(raw[lo : int(e[a:b].max())])(s[a:b] - lo, e[a:b] - lo)
+    return out
 
 
 _STEP = np.array([pow(0xD6E8FEB86659FD93, j, 1 << 64) for j in range(1, 65)], np.uint64)

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import by_slice, id_array, mix, pack, ragged, span_hash, span_hasher, squeeze, uniq_counts, unpack, widen
+from .common import by_slice, id_array, mix, pack, ragged, span_hash, squeeze, uniq_counts, unpack, widen
 from .gsaca import suffix_arrays
 
 LENGTH, ANCHOR = 50, 20
 SPAN = LENGTH - ANCHOR + 1  # windows that can have an anchor
 #: Windows in a unit, by which the regions of crowded anchors are parted, and regions from which an anchor is crowded.
 RANGE, CROWD = 4, 64
-PIECE_BYTES, SLICE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20, 32 << 20
-SORT_CHARS = 2 << 20
+PIECE_BYTES, SLICE_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20, 16 << 20
+SORT_CHARS = 1 << 20
 BITS = np.uint64(44)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -98,15 +98,14 @@ def units(data: np.ndarray, begin: np.ndarray, count: np.ndarray, missing: np.nd
     """(region, first window's place in data, windows, key, content hash) of the units of regions that begin at `begin`
     in data and lack so many of an anchor's windows before; all windows of a unit share the bytes that its key hashes."""
     out = []
-    span = span_hasher(data)
     for j0 in range(0, SPAN, RANGE):
         j1 = min(j0 + RANGE, SPAN)
         a, b = np.maximum(missing, j0), np.minimum(missing + count, j1)
         r = np.flatnonzero(a < b)
         at, n, sub = (begin - missing + a)[r], (b - a)[r], (a - j0)[r]
         core = (begin - missing)[r] + j1 - 1
-        key = span(core, core + LENGTH - (j1 - 1 - j0)) + np.uint64(j0)
-        same = span(at, at + n + LENGTH - 1) * np.uint64(31) + (sub * 16 + n).astype(np.uint64)
+        key = span_hash(data, core, core + LENGTH - (j1 - 1 - j0)) + np.uint64(j0)
+        same = span_hash(data, at, at + n + LENGTH - 1) * np.uint64(31) + (sub * 16 + n).astype(np.uint64)
         out.append((r, at, n, key, same))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
@@ -295,8 +294,8 @@ def _dedup(docs: DataFrame, with_text: bool, piece_bytes: int, slice_bytes: int)
         data = np.concatenate([widen(x, np.uint8) for x in t["d"].to_pylist()])
         size = count + LENGTH - 1
         begin = np.cumsum(size) - size
-        span = span_hasher(data)
-        key, same = span(begin + shift, begin + shift + ANCHOR), span(begin, begin + size) * np.uint64(31) + shift.astype(np.uint64)
+        key = span_hash(data, begin + shift, begin + shift + ANCHOR)
+        same = span_hash(data, begin, begin + size) * np.uint64(31) + shift.astype(np.uint64)
         low = least_docs(data, begin, count, key, same, doc, SPAN - 1 - shift)
         at = np.r_[0, np.cumsum(count)][np.cumsum([0, *map(len, docs)])]
         rows = [_row(3, b, s, f, _planes(low[x:y])) for b, s, f, x, y in zip(t["bucket"].to_pylist(), t["slice"].to_pylist(), t["first"].to_pylist(), at[:-1], at[1:], strict=True)]

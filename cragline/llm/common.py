@@ -6,6 +6,8 @@ per word. Null texts are empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +22,34 @@ from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20
 
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # no such call on this platform
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back: workers outlive their tasks, and what they keep counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def releasing(f):
+    """f, with freed memory given back after each call."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    return run
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: True for bytes of a word `[^\x20\x09-\x0D]+`.
@@ -44,6 +74,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    release()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -208,9 +239,11 @@ def by_slice(batches):
             if held and held[0]["slice"] != row["slice"]:
                 yield held[0]["slice"], held
                 held = []
+                release()
             held.append(row)
     if held:
         yield held[0]["slice"], held
+    release()
 
 
 def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch, to_arrow
-from .common import LOWER, SPACED, by_slice, held, id_array, mix, pack, ragged, span_hash, spans, squeeze, uniq_counts, unpack, widen
+from .common import LOWER, SPACED, by_slice, held, id_array, mix, pack, ragged, releasing, span_hash, spans, squeeze, uniq_counts, unpack, widen
 
 DEPTH, SPLIT = 5, 3
 PIECE_BYTES, SLICE_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20, 64 << 20
@@ -226,7 +226,7 @@ def _score(docs: DataFrame, depth: int, piece_bytes: int, slice_bytes: int) -> D
         inv, k, a = uniq_counts(_parents(k, split), a)
         return pa.table({"key": pa.array(k.astype(np.int64)), "a": a, "b": np.rint(np.bincount(inv, weights=b, minlength=len(k))).astype(np.int64), "w": np.bincount(inv, weights=w, minlength=len(k))})
 
-    shares = asked.groupBy("bucket").applyInArrow(summary, "key long, a long, b long, w double")
+    shares = asked.groupBy("bucket").applyInArrow(releasing(summary), "key long, a long, b long, w double")
     s = to_arrow(shares.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")))
     key, a, b, w = (s[c].to_numpy() for c in ("key", "a", "b", "w"))
     tokens, vocabulary = int(a[key < 0].sum()) + train_docs, int(b[key < 0].sum()) + (train_docs > 0)
@@ -244,7 +244,7 @@ def _score(docs: DataFrame, depth: int, piece_bytes: int, slice_bytes: int) -> D
         values = [squeeze(out[np.searchsorted(key, _keys(k))]) for k in t["keys"].to_pylist()]
         return pa.table({"bucket": t["bucket"], "slice": t["slice"], "keys": t["keys"], "values": pa.array(values, pa.binary())})
 
-    answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, slice long, keys binary, values binary")
+    answers = asked.groupBy("bucket").applyInArrow(releasing(answer), "bucket int, slice long, keys binary, values binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
@@ -279,7 +279,7 @@ def _score(docs: DataFrame, depth: int, piece_bytes: int, slice_bytes: int) -> D
             )
         return pa.concat_tables(out)
 
-    return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
+    return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(releasing(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
 
 
 def _lookup(values: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -27,6 +27,7 @@ PLAIN, HASHED = 1 << 15, 1 << 16
 BUDGET = 1 << 24
 #: More values than that are no languages (ISO 639-3 knows about 8,000); fit() refuses them.
 MAX_LANGUAGES = 1 << 14
+PIECE_BYTES = 2 << 20
 
 
 @functools.cache
@@ -88,7 +89,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE_BYTES):
             lang = b.column("lang").dictionary_encode()
             raw, offs = flat(b.column("text"))
             code, s, e, d, _ = _grams(raw, offs, slots)
@@ -164,7 +165,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
 
     def run(batches):
         ll = ship.value
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE_BYTES):
             raw, offs = flat(b.column("text"))
             pred, score, size = np.full(b.num_rows, -1), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int32)
             code, s, e, d, has = _grams(raw, offs, len(ll))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import materialize, scratch
-from .common import LOWER, SPACED, flat, mix, pieces, ragged, run_hash, span_hash, spans
+from .common import LOWER, SPACED, flat, mix, pieces, ragged, releasing, run_hash, span_hash, spans
 
 K, WIDE, WORDS = 64, 512, 5
 ROUNDS = 3
@@ -273,7 +273,7 @@ def _long_edges(rows: DataFrame, sets: DataFrame) -> DataFrame:
         edges = join_block(ids, n, most, comp, left, right, column.flatten().to_numpy(), offs) if len(left) and len(right) else []
         return pa.table({"ca": pa.array([x for x, _ in edges], pa.int64()), "cb": pa.array([y for _, y in edges], pa.int64())})
 
-    return full.groupBy("v", "i", "j").applyInArrow(compare, "ca long, cb long")
+    return full.groupBy("v", "i", "j").applyInArrow(releasing(compare), "ca long, cb long")
 
 
 def _joined(comp: DataFrame, edges: DataFrame) -> DataFrame:

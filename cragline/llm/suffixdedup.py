@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import by_slice, id_array, mix, pack, ragged, span_hash, squeeze, uniq_counts, unpack, widen
+from .common import by_slice, id_array, mix, pack, ragged, releasing, span_hash, squeeze, uniq_counts, unpack, widen
 from .gsaca import suffix_arrays
 
 LENGTH, ANCHOR = 50, 20
@@ -271,7 +271,7 @@ def _dedup(docs: DataFrame, with_text: bool, piece_bytes: int, slice_bytes: int)
         rows = [_row(0, b, s, 0, squeeze(np.diff(k[yes[x:y]], prepend=np.uint64(0)))) for b, s, k, x, y in zip(t["bucket"].to_pylist(), t["slice"].to_pylist(), keys, at[:-1], at[1:], strict=True)]
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    hot = materialize(asked.groupBy("bucket").applyInArrow(shared, ROW), "shared")
+    hot = materialize(asked.groupBy("bucket").applyInArrow(releasing(shared), ROW), "shared")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -285,7 +285,7 @@ def _dedup(docs: DataFrame, with_text: bool, piece_bytes: int, slice_bytes: int)
                 rows.append(_row(1, int(b), left["slice"][0].as_py(), int(edge[b]), _planes(s.doc[v]), squeeze(s.shift[v].astype(np.uint8)), squeeze(s.count[v].astype(np.uint8)), squeeze(data)))
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    cuts = packed.groupBy("slice").cogroup(hot.groupBy("slice")).applyInArrow(cut, ROW)
+    cuts = packed.groupBy("slice").cogroup(hot.groupBy("slice")).applyInArrow(releasing(cut), ROW)
 
     def settle(t: pa.Table) -> pa.Table:
         docs = [_numbers(x) for x in t["a"].to_pylist()]
@@ -301,7 +301,7 @@ def _dedup(docs: DataFrame, with_text: bool, piece_bytes: int, slice_bytes: int)
         rows = [_row(3, b, s, f, _planes(low[x:y])) for b, s, f, x, y in zip(t["bucket"].to_pylist(), t["slice"].to_pylist(), t["first"].to_pylist(), at[:-1], at[1:], strict=True)]
         return pa.Table.from_pylist(rows, _SCHEMA)
 
-    settled = materialize(cuts.groupBy("bucket").applyInArrow(settle, ROW), "settled")
+    settled = materialize(cuts.groupBy("bucket").applyInArrow(releasing(settle), ROW), "settled")
     back = hot.unionByName(settled)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_sha256 string, kept_text string" * with_text
 
@@ -323,7 +323,7 @@ def _dedup(docs: DataFrame, with_text: bool, piece_bytes: int, slice_bytes: int)
             tables.append(_cut_texts(ids, flags, offs, raw, np.cumsum(step[:-1]) > 0, with_text))
         return pa.concat_tables(tables)
 
-    return packed.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(finish, schema)
+    return packed.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(releasing(finish), schema)
 
 
 def _cut_texts(ids: np.ndarray, flags: np.ndarray, offs: np.ndarray, raw: np.ndarray, gone: np.ndarray, with_text: bool) -> pa.Table:

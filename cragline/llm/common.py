@@ -38,16 +38,21 @@ def release() -> None:
 
 
 def releasing(f):
-    """f, with freed memory given back after each call."""
+    """f of one or two tables, with freed memory given back after each call."""
 
-    @functools.wraps(f)
-    def run(*args):
+    def one(table):
         try:
-            return f(*args)
+            return f(table)
         finally:
             release()
 
-    return run
+    def two(left, right):
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return two if f.__code__.co_argcount == 2 else one
 
 
 LOWER = np.arange(256, dtype=np.uint8)

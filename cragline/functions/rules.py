@@ -226,3 +226,137 @@ def queue_class(replay: Column, name_queue: Column, manual: Column, final_flag:
 
 def refine_band(prom: Column) -> Column:
     return branches((prom >= 170, "SAFE"), (prom >= 130, "REFINE"), default="DROP")
+
+
+def match_elev_links(position: Column, support: Column, hint: Column, dist: Column, link: float = 250) -> Column:
+    """Struct preference, link, reason, ambiguous of a matched row of another height, in the order of refined_match_elev."""
+    near = position.isin(*NEAR)
+    wrong = (hint == "POSSIBLE_WRONG_SUMMIT_MATCH") & (dist <= link)
+    calc, db = near & (support == "BEV_SUPPORTS_CALC"), near & (support == "BEV_SUPPORTS_DB")
+    shadowed = F.coalesce(calc | db, F.lit(False))
+    linked = F.coalesce(dist <= link, F.lit(False))
+    is_wrong = F.coalesce(wrong, F.lit(False)) & ~shadowed
+    return F.struct(
+        branches((calc, "CALC_POINT_SUPPORTED"), (db, "DB_HEIGHT_SUPPORTED"), (wrong, "OFFICIAL_SUMMIT_REVIEW"), (position.isin("RIDGE_OFFSET", "REMOTE_OFFSET"), "MANUAL_REVIEW")).alias("preference"),
+        linked.cast("int").alias("link"),
+        branches((is_wrong, "MATCH_ELEV_WRONG_SUMMIT_REVIEW"), (linked, "MATCH_ELEV_OFFICIAL_LINK")).alias("reason"),
+        is_wrong.cast("int").alias("ambiguous"),
+    )
+
+
+def pair_links(refined: Column, partner: Column, has_official: Column) -> Column:
+    """Struct preference, link, reason, ambiguous, adopts of DB_NO_PEAK and NEW_CALC rows by their refined status."""
+    found = partner.isNotNull()
+    manual = (refined == "NEW_CALC_MANUAL_REVIEW") & found & has_official
+    return F.struct(
+        branches(
+            (refined.isin("DB_NO_PEAK_SHARED_KEYCOL_STRICT", "NEW_CALC_SHARED_KEYCOL_PAIR"), "OFFICIAL_SUMMIT_PREFERRED"),
+            (refined.isin("DB_NO_PEAK_NEAR_CALC_REVIEW", "NEW_CALC_NEAR_DB_REVIEW"), "OFFICIAL_SUMMIT_REVIEW"),
+            (refined.isin("DB_NO_PEAK_NEAR_CALC", "DB_NO_PEAK_NEAR_CALC_NO_KEYCOL"), "MANUAL_REVIEW"),
+        ).alias("preference"),
+        ((refined.startswith("DB_NO_PEAK") & found) | refined.isin("NEW_CALC_SHARED_KEYCOL_PAIR", "NEW_CALC_NEAR_DB_REVIEW") | manual).cast("int").alias("link"),
+        branches(
+            (refined == "DB_NO_PEAK_SHARED_KEYCOL_STRICT", "DB_NO_PEAK_SHARED_KEYCOL"),
+            (refined == "DB_NO_PEAK_NEAR_CALC_REVIEW", "DB_NO_PEAK_NEAR_CALC_REVIEW"),
+            (refined.startswith("DB_NO_PEAK_NEAR_CALC"), "DB_NO_PEAK_NEAR_CALC"),
+            (refined == "NEW_CALC_SHARED_KEYCOL_PAIR", "NEW_CALC_SHARED_KEYCOL"),
+            (refined == "NEW_CALC_NEAR_DB_REVIEW", "NEW_CALC_NEAR_DB_REVIEW"),
+            (manual, "NEW_CALC_MANUAL_REVIEW"),
+        ).alias("reason"),
+        refined.isin("DB_NO_PEAK_SHARED_KEYCOL_STRICT", "NEW_CALC_SHARED_KEYCOL_PAIR").cast("int").alias("ambiguous"),
+        refined.isin("NEW_CALC_SHARED_KEYCOL_PAIR", "NEW_CALC_NEAR_DB_REVIEW").cast("int").alias("adopts"),
+    )
+
+
+def coordinate_result(off: Column, calc: Column, bev: Column, bev_code: Column, higher: Column, same_keycol: Column, names_differ: Column) -> Column:
+    """Struct tags, severity (the gravest, without data REVIEW), coord, ident, names (review flags) and source of a row's point."""
+    grave = lambda s: F.coalesce(s.isin("REVIEW", "STRONG", "SEVERE"), F.lit(False))
+    calm = lambda s: s.isin("NONE", "MINOR")
+    coord, top = grave(off) | grave(calc) | grave(bev), F.coalesce(higher >= 3, F.lit(False))
+    tags = issue_classes(off, calc, bev, bev_code, higher, same_keycol, names_differ)
+    worst = F.greatest(rank_of(off), rank_of(calc), rank_of(bev))
+    source = F.when(grave(off), branches(((bev_code == 7302) & calm(bev), "BEV_NAME_7302_REVIEW"), (calm(calc), "CALC_PEAK_REVIEW"), default="MANUAL_REVIEW")).otherwise("UNCHANGED")
+    grade = F.when(worst == 1, "REVIEW").otherwise(F.element_at(F.lit(SEVERITIES), worst.cast("int")))
+    ident = top | ((same_keycol == 1) & (coord | top))
+    return F.struct(
+        tags.alias("tags"),
+        F.when(tags == "NO_COORDINATE_FLAG", "NONE").otherwise(grade).alias("severity"),
+        coord.cast("int").alias("coord"),
+        ident.cast("int").alias("ident"),
+        (names_differ & (coord | top)).cast("int").alias("names"),
+        source.alias("source"),
+    )
+
+
+def name_evidence(calc_name: Column, calc_code: Column, off_name: Column, off_code: Column, db_name: Column, display: Column, origin: Column, open_check: Column) -> Column:
+    """Struct name, source, support, fallback, queue, osm_allowed; names are cleaned texts, open_check: a review or replay is due."""
+    strong = lambda n, c: F.coalesce(n.isNotNull() & c.isin(7302, 7303), F.lit(False))
+    by_calc, by_off = strong(calc_name, calc_code), strong(off_name, off_code)
+    source = branches((by_calc, F.concat(F.lit("BEV_CALC_"), calc_code.cast("string"))), (by_off, F.concat(F.lit("BEV_OFFICIAL_"), off_code.cast("string"))), default="NO_AUTHORITATIVE_BEV_NAME")
+    none = ~(by_calc | by_off)
+    fallback = none & (db_name.isNotNull() | display.isNotNull())
+    n1 = F.concat(F.lit("N1_NO_AUTHORITATIVE_BEV_NAME"), F.when(fallback, "_SOTA_DB_FALLBACK").otherwise(""), F.when(open_check, "_WITH_GEO_OR_REPLAY").when(fallback, "").otherwise("_ONLY"))
+    queue = branches((~F.coalesce(F.upper(origin) == "CALC_PEAK", F.lit(False)), "NOT_CALC_PEAK"), (~none, "BEV_AUTH_AVAILABLE"), default=n1)
+    context = none & F.coalesce((calc_code == 7301) | (off_code == 7301), F.lit(False))
+    return F.struct(
+        branches((by_calc, calc_name), (by_off, off_name)).alias("name"),
+        source.alias("source"),
+        F.when(context, "BEV_CONTEXT_7301_ONLY").otherwise(source).alias("support"),
+        fallback.cast("int").alias("fallback"),
+        queue.alias("queue"),
+        queue.startswith("N1_").cast("int").alias("osm_allowed"),
+    )
+
+
+def calc_name_support(name: Column, code: Column, z: Column, z_bev: Column) -> Column:
+    """Struct available, support, z_diff of the name found at a calculated point."""
+    ok = F.coalesce(name.isNotNull() & code.isin(7302, 7303), F.lit(False))
+    return F.struct(ok.cast("int").alias("available"), F.when(ok, F.concat(F.lit("BEV_CALC_"), code.cast("string"))).otherwise("NO_BEV_AT_CALC_POINT").alias("support"), F.round(z - z_bev, 1).alias("z_diff"))
+
+
+def group_decision(is_clear: Column, rank: Column, has_official: Column) -> Column:
+    """Struct role, basis, confidence, final_flag, manual, replay of a group's member; rank: by score, the winner first."""
+    leaf = lambda role, basis, conf, f, m, r: F.struct(F.lit(role).alias("role"), (basis if isinstance(basis, Column) else F.lit(basis)).alias("basis"), F.lit(conf).alias("confidence"), F.lit(f).alias("final_flag"), F.lit(m).alias("manual"), F.lit(r).alias("replay"))
+    won = F.when(has_official, "OFFICIAL_PREFERRED_SHARED_KEYCOL").otherwise("BEV_HEIGHT_HIGHER_SHARED_KEYCOL")
+    return branches(
+        (~is_clear, leaf("REVIEW_REQUIRED", "SHARED_KEYCOL_REVIEW_REQUIRED", "LOW", 0, 1, 1)),
+        (rank == 1, leaf("FINAL_SOTA_SUMMIT", won, "MEDIUM", 1, 0, 0)),
+        default=leaf("SECONDARY_SHARED_KEYCOL", "PAIR_SECONDARY_TO_FINAL", "MEDIUM", 0, 0, 0),
+    )
+
+
+#: Association prefixes, the numbers and names of the areas they stand for.
+PREFIXES = {
+    "OE/VB-": (8, "Vorarlberg"),
+    "OE/TI-": (7, "Tirol"),
+    "OE/TL-": (7, "Tirol"),
+    "OE/SB-": (5, "Salzburg"),
+    "OE/KT-": (2, "Kärnten"),
+    "OE/ST-": (6, "Steiermark"),
+    "OE/OO-": (4, "Oberösterreich"),
+    "OE/NO-": (3, "Niederösterreich"),
+    "OE/BL-": (1, "Burgenland"),
+    "OE/WI-": (9, "Wien"),
+}
+
+
+def prefix_land(code: Column) -> Column:
+    """Struct land_id, land of a reference code; nulls for other prefixes."""
+    key = F.substring(F.upper(F.trim(code)), 1, 6)
+    ids, names = (F.create_map(*[F.lit(x) for k, v in PREFIXES.items() for x in (k, v[j])]) for j in (0, 1))
+    return F.struct(F.try_element_at(ids, key).alias("land_id"), F.try_element_at(names, key).alias("land"))
+
+
+def land_source(polygon: Column, land: Column, code: Column) -> Column:
+    """Where a row's area comes from: its own field, the polygon it lies in, its code's prefix, or nowhere."""
+    return branches((F.coalesce(land, F.lit("")) != "", "land"), (polygon.isNotNull(), "bl_join"), (prefix_land(code).getField("land").isNotNull(), "sota_ref"), default="missing")
+
+
+def display_name(name: Column, db_name: Column, matched: Column) -> Column:
+    """Struct name, source of the name shown for a row; a row without a match or name has none."""
+    return F.struct(F.coalesce(name, F.when(matched, db_name)).alias("name"), branches((name.isNotNull(), "BEV_NAME"), (matched & db_name.isNotNull(), "SOTA_DB"), (matched, "UNKNOWN")).alias("source"))
+
+
+def first_true(*columns: Column) -> Column:
+    """The first number that is neither missing nor zero."""
+    return F.coalesce(*[F.when(c != 0, c) for c in columns])

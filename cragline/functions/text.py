@@ -53,3 +53,13 @@ def parse_codes(s: Column) -> Column:
     """Sorted distinct integers of a comma-separated list, joined by commas."""
     codes = F.array_compact(F.transform(F.split(s, ","), lambda x: F.trim(x).try_cast("int")))
     return F.array_join(F.array_sort(F.array_distinct(codes)), ",")
+
+
+def display(s: Column) -> Column:
+    """A name for display: repaired and trimmed, '' missing."""
+    return clean_text(mojibake(s), null_word=False)
+
+
+def differ(a: Column, b: Column) -> Column:
+    """1 if both texts are there and differ but for case."""
+    return F.when((a != "") & (b != "") & (F.lower(a) != F.lower(b)), 1).otherwise(0)

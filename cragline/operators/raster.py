@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,29 +74,89 @@ def region_centroids(mask: DataFrame) -> DataFrame:
     return mask.join(comp, F.col("pix") == F.col("id")).groupBy(F.col("comp").alias("region")).agg(F.count("*").alias("cells"), F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"), F.max("z").alias("z"))
 
 
-def fill_sinks(dem: DataFrame, step: int = 0, rounds: int | None = None) -> DataFrame:
-    """Cells raised to the lowest level at which water reaches the edge, `step` per cell; edge cells keep their height.
+def bilinear(dem: DataFrame, size: float, target: float) -> DataFrame:
+    """Resampling to cells of `target`: r, c, z by the four cell centres around each new one; missing ones take no part.
 
-    Relaxes water levels downwards until nothing changes; raises if `rounds` are given and do not suffice.
+    Cells of (almost) the target's size stay as they are.
+    """
+    if abs(size - target) <= 1e-6:
+        return dem.select("r", "c", F.col("z").cast("double").alias("z"))
+    ratio = target / size
+    # a source centre reaches the new centres less than one source cell away
+    first = lambda x: F.ceil((F.col(x) - 0.5) / ratio - 0.5)
+    last = lambda x: F.floor((F.col(x) + 1.5) / ratio - 0.5)
+    span = lambda x: F.explode(F.sequence(first(x), F.greatest(first(x), last(x))))
+    sent = dem.withColumn("tr", span("r")).withColumn("tc", span("c"))
+    weight = lambda t, x: F.greatest(F.lit(0.0), 1 - F.abs((F.col(t) + 0.5) * ratio - 0.5 - F.col(x)))
+    w = weight("tr", "r") * weight("tc", "c")
+    edge = dem.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    new = lambda lo, hi, t: ((F.col(t) + 0.5) * ratio >= F.col(lo)) & ((F.col(t) + 0.5) * ratio <= F.col(hi) + 1)
+    got = sent.withColumn("w", w).filter("w > 0").groupBy(F.col("tr").alias("r"), F.col("tc").alias("c")).agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
+    return got.join(F.broadcast(edge)).filter(new("r0", "r1", "r") & new("c0", "c1", "c")).select("r", "c", "z")  # one row
+
+
+def _drain(t: pa.Table, rise: float) -> pa.Table:
+    """A tile's own cells with their levels lowered as far as those around them allow."""
+    r, c, z, w, own = (t[k].to_numpy() for k in ("r", "c", "z", "w", "own"))
+    z, w = z.astype(np.float64), w.astype(np.float64)
+    at = {(x, y): k for k, (x, y) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
+    level, floor = w.tolist(), z.tolist()
+    heap = [(v, k) for k, v in enumerate(level) if v < np.inf]
+    heapq.heapify(heap)
+    while heap:
+        v, k = heapq.heappop(heap)
+        if v > level[k]:
+            continue
+        x, y = int(r[k]), int(c[k])
+        for dr, dc in NEIGHBOURS:
+            j = at.get((x + dr, y + dc))
+            if j is not None and level[j] > floor[j]:
+                up = max(floor[j], v + rise * (1.0 if dr == 0 or dc == 0 else 2**0.5))
+                if up < level[j]:
+                    level[j] = up
+                    heapq.heappush(heap, (up, j))
+    t = t.drop_columns(["w"]).append_column("new", pa.array(level, pa.float64()))
+    return t.filter(pa.array(own)).select(["pix", "r", "c", "z", "old", "new"])
+
+
+def fill_sinks(dem: DataFrame, rise: float = 0.0, tile: int = 256) -> DataFrame:
+    """pix, r, c, z, w: cells raised to the lowest level at which water reaches the edge, `rise` higher for each cell it
+    passes (times the square root of two on diagonals); cells at the edge or beside a missing one keep their height.
+
+    Each round settles whole tiles by a priority queue, given the levels around them, until no level changes; rounds grow
+    with the tiles that a flow path crosses. w has z's type if nothing rises, else it is a double.
     """
-    sent = scatter(dem, ["z"])
-    edge = sent.groupBy("r", "c").count().withColumnRenamed("count", "n")
-    top = dem.agg(F.max("z")).first()[0]
-    w = materialize(dem.join(edge, ["r", "c"], "left").select("pix", "r", "c", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(top)).alias("w")), "fill")
-    done = 0
+    few = scatter(dem, ["z"]).groupBy("r", "c").count().withColumnRenamed("count", "n")
+    w = materialize(dem.join(few, ["r", "c"], "left").select("pix", "r", "c", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z").cast("double")).otherwise(F.lit(float("inf"))).alias("w")), "fill")
+    of = lambda x, d: F.floor((F.col(x) + d) / tile)
+    home = F.struct(of("r", 0).alias("tr"), of("c", 0).alias("tc"))
+    tiles = F.array_distinct(F.array(home, *[F.struct(of("r", i).alias("tr"), of("c", j).alias("tc")) for i in (-1, 1) for j in (-1, 1)]))
+    schema = "pix long, r long, c long, z " + dem.schema["z"].dataType.simpleString() + ", old double, new double"
     while True:
-        if done == rounds:
-            raise RuntimeError(f"water levels still change after {rounds} rounds")
-        done += 1
-        new = w.withColumn("old", F.col("w"))
-        for _ in range(6):  # steps between two written rounds
-            low = scatter(new, ["w"]).groupBy("r", "c").agg(F.min("w").alias("low"))
-            new = new.join(low, ["r", "c"], "left").select("pix", "r", "c", "z", "old", F.least("w", F.greatest("z", F.coalesce(F.col("low") + step, F.col("w")))).alias("w"))
-        new = materialize(new, "fill")
-        w = new.select("pix", "r", "c", "z", "w")
-        if new.filter("w != old").isEmpty():
+        sent = w.withColumn("old", F.col("w")).withColumn("t", F.explode(tiles)).withColumn("own", F.col("t") == home)
+        done = sent.select("t.tr", "t.tc", "pix", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "z", "w", "old", "own").groupBy("tr", "tc").applyInArrow(lambda t: _drain(t, rise), schema)
+        new = materialize(done, "fill")
+        w = new.select("pix", "r", "c", "z", F.col("new").alias("w"))
+        if new.filter("new < old").isEmpty():
             break
-    return w.select("pix", "r", "c", "z", "w")
+    return w.select("pix", "r", "c", "z", "w" if rise else F.col("w").cast(dem.schema["z"].dataType).alias("w"))
+
+
+def accumulation(pointers: DataFrame) -> DataFrame:
+    """id, cells: how many cells drain through each cell, itself included; pointers(id, parent) is a forest whose roots
+    point to themselves. Leaves are cut off round by round, sums go along."""
+    cells = pointers.select("id", "parent", F.lit(1).cast("long").alias("cells"))
+    out = None
+    while True:
+        busy = cells.filter("id != parent").select(F.col("parent").alias("id")).distinct()
+        marked = materialize(cells.join(busy.withColumn("fed", F.lit(True)), "id", "left"), "flow")
+        leaf, rest = marked.filter("fed is null").drop("fed"), marked.filter("fed").drop("fed")
+        done = leaf.select("id", "cells")
+        out = done if out is None else out.unionByName(done)
+        if rest.isEmpty():
+            return out
+        sums = leaf.filter("id != parent").groupBy(F.col("parent").alias("id")).agg(F.sum("cells").alias("more"))
+        cells = rest.join(sums, "id", "left").select("id", "parent", (F.col("cells") + F.coalesce("more", F.lit(0))).alias("cells"))
 
 
 def earliest_neighbour(dem: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """All pairs of a(fid, x, y) and b(bid, qx, qy, ...) within radius, with d2. b is sent to the 3x3 cells around its own."""
@@ -62,3 +64,51 @@ def densify(line: Column, step: float) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((e.p.x + (e.q.x - e.p.x) * i / n).alias("x"), (e.p.y + (e.q.y - e.p.y) * i / n).alias("y")))
 
     return F.concat(F.flatten(F.transform(edges, one)), F.slice(line, -1, 1))
+
+
+def polygon_distance(ring: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to a polygon, 0 inside."""
+    return F.when(ring_contains(ring, x, y), 0.0).otherwise(segment_distance(ring, x, y))
+
+
+def near_areas(points: DataFrame, areas: DataFrame, reach: float, cell: float) -> DataFrame:
+    """Pairs of points(x, y, ...) and areas(ring, ...) whose distance is at most `reach`, with dist (0 inside).
+
+    An area is sent to the grid cells that its box, widened by `reach`, touches; points meet it there.
+    """
+    edge = lambda f, c, d: F.floor((f(F.transform("ring", lambda p: p[c])) + d) / cell)
+    cells = lambda c: F.explode(F.sequence(edge(F.array_min, c, -reach), edge(F.array_max, c, reach)))
+    sent = areas.withColumn("_cx", cells("x")).withColumn("_cy", cells("y"))
+    here = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    dist = polygon_distance(F.col("ring"), F.col("x").cast("double"), F.col("y").cast("double"))
+    return here.join(sent, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("dist", dist).filter(F.col("dist") <= reach)
+
+
+def locate(points: DataFrame, areas: DataFrame, cell: float, tolerance: float = 1.0) -> DataFrame:
+    """fid, land_id: the area that holds each point, else the nearest one within `tolerance`; the smaller id on a tie."""
+    met = near_areas(points, areas, tolerance, cell)
+    return met.groupBy("fid").agg(F.min(F.struct("dist", "land_id")).alias("b")).select("fid", F.col("b.land_id").alias("land_id"))
+
+
+def nearest_higher(peaks: DataFrame, radii: list[float]) -> DataFrame:
+    """fid, target, d2 of every peak(fid, x, y, z, kx, ky): the nearest higher one around its key col, or nulls.
+
+    Squares grow from radius to radius; a peak with a hit in one leaves the search, as the candidates of a square that are
+    farther than a nearer one outside it do count.
+    """
+    open_ = peaks.select("fid", "z", F.col("kx").alias("x"), F.col("ky").alias("y")).filter("x is not null and y is not null")
+    goal = peaks.filter("x is not null").select(F.col("fid").alias("bid"), F.col("z").alias("bz"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    found = None
+    for r in radii:
+        cell = lambda c: F.floor(F.col(c) / r)  # noqa: B023, E731
+        ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        here = open_.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
+        sent = goal.withColumn("_o", ring).withColumn("_cx", cell("qx") + F.col("_o.i")).withColumn("_cy", cell("qy") + F.col("_o.j")).drop("_o")
+        dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+        met = here.join(sent, ["_cx", "_cy"]).filter((F.col("bz") > F.col("z")) & (F.abs(dx) <= r) & (F.abs(dy) <= r))
+        best = materialize(met.groupBy("fid").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("bid").alias("bid"))).alias("b")).select("fid", F.col("b.bid").alias("target"), F.col("b.d2").alias("d2")), "targets")
+        found = best if found is None else found.unionByName(best)
+        open_ = open_.join(best.select("fid"), "fid", "left_anti")
+        if open_.isEmpty():
+            break
+    return peaks.select("fid").join(found, "fid", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import spatial as S
 from ..operators.graph import components
+from ..session import materialize
 from .views import pick, table, view, with_sql
 
 QUERIES: dict = {}
@@ -60,10 +61,10 @@ def _(spark, sf):
     return _near(spark, sf, "refdb", 1000).withColumn("k", F.row_number().over(w)).filter("k = 1").select("bid", "fid", F.round(F.sqrt("d2"), 1).alias("dist"))
 
 
-@add("near_raw", with_sql("peaks", "refdb", more=_dist(600) + ", " + _top(1, "bid", "d2, fid")) + "SELECT bid, count(*) AS n, min(fid) AS fid FROM best GROUP BY bid")
+@add("near_raw", with_sql("peaks", "refdb", more=_dist(600) + ", raw AS (SELECT bid, count(*) AS n FROM pairs GROUP BY bid), " + _top(1, "bid", "d2, fid")) + "SELECT best.bid, n, fid, round(sqrt(d2), 1) AS dist FROM best JOIN raw ON best.bid = raw.bid")
 def _(spark, sf):
-    w = Window.partitionBy("bid").orderBy("d2", "fid")
-    return _near(spark, sf, "refdb", 600).withColumn("k", F.row_number().over(w)).filter("k = 1").groupBy("bid").agg(F.count("*").alias("n"), F.min("fid").alias("fid"))
+    found = _near(spark, sf, "refdb", 600).groupBy("bid").agg(F.count("*").alias("n"), F.min(F.struct("d2", "fid")).alias("b"))
+    return found.select("bid", "n", "b.fid", F.round(F.sqrt("b.d2"), 1).alias("dist"))
 
 
 @add("reciprocal_nearest", with_sql("peaks", "refdb", more=_dist(800) + ", r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d2, bid) AS k1, row_number() OVER (PARTITION BY bid ORDER BY d2, fid) AS k2 FROM pairs)") + "SELECT fid, bid, CASE WHEN k2 = 1 THEN 1 ELSE 0 END AS reciprocal FROM r WHERE k1 = 1")
@@ -125,19 +126,21 @@ def _(spark, sf):
     return p.join(a, F.col("b1") == F.col("fid") * 3, "left").join(b, F.col("b2") == F.col("fid"), "left").select("fid", F.coalesce("a1", "a2").alias("alt"))
 
 
-@add("routing_target", with_sql("peaks", more="c AS (SELECT p.fid, q.fid AS target, row_number() OVER (PARTITION BY p.fid ORDER BY (p.kx - q.x) * (p.kx - q.x) + (p.ky - q.y) * (p.ky - q.y), q.fid) AS k, round(sqrt((p.kx - q.x) * (p.kx - q.x) + (p.ky - q.y) * (p.ky - q.y)) / 1000, 2) AS km FROM peaks p JOIN peaks q ON q.z > p.z AND (p.kx - q.x) * (p.kx - q.x) + (p.ky - q.y) * (p.ky - q.y) <= 9000000)") + "SELECT fid, target, km FROM c WHERE k = 1")
+_STEPS = (400, 800, 1600, 4000, 40000)
+
+
+@add("routing_target", with_sql("peaks", more="c AS (SELECT p.fid, q.fid AS target, (p.kx - q.x) * (p.kx - q.x) + (p.ky - q.y) * (p.ky - q.y) AS d2, CASE WHEN greatest(abs(p.kx - q.x), abs(p.ky - q.y)) <= 400 THEN 1 WHEN greatest(abs(p.kx - q.x), abs(p.ky - q.y)) <= 800 THEN 2 WHEN greatest(abs(p.kx - q.x), abs(p.ky - q.y)) <= 1600 THEN 3 WHEN greatest(abs(p.kx - q.x), abs(p.ky - q.y)) <= 4000 THEN 4 ELSE 5 END AS step FROM peaks p JOIN peaks q ON q.z > p.z), b AS (SELECT fid, arg_min(target, (step, d2, target)) AS target, arg_min(d2, (step, d2, target)) AS d2 FROM c GROUP BY fid)") + "SELECT p.fid, b.target, round(sqrt(b.d2) / 1000, 2) AS km FROM peaks p LEFT JOIN b ON p.fid = b.fid")
 def _(spark, sf):
-    p = view(spark, sf, "peaks")
-    cols = p.select("fid", F.col("kx").alias("x"), F.col("ky").alias("y"), "z")
-    higher = S.near(cols, p.select(F.col("fid").alias("bid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("bz")), 3000).filter("bz > z")
-    return S.nearest(higher, ["fid"]).select("fid", F.col("bid").alias("target"), F.round(F.sqrt("d2") / 1000, 2).alias("km"))
+    # the test area is 20 km wide, so the search steps of 50 to 500 km are a hundredth here; the last one covers it all
+    found = S.nearest_higher(view(spark, sf, "peaks"), [float(r) for r in _STEPS])
+    return found.select("fid", "target", F.round(F.sqrt("d2") / 1000, 2).alias("km"))
 
 
 _IN = "x >= x0 AND x < x1 AND y >= y0 AND y < y1"
 
 
 def _lands(spark, sf):
-    return F.broadcast(view(spark, sf, "lands"))  # the administrative areas of one country: tens of rows
+    return view(spark, sf, "lands")  # broadcast by the planner if it is small enough
 
 
 @add("pip_land", with_sql("peaks", "lands") + f"SELECT fid, land_id FROM peaks JOIN lands ON {_IN}")
@@ -153,7 +156,7 @@ def _(spark, sf):
 
 @add("clip_semi", with_sql("peaks", "lands") + f"SELECT fid FROM peaks WHERE EXISTS (SELECT 1 FROM lands WHERE country = 1 AND {_IN})")
 def _(spark, sf):
-    return view(spark, sf, "peaks").join(F.broadcast(view(spark, sf, "lands").filter("country = 1")), S.inside(), "left_semi").select("fid")
+    return view(spark, sf, "peaks").join(view(spark, sf, "lands").filter("country = 1"), S.inside(), "left_semi").select("fid")
 
 
 _RECT = "greatest(x0 - x, 0, x - x1) * greatest(x0 - x, 0, x - x1) + greatest(y0 - y, 0, y - y1) * greatest(y0 - y, 0, y - y1)"
@@ -175,9 +178,8 @@ def _(spark, sf):
     return view(spark, sf, "peaks").join(_lands(spark, sf), S.inside()).select("fid", d.alias("dist"), rules.border_zone(d).alias("zone"))
 
 
-@add("bbox_filter", with_sql("peaks", "refdb", more="b AS (SELECT min(x) - 100 AS lx, max(x) + 100 AS hx, min(y) - 100 AS ly, max(y) + 100 AS hy FROM peaks WHERE fid % 3 = 0 AND x < 9000)") + "SELECT bid FROM refdb, b WHERE qx BETWEEN lx AND hx AND qy BETWEEN ly AND hy")
+@add("bbox_filter", with_sql("peaks", "refdb", more="b AS (SELECT min(x) - 100 AS lx, max(x) + 100 AS hx, min(y) - 100 AS ly, max(y) + 100 AS hy FROM peaks)") + "SELECT bid FROM refdb, b WHERE qx BETWEEN lx AND hx AND qy BETWEEN ly AND hy")
 def _(spark, sf):
-    # all peaks; the SQL has those with fid % 3 = 0 and x < 9000 only
     box = view(spark, sf, "peaks").agg((F.min("x") - 100).alias("lx"), (F.max("x") + 100).alias("hx"), (F.min("y") - 100).alias("ly"), (F.max("y") + 100).alias("hy"))
     return view(spark, sf, "refdb").join(F.broadcast(box), F.col("qx").between(F.col("lx"), F.col("hx")) & F.col("qy").between(F.col("ly"), F.col("hy"))).select("bid")  # one row
 
@@ -194,14 +196,9 @@ def _(spark, sf):
     return view(spark, sf, "peaks").select("fid", F.concat(F.lit("LINESTRING("), c("x"), F.lit(" "), c("y"), F.lit(", "), c("kx"), F.lit(" "), c("ky"), F.lit(")")).alias("line"), F.round(F.hypot(F.col("x") - F.col("kx"), F.col("y") - F.col("ky")), 1).alias("len_m"))
 
 
-#: Association prefixes and the areas they stand for.
-PREFIXES = {"OE/BL": "Burgenland", "OE/KT": "Kärnten", "OE/NO": "Niederösterreich", "OE/OO": "Oberösterreich", "OE/SB": "Salzburg", "OE/ST": "Steiermark", "OE/TI": "Tirol", "OE/VB": "Vorarlberg", "OE/WI": "Wien"}
-
-
-@add("prefix_land", with_sql("refdb") + "SELECT bid, CASE substring(code, 1, 5) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in PREFIXES.items()) + " END AS land FROM refdb")
+@add("prefix_land", with_sql("refdb") + "SELECT bid, CASE left(code, 6) WHEN 'OE/VB-' THEN 8 WHEN 'OE/TI-' THEN 7 WHEN 'OE/TL-' THEN 7 WHEN 'OE/SB-' THEN 5 WHEN 'OE/KT-' THEN 2 WHEN 'OE/ST-' THEN 6 WHEN 'OE/OO-' THEN 4 WHEN 'OE/NO-' THEN 3 WHEN 'OE/BL-' THEN 1 WHEN 'OE/WI-' THEN 9 END AS land_id, CASE left(code, 6) WHEN 'OE/VB-' THEN 'Vorarlberg' WHEN 'OE/TI-' THEN 'Tirol' WHEN 'OE/TL-' THEN 'Tirol' WHEN 'OE/SB-' THEN 'Salzburg' WHEN 'OE/KT-' THEN 'Kärnten' WHEN 'OE/ST-' THEN 'Steiermark' WHEN 'OE/OO-' THEN 'Oberösterreich' WHEN 'OE/NO-' THEN 'Niederösterreich' WHEN 'OE/BL-' THEN 'Burgenland' WHEN 'OE/WI-' THEN 'Wien' END AS land FROM refdb")
 def _(spark, sf):
-    lands = F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv])
-    return view(spark, sf, "refdb").select("bid", F.try_element_at(lands, F.substring("code", 1, 5)).alias("land"))
+    return view(spark, sf, "refdb").select("bid", rules.prefix_land(F.col("code")).alias("l")).select("bid", "l.land_id", "l.land")
 
 
 @add("refine_union", with_sql("peaks") + "SELECT fid, prom AS prom_ref, CAST(NULL AS INT) AS z1m FROM peaks WHERE prom >= 170 UNION ALL SELECT fid, prom + 5, z FROM peaks WHERE prom >= 130 AND prom < 170 AND prom + 5 >= 150")
@@ -213,12 +210,12 @@ def _(spark, sf):
 
 
 def _components(spark, sf):
-    """Rows whose row key is near another of equal height class, made symmetric, and their components of two or more."""
+    """Rows near another of like height, made symmetric: id, comp and the component's size."""
     p = view(spark, sf, "peaks").select("fid", "x", "y", "z")
     b = p.select(F.col("fid").alias("bid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("bz"))
     edges = S.near(p, b, 250).filter("fid < bid and abs(z - bz) <= 400").select(F.col("fid").alias("src"), F.col("bid").alias("dst"))
-    comp = components(edges, p.select(F.col("fid").alias("id")))
-    return comp.withColumn("n", F.count("*").over(Window.partitionBy("comp")))
+    comp = materialize(components(edges, p.select(F.col("fid").alias("id"))), "components")
+    return comp.join(comp.groupBy("comp").agg(F.count("*").alias("n")), "comp")
 
 
 _COMP = "e AS (SELECT p.fid AS a, q.fid AS b FROM peaks p JOIN peaks q ON p.fid <> q.fid AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 62500 AND abs(p.z - q.z) <= 400), reach(id, lab) AS (SELECT fid, fid FROM peaks UNION SELECT e.b, reach.lab FROM reach JOIN e ON reach.id = e.a), comp AS (SELECT id, min(lab) AS comp FROM reach GROUP BY id), sized AS (SELECT *, count(*) OVER (PARTITION BY comp) AS n FROM comp)"
@@ -229,11 +226,19 @@ def _(spark, sf):
     return _components(spark, sf).filter("n >= 2").select("id", "comp")
 
 
+def numbered(rows, order: list):
+    """rows with k = 1, 2, ... in this order: places within range partitions, plus what lies before each."""
+    parts = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a partition
+    return parts.join(before, "_p").withColumn("k", F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).drop("_p", "_b")
+
+
 @add("group_ids", with_sql("peaks", more=_COMP + ", g AS (SELECT comp, row_number() OVER (ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, comp) AS k FROM (SELECT DISTINCT comp, n FROM sized))", recursive=True) + "SELECT id, 'GRP_' || lpad(CAST(k AS VARCHAR), 5, '0') AS grp FROM sized JOIN g ON sized.comp = g.comp")
 def _(spark, sf):
     c = _components(spark, sf)
-    # numbers follow one order over all groups: a running number over the sorted group list
-    ids = c.select("comp", "n").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.col("n") == 1, "comp")))
+    # groups come first, then single rows; a group is met first at its smallest id
+    ids = numbered(c.select("comp", (F.col("n") == 1).alias("single")).distinct(), [F.col("single"), F.col("comp")])
     return c.join(ids.select("comp", "k"), "comp").select("id", F.concat(F.lit("GRP_"), F.lpad(F.col("k").cast("string"), 5, "0")).alias("grp"))
 
 
@@ -280,7 +285,10 @@ def _(spark, sf):
     return _texts(spark, sf).select("k", text.name_match(F.col("raw"), F.lit("GROSSGLOCKNER ")).alias("hit"))
 
 
-@add("mojibake", _TEXTS + "SELECT k, CASE WHEN raw = 'KÃ¤rnten' THEN 'Kärnten' ELSE raw END AS fixed FROM t")
+_REPAIR = r"CASE WHEN regexp_matches({0}, '[ÃÂâ]') AND NOT regexp_matches({0}, '[^\x{{0}}-\x{{FF}}]') THEN coalesce(try(decode(from_hex(array_to_string(list_transform(string_split({0}, ''), lambda c: lpad(to_hex(ord(c)), 2, '0')), '')))), {0}) ELSE {0} END"
+
+
+@add("mojibake", _TEXTS + f"SELECT k, {_REPAIR.format('raw')} AS fixed FROM t")
 def _(spark, sf):
     return _texts(spark, sf).select("k", text.mojibake(F.col("raw")).alias("fixed"))
 

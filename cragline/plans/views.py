@@ -28,7 +28,7 @@ def pick(expr: str, *labels: str | None) -> str:
 #: name: (table, column texts), the same text for both engines.
 VIEWS = {
     "peaks": ("customer", {"fid": "c_custkey", "x": "(c_custkey * 7919) % 20011", "y": "(c_custkey * 10007) % 20021", "z": "CAST(floor(c_acctbal / 4) AS INT)", "prom": "(c_custkey * 31) % 300", "kx": "(c_custkey * 7919) % 20011 + (c_custkey % 7) * 60 - 180", "ky": "(c_custkey * 10007) % 20021 + (c_custkey % 5) * 60 - 120", "name": "c_name"}),
-    "refdb": ("part", {"bid": "p_partkey", "qx": "(p_partkey * 7907) % 20011", "qy": "(p_partkey * 10009) % 20021", "alt": "CAST(floor(p_retailprice) AS INT)", "is_foreign": "CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END", "ref_name": "p_name", "code": "concat(" + pick("p_partkey", "OE/BL", "OE/KT", "OE/NO", "OE/OO", "OE/SB", "OE/ST", "OE/TI", "OE/VB", "OE/WI", "OE/XX") + ", '-', CAST(p_partkey AS VARCHAR(20)))"}),
+    "refdb": ("part", {"bid": "p_partkey", "qx": "(p_partkey * 7907) % 20011", "qy": "(p_partkey * 10009) % 20021", "alt": "CAST(floor(p_retailprice) AS INT)", "is_foreign": "CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END", "ref_name": "p_name", "code": "concat(" + pick("p_partkey", "OE/BL", "OE/KT", "OE/NO", "OE/OO", "OE/SB", "OE/ST", "OE/TI", "OE/VB", "OE/WI", "OE/XX", "OE/TL") + ", '-', CAST(p_partkey AS VARCHAR(20)))"}),
     "names": ("part", {"bid": "p_partkey", "qx": "(p_partkey * 7901) % 20011", "qy": "(p_partkey * 10037) % 20021", "f_code": "7301 + p_partkey % 3", "place": "p_name"}),
     "lands": ("nation", {"land_id": "n_nationkey", "land": "n_name", "country": "n_regionkey", "x0": "(n_nationkey % 5) * 4000", "y0": "CAST(floor(n_nationkey / 5.0) AS INT) * 4000", "x1": "(n_nationkey % 5) * 4000 + 4000", "y1": "CAST(floor(n_nationkey / 5.0) AS INT) * 4000 + 4000"}),
     "cases": (

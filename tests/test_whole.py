@@ -3,14 +3,10 @@
 import heapq
 import random
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.parquet as pq
 import pytest
 from test_core import scan
 
 from cragline import registry
-from cragline.llm import ann
 from cragline.operators import raster
 
 W, COLS, ROWS = 64, 12, 56
@@ -41,7 +37,10 @@ def test_prominence_of_the_whole_grid(spark, tall):
     rows = [[z.get(r * W + c) for c in range(W)] for r in range(ROWS)]
     strict = {p for p in z if all(z[q] < z[p] for q in around(z, p))}
     want = {p: v for p, v in scan(rows).items() if p in strict}
-    assert {r["pix"]: r["prom"] for r in collect(spark, "prominence", folder)} == want and max(want) >= 48 * W
+    got = collect(spark, "prominence", folder)
+    assert {r["pix"]: r["prom"] for r in got} == want and max(want) >= 48 * W
+    where = scan(rows, pixels=True)
+    assert {r["pix"]: r["keycol_pix"] for r in got} == {p: where.get(p) for p in want}
     want = {p: v for p, v in want.items() if v >= 1300 and 8 <= p % 64 < 56}
     assert {r["pix"]: r["prom"] for r in collect(spark, "prominence_filter", folder)} == want and max(want) >= 48 * W
 
@@ -78,54 +77,61 @@ def test_regions_of_the_whole_grid(spark, tall):
     assert got == want and max(w[0] for w in want) >= 48 * W
 
 
-def flood(z):
+def flood(z, rise=0.0):
     """Water levels by a priority flood from the edge."""
     heap = [(v, p) for p, v in z.items() if len(around(z, p)) < 8]
     w = {p: v for v, p in heap}
     heapq.heapify(heap)
     while heap:
         v, p = heapq.heappop(heap)
+        if v > w[p]:
+            continue
         for q in around(z, p):
-            if q not in w:
-                w[q] = max(v, z[q])
-                heapq.heappush(heap, (w[q], q))
+            up = max(v + rise * (1 if q // W == p // W or q % W == p % W else 2**0.5), z[q])
+            if up < w.get(q, 10**9):
+                w[q] = up
+                heapq.heappush(heap, (up, q))
     return w
 
 
 def test_sinks_of_the_whole_grid(spark, tall):
     folder, z = tall
     assert {r["pix"]: r["w"] for r in collect(spark, "fill_sinks", folder)} == flood(z)
+    assert {r["pix"]: r["w"] for r in collect(spark, "fill_sinks_slope", folder)} == flood(z, 0.5)
+
+
+@pytest.mark.parametrize("tile", [3, 7])
+def test_sinks_across_tiles(spark, tall, tile):
+    # a channel that winds through many tiles, on top of a random grid
+    _, z = tall
+    z = {p: -9000 if p // W % 4 == 1 or (p // W % 4 == 3 and p % W == (1 if p // W % 8 == 3 else 10)) else v for p, v in z.items()}
+    cells = spark.createDataFrame([(p, p // W, p % W, v) for p, v in z.items()], "pix long, r long, c long, z int")
+    assert {r["pix"]: r["w"] for r in raster.fill_sinks(cells, 0.25, tile).collect()} == flood(z, 0.25)
+
+
+def test_accumulation_of_the_whole_grid(spark, tall):
+    folder, z = tall
+    up = {p: min([p, *around(z, p)], key=lambda q: (-z[q], q)) for p in z}
+    want = dict.fromkeys(z, 0)
+    for p in z:
+        want[p] += 1
+        while up[p] != p:
+            p = up[p]
+            want[p] += 1
+    assert {r["id"]: r["cells"] for r in collect(spark, "flow_accumulation", folder)} == want
 
 
-def test_recall_over_many_lists(spark, tmp_path, monkeypatch):
-    n = 12_000
-    x = np.random.default_rng(5).normal(size=(n, 64))
-    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), f"{tmp_path}/e.parquet")
-    monkeypatch.setattr(ann, "LIST_ROWS", 20)
-    df = spark.read.parquet(f"{tmp_path}/e.parquet")
-    assert len(ann.fit(df)["lists"].c) == 600
-    got = ann.nearest(df).toPandas().groupby("query_id").vec_id.agg(set)
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hit = 0
-    for q in range(0, n, 50):
-        s = u @ u[q]
-        s[q] = -9
-        hit += len(got.get(q, set()) & set(np.argpartition(-s, 5)[:5]))
-    assert hit >= 0.93 * 5 * (n // 50)
-
-
-def test_isolated_rows_get_all_neighbours(spark, tmp_path, monkeypatch):
-    rng = np.random.default_rng(8)
-    n = 1500
-    x = rng.normal(size=(12, 32))[rng.integers(0, 12, n)] + 0.02 * rng.normal(size=(n, 32))
-    x[::50] = rng.normal(size=(n // 50, 32))  # alone, far from all groups
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(60, x[60].tolist())] * 20
-    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/e.parquet")
-    monkeypatch.setattr(ann, "LIST_ROWS", 5)
-    got = ann.nearest(spark.read.parquet(f"{tmp_path}/e.parquet")).toPandas()
-    assert got.groupby("query_id").size().to_dict() == {q: 5 for q in range(0, n, 50)}
-    few = spark.createDataFrame([(0, [1.0, 0.0]), *[(1, [1.0, 0.1])] * 20, (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
-    assert [tuple(r)[:3] for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+def test_bilinear_of_the_whole_grid(spark, tall):
+    folder, z = tall
+    want = {}
+    for r in range(-1, ROWS):
+        for c in range(-1, COLS):
+            y, x = (r + 0.5) * 1.6 - 0.5, (c + 0.5) * 1.6 - 0.5
+            part = [((1 - abs(y - i)) * (1 - abs(x - j)), z[i * W + j]) for i in range(ROWS) for j in range(COLS) if abs(y - i) < 1 and abs(x - j) < 1]
+            if part and 0 <= (r + 0.5) * 1.6 <= ROWS and 0 <= (c + 0.5) * 1.6 <= COLS:
+                want[r, c] = sum(a * v for a, v in part) / sum(a for a, _ in part)
+    got = {(r["r"], r["c"]): r["z"] for r in collect(spark, "raster_bilinear", folder)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
 def test_discs_around_all_cells(spark, tall):
@@ -147,12 +153,3 @@ def test_box_of_all_peaks(spark):
     (lx, *_, hx), (ly, *_, hy) = (sorted(v) for v in zip(*peaks, strict=True))
     want = {k for k, (x, y) in refs.items() if lx - 100 <= x <= hx + 100 and ly - 100 <= y <= hy + 100}
     assert {r["bid"] for r in collect(spark, "bbox_filter", sf)} == want
-
-
-def test_unfinished_filling_is_no_result(spark):
-    # a low channel between walls, longer than the steps of one round
-    z = {r * W + c: 1 if r == 1 and c < 11 else 9 for r in range(3) for c in range(COLS)}
-    z[W] = 0
-    cells = spark.createDataFrame([(p, p // W, p % W, v) for p, v in z.items()], "pix long, r long, c long, z int")
-    with pytest.raises(RuntimeError):
-        raster.fill_sinks(cells, rounds=1)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, flat, pieces, span_hash, spans
 
 BITS = 18
-SAMPLE = 40_000
+SAMPLE = 20_000
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -74,27 +74,49 @@ def region_centroids(mask: DataFrame) -> DataFrame:
     return mask.join(comp, F.col("pix") == F.col("id")).groupBy(F.col("comp").alias("region")).agg(F.count("*").alias("cells"), F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"), F.max("z").alias("z"))
 
 
-def bilinear(dem: DataFrame, size: float, target: float) -> DataFrame:
-    """Resampling to cells of `target`: r, c, z by the four cell centres around each new one; missing ones take no part.
+def _kernel(d: Column, cubic: bool) -> Column:
+    """Weight of a cell centre at distance d, in cells."""
+    d = F.abs(d)
+    if not cubic:
+        return F.greatest(F.lit(0.0), 1 - d)
+    return F.when(d < 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
 
-    Cells of (almost) the target's size stay as they are.
+
+def resample(dem: DataFrame, size: float, target: float, cubic: bool = False) -> DataFrame:
+    """Resampling to cells of `target`: r, c, z by the 2 x 2 (cubic: 4 x 4) cell centres around each new one.
+
+    Missing cells take no part; new cells have their centre in the grid's box. Cells of (almost) the target's size stay
+    as they are.
     """
     if abs(size - target) <= 1e-6:
         return dem.select("r", "c", F.col("z").cast("double").alias("z"))
-    ratio = target / size
-    # a source centre reaches the new centres less than one source cell away
-    first = lambda x: F.ceil((F.col(x) - 0.5) / ratio - 0.5)
-    last = lambda x: F.floor((F.col(x) + 1.5) / ratio - 0.5)
-    span = lambda x: F.explode(F.sequence(first(x), F.greatest(first(x), last(x))))
+    ratio, reach = target / size, 2 if cubic else 1
+    # the new centres less than `reach` source cells away
+    first = lambda x: F.ceil((F.col(x) + 0.5 - reach) / ratio - 0.5)
+    last = lambda x: F.floor((F.col(x) + 0.5 + reach) / ratio - 0.5)
+    span = lambda x: F.explode(F.when(first(x) <= last(x), F.sequence(first(x), last(x))))
     sent = dem.withColumn("tr", span("r")).withColumn("tc", span("c"))
-    weight = lambda t, x: F.greatest(F.lit(0.0), 1 - F.abs((F.col(t) + 0.5) * ratio - 0.5 - F.col(x)))
-    w = weight("tr", "r") * weight("tc", "c")
+    weight = lambda t, x: _kernel((F.col(t) + 0.5) * ratio - 0.5 - F.col(x), cubic)
     edge = dem.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     new = lambda lo, hi, t: ((F.col(t) + 0.5) * ratio >= F.col(lo)) & ((F.col(t) + 0.5) * ratio <= F.col(hi) + 1)
-    got = sent.withColumn("w", w).filter("w > 0").groupBy(F.col("tr").alias("r"), F.col("tc").alias("c")).agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
+    sent = sent.withColumn("w", weight("tr", "r") * weight("tc", "c")).filter("w != 0")
+    got = sent.groupBy(F.col("tr").alias("r"), F.col("tc").alias("c")).agg(F.sum(F.col("w") * F.col("z")).alias("s"), F.sum("w").alias("w"))
+    got = got.filter("w > 1e-9").select("r", "c", (F.col("s") / F.col("w")).alias("z"))
     return got.join(F.broadcast(edge)).filter(new("r0", "r1", "r") & new("c0", "c1", "c")).select("r", "c", "z")  # one row
 
 
+def aligned(dem: DataFrame, size: int, target: int, shift: tuple[int, int] = (0, 0)) -> DataFrame:
+    """r, c, z on the common grid of `target` cells, of a source of `size` cells whose corner lies `shift` away from the
+    grid's (x, y, in the same whole units). Smaller cells are averaged by their centres, larger ones fill what they cover."""
+    x0, y0 = shift
+    low = lambda x, o: (F.col(x) * size + o).cast("long")
+    if size <= target:
+        cell = lambda x, o: F.floor((low(x, o) + size / 2) / target)
+        return dem.groupBy(cell("r", y0).alias("r"), cell("c", x0).alias("c")).agg(F.avg("z").alias("z"))
+    inside = lambda x, o: F.explode(F.sequence(F.ceil((low(x, o)) / target - 0.5), F.ceil((low(x, o) + size) / target - 0.5) - 1))
+    return dem.select(inside("r", y0).alias("r"), "c", "z").select("r", inside("c", x0).alias("c"), F.col("z").cast("double").alias("z"))
+
+
 def _drain(t: pa.Table, rise: float) -> pa.Table:
     """A tile's own cells with their levels lowered as far as those around them allow."""
     r, c, z, w, own = (t[k].to_numpy() for k in ("r", "c", "z", "w", "own"))

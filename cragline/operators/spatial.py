@@ -66,6 +66,22 @@ def densify(line: Column, step: float) -> Column:
     return F.concat(F.flatten(F.transform(edges, one)), F.slice(line, -1, 1))
 
 
+def polygon_centroid(ring: Column) -> Column:
+    """Struct x, y: the centre of area of a closed ring; of a ring without area the mean of its points; null if empty."""
+    edges = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("p"), F.slice(ring, 2, F.size(ring) - 1).alias("q"))
+    cross = lambda e: e.p.x * e.q.y - e.q.x * e.p.y
+    total = lambda f: F.aggregate(F.transform(edges, f), F.lit(0.0), lambda a, x: a + x)
+    area = total(cross)
+    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[c]) / F.size(ring)
+    one = lambda c: F.when(area != 0, total(lambda e: (e.p[c] + e.q[c]) * cross(e)) / F.nullif(3 * area, F.lit(0.0))).otherwise(mean(c))
+    return F.when(F.size(ring) > 1, F.struct(one("x").alias("x"), one("y").alias("y")))
+
+
+def same_place(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """1 if both points are there and equal."""
+    return F.when((x1 == x2) & (y1 == y2), 1).otherwise(0)
+
+
 def polygon_distance(ring: Column, x: Column, y: Column) -> Column:
     """Distance of a point to a polygon, 0 inside."""
     return F.when(ring_contains(ring, x, y), 0.0).otherwise(segment_distance(ring, x, y))

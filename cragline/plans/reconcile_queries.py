@@ -153,7 +153,30 @@ def _(spark, sf):
 @add("raster_bilinear", None)
 def _(spark, sf):
     """The grid of 10 m cells at 16 m."""
-    return O.bilinear(dem(spark, sf), 10.0, 16.0)
+    return O.resample(dem(spark, sf), 10.0, 16.0)
+
+
+@add("raster_cubic", None)
+def _(spark, sf):
+    return O.resample(dem(spark, sf), 10.0, 16.0, cubic=True)
+
+
+@add("raster_mosaic_aligned", with_sql("dem") + "SELECT r, c, CAST(coalesce(f, g) AS DOUBLE) AS z FROM (SELECT r * 3 + i AS r, c * 3 + j AS c, z AS g FROM dem, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j) WHERE r * 3 + i BETWEEN 30 AND 89 AND c * 3 + j BETWEEN 20 AND 99) FULL JOIN (SELECT r // 5 + 40 AS r, c // 5 + 60 AS c, avg(z) AS f FROM dem WHERE z % 97 <> 0 GROUP BY 1, 2) USING (r, c) WHERE r BETWEEN 30 AND 89 AND c BETWEEN 20 AND 99")
+def _(spark, sf):
+    """A coarse source of 30 m and over it a fine one of 2 m, which starts 600 m to the right and 400 m below, on one grid of 10 m, cropped."""
+    g = dem(spark, sf)
+    fine = O.aligned(g.filter("z % 97 <> 0"), 2, 10, (600, 400))
+    return O.mosaic(O.aligned(g, 30, 10), fine).filter("r between 30 and 89 and c between 20 and 99")
+
+
+@add("polygon_centroid", with_sql("lands") + "SELECT land_id, x0 + (4000.0::DOUBLE * 4000 * 2000 - 1500.0 * 1000 * 750) / 14500000 AS x, y0 + (4000.0::DOUBLE * 4000 * 2000 - 1500.0 * 1000 * 3500) / 14500000 AS y FROM lands WHERE land_id = 0")
+def _(spark, sf):
+    return _areas(spark, sf).filter("land_id = 0").select("land_id", S.polygon_centroid(_C("ring")).alias("m")).select("land_id", "m.x", "m.y")
+
+
+@add("same_place", with_sql("cases") + "SELECT k, CASE WHEN d = far AND dz = kd THEN 1 ELSE 0 END AS same FROM cases")
+def _(spark, sf):
+    return view(spark, sf, "cases").select("k", S.same_place(_C("d"), _C("dz"), _C("far"), _C("kd")).alias("same"))
 
 
 @add("fill_sinks_slope", whole(_NB, "fill(pix, w) USING KEY (pix) AS (SELECT pix, CAST(any_value(z) AS DOUBLE) FROM nb GROUP BY pix HAVING count(*) < 8 UNION SELECT nb.q, min(greatest(nb.zq, f.w + CASE WHEN dr = 0 OR dc = 0 THEN 0.5::DOUBLE ELSE 0.5 * sqrt(2) END)) FROM fill f JOIN nb ON nb.pix = f.pix LEFT JOIN recurring.fill o ON o.pix = nb.q WHERE o.w IS NULL OR greatest(nb.zq, f.w + CASE WHEN dr = 0 OR dc = 0 THEN 0.5::DOUBLE ELSE 0.5 * sqrt(2) END) < o.w GROUP BY 1)") + "SELECT d.pix, d.r, d.c, d.z, f.w FROM dem d JOIN fill f ON d.pix = f.pix")

@@ -121,16 +121,22 @@ def test_accumulation_of_the_whole_grid(spark, tall):
     assert {r["id"]: r["cells"] for r in collect(spark, "flow_accumulation", folder)} == want
 
 
-def test_bilinear_of_the_whole_grid(spark, tall):
+def cubic(d):
+    d = abs(d)
+    return 1.5 * d**3 - 2.5 * d**2 + 1 if d < 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d < 2 else 0.0
+
+
+@pytest.mark.parametrize("name, reach, kernel", [("raster_bilinear", 1, lambda d: max(0.0, 1 - abs(d))), ("raster_cubic", 2, cubic)])
+def test_resampling_of_the_whole_grid(spark, tall, name, reach, kernel):
     folder, z = tall
     want = {}
     for r in range(-1, ROWS):
         for c in range(-1, COLS):
             y, x = (r + 0.5) * 1.6 - 0.5, (c + 0.5) * 1.6 - 0.5
-            part = [((1 - abs(y - i)) * (1 - abs(x - j)), z[i * W + j]) for i in range(ROWS) for j in range(COLS) if abs(y - i) < 1 and abs(x - j) < 1]
-            if part and 0 <= (r + 0.5) * 1.6 <= ROWS and 0 <= (c + 0.5) * 1.6 <= COLS:
+            part = [(kernel(y - i) * kernel(x - j), z[i * W + j]) for i in range(ROWS) for j in range(COLS) if abs(y - i) < reach and abs(x - j) < reach]
+            if sum(a for a, _ in part) > 1e-9 and 0 <= (r + 0.5) * 1.6 <= ROWS and 0 <= (c + 0.5) * 1.6 <= COLS:
                 want[r, c] = sum(a * v for a, v in part) / sum(a for a, _ in part)
-    got = {(r["r"], r["c"]): r["z"] for r in collect(spark, "raster_bilinear", folder)}
+    got = {(r["r"], r["c"]): r["z"] for r in collect(spark, name, folder)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 

@@ -8,7 +8,7 @@ from cragline import registry
 from cragline.functions import rules, text
 from cragline.functions.projection import utm33
 from cragline.operators import raster, spatial
-from cragline.operators.graph import components
+from cragline.operators.graph import components, pointer_jump
 from cragline.operators.prominence import prominence
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,15 @@ def test_components_equal_brute_force(spark, parts):
     assert components(df.filter("false"), spark.range(3)).orderBy("id").collect() == [(0, 0), (1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_pointer_chains(spark, parts):
+    rng = random.Random(3)
+    up = {i: i + 1 for i in range(100)} | {100: 100, 500: 500} | {i: rng.choice([500, *range(501, i)]) for i in range(501, 600)}
+    got = {r["id"]: r["root"] for r in pointer_jump(spark.createDataFrame([*up.items()], "id long, parent long"), parts).collect()}
+    assert got == {i: 100 if i <= 100 else 500 for i in up}
+    assert pointer_jump(spark.createDataFrame([], "id long, parent long"), parts).count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
     got = components(edges, spark.range(43)).groupBy("comp").count().collect()

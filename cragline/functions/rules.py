@@ -1,4 +1,8 @@
-"""Rule tables of the reconciliation as column expressions; the first matching branch wins."""
+"""Rule tables of the reconciliation as column expressions; the first matching branch wins.
+
+Fixed values: the labels and bounds of all rules below; results are compared by them. A null in a condition lets the
+next branch decide; what a rule gives for rows that no branch takes stands as its default.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Name normalisation and repair."""
+"""Name normalisation and repair; a null text stays null, and flags of null texts are 0."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Topographic prominence without a sequential scan.
+"""Topographic prominence without a sequential scan; flat summits have none and an empty grid gives no summits.
 
 Cells are ordered by falling height, then pixel. Every cell points to the first cell of its 3x3 window; pointer jumping
 gives its summit. Edges between summits carry their saddle, the later cell of the highest crossing. In rounds each

@@ -1,4 +1,8 @@
-"""Raster operators on the long table dem(pix, r, c, z): one row a valid cell."""
+"""Raster operators on the long table dem(pix, r, c, z): one row a valid cell.
+
+Defined results: cells that are missing have no row and count as outside; pix is unique; ties between heights go to the
+smaller pix; an empty table gives an empty result; further columns are not looked at.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Bounded neighbour search and point/rectangle predicates as equi-joins on grid cells."""
+"""Bounded neighbour search and point/polygon predicates as equi-joins on grid cells.
+
+Defined results: rows with a null coordinate meet nothing; equal distances go to the smaller id; an empty side gives an
+empty result; a ring's last point repeats its first; names that start with _c or _o belong to the joins.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Rule tables over the case view, each with independent SQL."""
+"""Rule tables over the case view, each with independent SQL.
+
+Fixed values: the labels and bounds in the SQL are those of the rules.
+"""
 
 from __future__ import annotations
 

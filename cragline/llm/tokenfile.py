@@ -9,11 +9,12 @@ Shards hold ascending doc_id ranges. Every document ends with the end id.
 
 Defined results: null or empty texts hold the end id alone; null doc_ids come first; repeated doc_ids stay, in
 the order of their texts; an empty table gives no files' rows; columns besides doc_id and text are not looked at.
+The library sees each text whole, so a worker needs memory in proportion to its longest text.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import uuid
 import zlib
 
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .bpe import Bpe, ChunkStore, load_spec, worker_store
-from .common import pieces, ragged
+from .bpe import load_spec, worker_store
+from .common import pieces
 
 BLOCK = 1 << 16
+#: Texts in a call of the library.
+CALL = 64
 
 
 def shuffle_planes(ids: np.ndarray, planes: str = "byte", level: int = 1) -> tuple[bytes, list[int]]:
@@ -63,35 +66,25 @@ def join_planes(data: bytes, ends: list[int], n: int, planes: str = "byte") -> n
     return np.concatenate(got) if got else np.zeros(0, np.uint32)
 
 
-def by_chunk(spec: str) -> bool:
-    """Whether a vocabulary file's own steps make ids of white-space chunks, in lower case, those of the whole text.
-
-    Its normaliser must lower the case and do nothing else than NFC and blanks, its first cut must drop white space and
-    words must carry an end mark. Texts of other vocabularies go to the library whole.
-    """
-    j = json.loads(spec)
-    norm, cut = j.get("normalizer") or {}, j.get("pre_tokenizer") or {}
-    kinds = [x["type"] if x["type"] != "Replace" or x["pattern"] == {"Regex": r"\s+"} else "other" for x in norm.get("normalizers", [norm]) if x]
-    first, *rest = cut.get("pretokenizers", [cut])
-    return (
-        "Lowercase" in kinds
-        and set(kinds) <= {"NFC", "Replace", "Lowercase"}
-        and first.get("type") == "Split"
-        and (first["behavior"], first["invert"]) == ("Removed", True)
-        and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in rest] == [("ByteLevel", False, False)]
-        and bool(j["model"].get("end_of_word_suffix"))
-    )
-
+class Library:
+    """Encodes whole texts by the tokenizers library."""
 
-class _Whole:
-    """Encodes whole texts by the library."""
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
 
-    def __init__(self, tok):
-        self.tok = tok
+        self.tok = Tokenizer.from_str(spec)
+        self.tok.no_truncation()
+        self.tok.no_padding()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-        return np.fromiter((i for x in got for i in x), np.uint32), np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int64)
+        """Flat ids of all texts, and offsets; a call holds few texts, since the library keeps much a token."""
+        flat_ids, sizes = [], []
+        for k in range(0, len(texts), CALL):
+            part = [t or "" for t in texts.slice(k, CALL).to_pylist()]
+            for e in self.tok.encode_batch_fast(part, add_special_tokens=False):
+                flat_ids.append(np.array(e.ids, np.uint32))
+                sizes.append(len(flat_ids[-1]))
+        return np.concatenate([np.zeros(0, np.uint32), *flat_ids]), np.r_[0, np.cumsum(sizes, dtype=np.int64)]
 
 
 def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1, planes: str = "byte") -> str:
@@ -101,61 +94,8 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1
     spec = spark.sparkContext.broadcast(load_spec(path))
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        def make():
-            tok = Tokenizer.from_str(spec.value)
-            tok.no_truncation()
-            tok.no_padding()
-            if not by_chunk(spec.value):
-                return _Whole(tok)
-            own = Bpe(spec.value)  # only counts the words of a chunk
-
-            def library(chunks):
-                """Lines of many chunks in one call of the library; the word ends tell the chunks apart."""
-                lines = [chunks[k : k + 64] for k in range(0, len(chunks), 64)]
-                got = [e.ids for e in tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)]
-                ids = np.fromiter((i for x in got for i in x), np.uint32)
-                words = np.array([len(own.split(c)) for c in chunks], np.int64)
-                ends = np.flatnonzero(word_end[ids]) + 1
-                if len(ends) != words.sum():  # a word was cut in another way than foreseen: one by one
-                    got = [e.ids for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
-                    return np.fromiter((i for x in got for i in x), np.uint32), np.array([len(x) for x in got], np.int64)
-                return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(words)]])
-
-            inner = ChunkStore(library)
-            marks = {c: tok.encode(c, add_special_tokens=False).ids for c in ",."}
-            mark = {c: x[0] for c, x in marks.items() if len(x) == 1}
-
-            def encode_new(chunks):
-                """Chunks that differ in case or a last comma or full stop share one call of the library."""
-                base, tail = [], []
-                for c in chunks:
-                    if c.isascii() and c.isalpha():
-                        base.append(c.lower())
-                        tail.append(-1)
-                    elif c.isascii() and c[-1] in mark and c[:-1].isalpha():
-                        base.append(c[:-1].lower())
-                        tail.append(mark[c[-1]])
-                    else:
-                        base.append(c)
-                        tail.append(-1)
-                place = {b: k for k, b in enumerate(dict.fromkeys(base))}
-                ids, start, n = inner.lookup(list(place))
-                at, last = np.array([place[b] for b in base], np.int64), np.array(tail, np.int64)
-                flat = ids[ragged(start[at], n[at])]
-                has = last >= 0
-                return np.insert(flat, np.cumsum(n[at])[has], last[has].astype(np.uint32)), n[at] + has
-
-            word_end = np.zeros(len(own.names), bool)
-            names = own.names.to_pylist()
-            word_end[[k for k, x in enumerate(names) if x.endswith(own.suffix)] + list(own.specials.values())] = True
-            return ChunkStore(encode_new)
-
-        store, shard, chunk = worker_store(("library", path), make), TaskContext.get().partitionId(), 0
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        store, shard, chunk = worker_store(("library", path), lambda: Library(spec.value)), TaskContext.get().partitionId(), 0
         for b in pieces(batches, "text"):
             ids, offs = store.encode(b.column("text"))
             n = len(offs) - 1

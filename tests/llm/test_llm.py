@@ -322,7 +322,6 @@ def test_token_files_equal_the_library(spark, odd, name, table):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path(name))
-    assert tokenfile.by_chunk(bpe.load_spec(P.path(name))) == name.startswith("word")
     docs = spark.read.parquet(f"{SF}/documents.parquet") if table else odd
     got = tokenfile.read(spark, tokenfile.write(docs, P.path(name))).collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

@@ -126,10 +126,10 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
     with scratch() as work:
         follow = materialize(_following(rows), "next")
-        # a document's text goes to its predecessors, as much as they need
-        need = follow.select(*[F.col(f"t.{c}").alias(c) for c in key], F.struct(*key).alias("to"), F.floor(F.col("n") / 2).cast("int").alias("take"))
-        own = rows.join(follow, key)
-        sent = rows.dropDuplicates(key).join(need, key).select(*[F.col(f"to.{c}").alias(c) for c in key], F.substring("text", F.lit(1), F.col("take")).alias("given"))
+        # each text is shuffled once; the one before gets as much of it as it needs
+        before = follow.select(*[F.col(f"t.{c}").alias(c) for c in key], F.struct(*key).alias("to"), F.floor(F.col("n") / 2).cast("int").alias("take"))
+        own = rows.join(follow.join(before, key), key)
+        sent = own.select(*[F.col(f"to.{c}").alias(c) for c in key], F.substring("text", F.lit(1), F.col("take")).alias("given")).dropDuplicates(key)
         met = own.join(sent, key)
         n = F.col("n")
         d = met.withColumn("changed", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "given"))

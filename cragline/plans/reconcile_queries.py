@@ -54,16 +54,16 @@ def _store(spark, name: str, content: bytes) -> str:
 
 _LAT = pick("p_partkey", "47.5", " 46.25 ", "x", "48", None, "47.125", "47", "")
 _ALT = pick("p_partkey * 3", "2500", "", "1899.5", None)
-_ROWS = f"""SELECT p_partkey AS k, {pick('p_partkey', 'OE', 'DL')} AS association, {pick('p_partkey * 5 + 1', '31/12/2099', '31/12/2099', '30/06/2015')} AS valid_to, 'OE/ST-' || p_partkey AS code, p_name AS name, {_ALT} AS alt, {_LAT} AS lat, '13.5' AS lon FROM part"""
+_ROWS = f"""SELECT p_partkey AS k, {pick('p_partkey', 'OE', 'DL')} AS association, {pick('p_partkey * 5 + 1', '31/12/2099', '31/12/2099', '30/06/2015')} AS valid_to, CASE WHEN p_partkey % 3 = 0 THEN '  OE/ST-' || p_partkey || ' ' ELSE 'OE/ST-' || p_partkey END AS code, CASE p_partkey % 5 WHEN 0 THEN 'Ho "' || p_name || '", Nord' WHEN 1 THEN p_name || chr(10) || '"zwei", drei' WHEN 2 THEN ' ' || p_name || '  ' WHEN 3 THEN NULL ELSE p_name END AS name, {_ALT} AS alt, {_LAT} AS lat, '13.5' AS lon FROM part"""
 
 
-@add("csv_reference", f"SELECT code, name, TRY_CAST(alt AS DOUBLE) AS alt, CAST(trim(lat) AS DOUBLE) AS lat, 13.5::DOUBLE AS lon, CASE WHEN association = 'OE' THEN 0 ELSE 1 END AS is_foreign FROM ({_ROWS}) WHERE valid_to = '31/12/2099' AND TRY_CAST(trim(lat) AS DOUBLE) IS NOT NULL")
+@add("csv_reference", f"SELECT trim(code) AS code, trim(coalesce(name, '')) AS name, TRY_CAST(alt AS DOUBLE) AS alt, CAST(trim(lat) AS DOUBLE) AS lat, 13.5::DOUBLE AS lon, CASE WHEN association = 'OE' THEN 0 ELSE 1 END AS is_foreign FROM ({_ROWS}) WHERE valid_to = '31/12/2099' AND TRY_CAST(trim(lat) AS DOUBLE) IS NOT NULL")
 def _(spark, sf):
-    """The table is written with a byte-order mark and loose headers, then read by aliases and filtered."""
+    """The table is written with a byte-order mark, loose headers, quotes, commas and line breaks, then read by aliases and filtered."""
     rows = spark.sql(_ROWS.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
-    names = {"association": "﻿AssociationName ", "valid_to": " validto", "code": "SummitCode", "name": "summitname", "alt": "ALTM", "lat": " Latitude", "lon": "Lon"}
+    names = {"association": "﻿AssociationName ", "valid_to": " valid_to", "code": "Code", "name": "summit_name", "alt": "Elev_M", "lat": " Latitude", "lon": "lng"}
     path = _folder(spark, "reference")
-    rows.select(*[_C(c).alias(h) for c, h in names.items()]).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows.select(*[_C(c).alias(h) for c, h in names.items()]).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)
     return delimited.reference_rows(delimited.read_table(spark, path), T.strip(_C("association")) == "OE", True)
 
 

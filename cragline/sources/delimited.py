@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_number, clean_text
+from ..functions.text import clean_number, strip
 
-#: The columns of a reference table and the header names that stand for them.
+#: The columns of a reference table and the header names that stand for them, in order; case doesn't count.
 ALIASES = {
     "association": ["AssociationName", "Association"],
-    "valid_to": ["ValidTo", "Valid To"],
-    "code": ["SummitCode", "Summit Code", "Reference"],
-    "name": ["SummitName", "Summit Name", "Name"],
-    "alt": ["AltM", "Alt M", "Altitude"],
-    "lat": ["Latitude", "Lat"],
-    "lon": ["Longitude", "Lon"],
+    "valid_to": ["ValidTo", "valid_to"],
+    "code": ["SummitCode", "summit_code", "Code"],
+    "name": ["SummitName", "summit_name", "Name"],
+    "alt": ["AltM", "Altitude", "elev_m"],
+    "lat": ["Latitude", "lat"],
+    "lon": ["Longitude", "lon", "lng"],
 }
 OPEN_END = "31/12/2099"
 
@@ -34,15 +34,25 @@ def headers(found: list[str], wanted: dict[str, list[str]] = ALIASES) -> dict[st
 
 
 def read_table(spark: SparkSession, path: str, wanted: dict[str, list[str]] = ALIASES) -> DataFrame:
-    """The wanted columns of a delimited file with a header line, all of them text; empty fields are null."""
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", False).csv(path)
+    """The wanted columns of delimited files with a header line, all of them text; empty and absent fields are null.
+
+    Quoted fields may hold commas, doubled quotes and line breaks. As a line break can lie in a field, a file is read by
+    one task, record by record; a large table comes in several files.
+    """
+    raw = spark.read.options(header=True, encoding="UTF-8", multiLine=True, quote='"', escape='"', inferSchema=False).csv(path)
     return raw.select(*[F.col(f"`{h}`").alias(c) for c, h in headers(raw.columns, wanted).items()])
 
 
 def reference_rows(table: DataFrame, domestic: Column, with_neighbours: bool = False) -> DataFrame:
-    """code, name, alt, lat, lon, is_foreign of the rows in force; rows without a usable position go, an empty height is null."""
+    """code, name, alt, lat, lon, is_foreign of the rows in force.
+
+    Codes and names lose the blanks around them and are empty where they are missing. Rows without a usable position go,
+    and so do rows whose height is there but no number; an empty height is null. Repeated rows stay; an empty table gives
+    an empty result; further columns are not looked at.
+    """
     lat, lon = clean_number(F.col("lat")), clean_number(F.col("lon"))
-    rows = table.filter((clean_text(F.col("valid_to")) == OPEN_END) & (domestic | F.lit(with_neighbours)))
-    alt_ok = clean_text(F.col("alt"), False).isNull() | clean_number(F.col("alt")).isNotNull()
+    rows = table.filter((strip(F.col("valid_to")) == OPEN_END) & (domestic | F.lit(with_neighbours)))
+    alt_ok = F.col("alt").isNull() | (F.col("alt") == "") | clean_number(F.col("alt")).isNotNull()
     rows = rows.filter(lat.isNotNull() & lon.isNotNull() & alt_ok)
-    return rows.select("code", "name", clean_number(F.col("alt")).alias("alt"), lat.alias("lat"), lon.alias("lon"), F.when(domestic, 0).otherwise(1).alias("is_foreign"))
+    plain = lambda c: strip(F.coalesce(c, F.lit(""))).alias(c)
+    return rows.select(plain("code"), plain("name"), clean_number(F.col("alt")).alias("alt"), lat.alias("lat"), lon.alias("lon"), F.when(domestic, 0).otherwise(1).alias("is_foreign"))

@@ -1,5 +1,6 @@
 """Sources, sinks, the staged run and polygon search on small hand-made inputs."""
 
+import csv
 import random
 
 import numpy as np
@@ -29,6 +30,34 @@ def test_reference_rows(spark, tmp_path):
     assert [r["code"] for r in delimited.reference_rows(t, F.col("association") == "A").collect()] == ["c1"]
 
 
+#: What the headers of a reference table may be called.
+HEADERS = {"association": "AssociationName Association", "valid_to": "ValidTo valid_to validto", "code": "SummitCode summitcode summit_code Code", "name": "SummitName summitname summit_name Name", "alt": "AltM altm Altitude altitude elev_m", "lat": "Latitude latitude lat", "lon": "Longitude longitude lon lng"}
+
+
+@pytest.mark.parametrize("column, alias", [(c, a) for c, names in HEADERS.items() for a in names.split()])
+def test_every_alias(column, alias):
+    found = [f" {alias.upper()} " if c == column else names.split()[0] for c, names in HEADERS.items()]
+    assert delimited.headers(found)[column] == f" {alias.upper()} "
+
+
+def test_records_like_the_csv_module(spark, tmp_path):
+    """Quoted quotes, commas, line breaks, short and long records, blank lines: the rows that Python's reader gives."""
+    text = "\ufeffAssociation,valid_to,Code,summit_name,elev_m,lat,lng\n"
+    text += 'A,31/12/2099, c1 ,"Ho ""Klein"", Nord",1000,47.5,13\nA, 31/12/2099 ,c2,"zwei\nZeilen",,47.5, 13 \n\n"A",31/12/2099,c3\nA,31/12/2099,c4,"",5,46,12,mehr\nA,31/12/2099,,n5,  ,46,12\nB,31/12/2099,c6,a "b" c,7,46,12\n'
+    (tmp_path / "t.csv").write_text(text, encoding="utf-8")
+    want = []
+    with open(tmp_path / "t.csv", newline="", encoding="utf-8-sig") as f:
+        for row in csv.DictReader(f):
+            try:
+                alt = float(row["elev_m"]) if row["elev_m"] else None
+                want.append(((row["Code"] or "").strip(), (row["summit_name"] or "").strip(), alt, float(row["lat"]), float(row["lng"]), int(row["Association"] != "A")))
+            except (TypeError, ValueError):
+                continue
+    t = delimited.read_table(spark, str(tmp_path / "t.csv"))
+    got = [tuple(r) for r in delimited.reference_rows(t, F.col("association") == "A", True).collect()]
+    assert sorted(got) == sorted(want) and len(want) == 4
+
+
 def test_point_blobs():
     for envelope in range(5):
         for little in (True, False):

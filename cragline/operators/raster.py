@@ -6,14 +6,13 @@ smaller pix; an empty table gives an empty result; further columns are not looke
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import tiles
 from .graph import components, pointer_jump
 
 #: The eight neighbours in the order NW, N, NE, W, E, SW, S, SE.
@@ -121,57 +120,49 @@ def aligned(dem: DataFrame, size: int, target: int, shift: tuple[int, int] = (0,
     return dem.select(inside("r", y0).alias("r"), "c", "z").select("r", inside("c", x0).alias("c"), F.col("z").cast("double").alias("z"))
 
 
-def _drain(t: pa.Table, rise: float) -> pa.Table:
-    """A tile's own cells with their levels lowered as far as those around them allow."""
-    r, c, z, w, own = (t[k].to_numpy() for k in ("r", "c", "z", "w", "own"))
-    z, w = z.astype(np.float64), w.astype(np.float64)
-    at = {(x, y): k for k, (x, y) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-    level, floor = w.tolist(), z.tolist()
-    heap = [(v, k) for k, v in enumerate(level) if v < np.inf]
-    heapq.heapify(heap)
-    while heap:
-        v, k = heapq.heappop(heap)
-        if v > level[k]:
-            continue
-        x, y = int(r[k]), int(c[k])
-        for dr, dc in NEIGHBOURS:
-            j = at.get((x + dr, y + dc))
-            if j is not None and level[j] > floor[j]:
-                up = max(floor[j], v + rise * (1.0 if dr == 0 or dc == 0 else 2**0.5))
-                if up < level[j]:
-                    level[j] = up
-                    heapq.heappush(heap, (up, j))
-    t = t.drop_columns(["w"]).append_column("new", pa.array(level, pa.float64()))
-    return t.filter(pa.array(own)).select(["pix", "r", "c", "z", "old", "new"])
+def _drain(a: dict, rise: float) -> np.ndarray:
+    """A tile's levels, lowered as far as those around them allow."""
+    z, w = a["z"], a["w"].copy()
+    steps = [(dr, dc, rise * (1.0 if dr == 0 or dc == 0 else 2**0.5)) for dr, dc in NEIGHBOURS]
+    n, m = w.shape
+    while True:
+        inner, low = w[1:-1, 1:-1], np.full(z.shape, np.inf)
+        for dr, dc, up in steps:
+            low = np.fmin(low, w[1 + dr : n - 1 + dr, 1 + dc : m - 1 + dc] + up)
+        new = np.minimum(inner, np.maximum(z, low))
+        if np.array_equal(new, inner, equal_nan=True):
+            return new
+        w[1:-1, 1:-1] = new
 
 
 def fill_sinks(dem: DataFrame, rise: float = 0.0, tile: int = 256) -> DataFrame:
     """pix, r, c, z, w: cells raised to the lowest level at which water reaches the edge, `rise` higher for each cell it
     passes (times the square root of two on diagonals); cells at the edge or beside a missing one keep their height.
 
-    Each round settles whole tiles by a priority queue, given the levels around them, until no level changes; rounds grow
-    with the tiles that a flow path crosses. w has z's type if nothing rises, else it is a double.
+    Each round settles the tiles beside a changed border, given the levels around them, until no border changes; rounds
+    grow with the tiles that a flow path crosses. w has z's type if nothing rises, else it is a double. Heights are
+    exact up to 2^53.
     """
-    few = scatter(dem, ["z"]).groupBy("r", "c").count().withColumnRenamed("count", "n")
-    w = materialize(dem.join(few, ["r", "c"], "left").select("pix", "r", "c", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z").cast("double")).otherwise(F.lit(float("inf"))).alias("w")), "fill")
-    of = lambda x, d: F.floor((F.col(x) + d) / tile)
-    home = F.struct(of("r", 0).alias("tr"), of("c", 0).alias("tc"))
-    tiles = F.array_distinct(F.array(home, *[F.struct(of("r", i).alias("tr"), of("c", j).alias("tc")) for i in (-1, 1) for j in (-1, 1)]))
-    schema = "pix long, r long, c long, z " + dem.schema["z"].dataType.simpleString() + ", old double, new double"
-    while True:
-        sent = w.withColumn("old", F.col("w")).withColumn("t", F.explode(tiles)).withColumn("own", F.col("t") == home)
-        done = sent.select("t.tr", "t.tc", "pix", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "z", "w", "old", "own").groupBy("tr", "tc").applyInArrow(lambda t: _drain(t, rise), schema)
-        new = materialize(done, "fill")
-        w = new.select("pix", "r", "c", "z", F.col("new").alias("w"))
-        if new.filter("new < old").isEmpty():
-            break
-    return w.select("pix", "r", "c", "z", "w" if rise else F.col("w").cast(dem.schema["z"].dataType).alias("w"))
+
+    def start(tr, tc, a):
+        own = a["z"][1:-1, 1:-1]
+        open_ = np.isnan(np.stack([a["z"][1 + dr : tile + 1 + dr, 1 + dc : tile + 1 + dc] for dr, dc in NEIGHBOURS])).any(0)
+        w = np.where(np.isnan(own), np.nan, np.where(open_, own, np.inf))
+        return pa.table({"tr": [tr], "tc": [tc], "pix": [tiles.squeeze(a["pix"])], "z": [tiles.squeeze(own)], "w": [tiles.squeeze(w)]})
+
+    own, kind = {"pix": "i8", "z": "f8"}, dem.schema["z"].dataType
+    packed = materialize(tiles.pack(dem, own, tile), "grid")
+    begun = materialize(tiles.with_margin(packed, {"pix": "i8"}, {"z": "f8"}, start, "tr long, tc long, pix binary, z binary, w binary", tile), "fill")
+    done = tiles.settle(begun, own, "w", lambda a: _drain(a, rise), tile)
+    out = tiles.cells(done, own | {"w": "f8"}, tile, "z")
+    return out.select("pix", "r", "c", F.col("z").cast(kind).alias("z"), "w" if rise else F.col("w").cast(kind).alias("w"))
 
 
 def accumulation(pointers: DataFrame) -> DataFrame:
     """id, cells: how many cells drain through each cell, itself included; pointers(id, parent) is a forest whose roots
-    point to themselves. Leaves are cut off round by round, sums go along."""
-    cells = pointers.select("id", "parent", F.lit(1).cast("long").alias("cells"))
+    point to themselves; a column cells says how many each one brings (1 without it). Leaves are cut off round by round,
+    sums go along."""
+    cells = pointers.select("id", "parent", F.col("cells") if "cells" in pointers.columns else F.lit(1).cast("long").alias("cells"))
     out = None
     while True:
         busy = cells.filter("id != parent").select(F.col("parent").alias("id")).distinct()

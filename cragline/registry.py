@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import raster_queries, reconcile_queries, rule_queries, spatial_queries
+from .plans import raster_queries, reconcile_queries, rule_queries, spatial_queries, terrain_queries
 
-QUERIES: dict = rule_queries.QUERIES | raster_queries.QUERIES | spatial_queries.QUERIES | reconcile_queries.QUERIES
-SQL: dict = rule_queries.SQL | raster_queries.SQL | spatial_queries.SQL | reconcile_queries.SQL
+QUERIES: dict = rule_queries.QUERIES | raster_queries.QUERIES | spatial_queries.QUERIES | reconcile_queries.QUERIES | terrain_queries.QUERIES
+SQL: dict = rule_queries.SQL | raster_queries.SQL | spatial_queries.SQL | reconcile_queries.SQL | terrain_queries.SQL

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hydrology, polygons
+from ..functions import projection as P
+from ..functions.projection import inverse, utm33
+from ..operators import cutline, hydrology, polygons, raster
+from ..operators.warp import Frame, warp
 from ..session import scratch
 from .raster_queries import NB, whole
-from .views import dem
+from .views import dem, view, with_sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -90,3 +93,97 @@ def _(spark, sf):
         corners = F.size("outer") - 1 + F.aggregate("holes", F.lit(0), lambda a, h: a + F.size(h) - 1)
         out = shapes.join(zones, "region")
         return work.keep(out.select("region", "basin", "area", "length", F.size("holes").cast("long").alias("holes"), corners.cast("long").alias("corners"), "z_min", "z_max"), "shapes")
+
+
+# ---- systems
+
+#: A coarse source in degrees, a fine one in metres of zone 33, and the grid that both go to.
+COARSE, FINE, TARGET = Frame(13.0, 47.5, 0.0006, 0.0004), Frame(350000.0, 5258000.0, 10.0, 10.0, 15.0), Frame(349000.0, 5263000.0, 40.0, 40.0, 15.0)
+
+_K = 2 * P.N**0.5 / (1 + P.N)
+_series = lambda terms, f, g: "".join(f" + {t!r} * {f}(2 * {j} * xi) * {g}(2 * {j} * eta)" for j, t in enumerate(terms, 1))
+
+
+def _forward_sql(source: str) -> str:
+    """CTEs that end in plane(key, x, y) of rows (key, lon, lat)."""
+    return f"""rad AS (SELECT key, sin(radians(lat)) AS s, radians(lon - 15.0) AS lam FROM {source}),
+tau AS (SELECT key, lam, sinh(atanh(s) - {_K!r} * atanh({_K!r} * s)) AS t FROM rad),
+xe AS (SELECT key, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM tau),
+plane AS (SELECT key, 500000 + {P.SCALE * P.RADIUS!r} * (eta{_series(P.ALPHA, 'cos', 'sinh')}) AS x, {P.SCALE * P.RADIUS!r} * (xi{_series(P.ALPHA, 'sin', 'cosh')}) AS y FROM xe)"""
+
+
+def _inverse_sql(source: str) -> str:
+    """CTEs that end in earth(key, lon, lat) of rows (key, x, y)."""
+    minus = lambda f, g: _series([-b for b in P.BETA], f, g)
+    back = "".join(f" + {d!r} * sin(2 * {j} * chi)" for j, d in enumerate(P.DELTA, 1))
+    return f"""flat AS (SELECT key, y / {P.SCALE * P.RADIUS!r} AS xi, (x - 500000) / {P.SCALE * P.RADIUS!r} AS eta FROM {source}),
+uv AS (SELECT key, xi{minus('sin', 'cosh')} AS u, eta{minus('cos', 'sinh')} AS v FROM flat),
+conf AS (SELECT key, u, v, asin(sin(u) / cosh(v)) AS chi FROM uv),
+earth AS (SELECT key, 15.0 + degrees(atan2(sinh(v), cos(u))) AS lon, degrees(chi{back}) AS lat FROM conf)"""
+
+
+@add("projected_points", with_sql("peaks", more="lonlat AS (SELECT fid AS key, 10.0::DOUBLE + x / 4000.0::DOUBLE AS lon, 46.5::DOUBLE + y / 8000.0::DOUBLE AS lat FROM peaks),\n" + _forward_sql("lonlat") + ",\n" + _inverse_sql("plane")) + "SELECT plane.key AS fid, round(x, 2) AS easting, round(y, 2) AS northing, round(lon, 7) AS lon, round(lat, 7) AS lat FROM plane JOIN earth ON plane.key = earth.key")
+def _(spark, sf):
+    """Positions in degrees to zone 33 and back."""
+    east, north = utm33(_C("lon"), _C("lat"))
+    lonlat = view(spark, sf, "peaks").select("fid", (10.0 + _C("x") / 4000.0).alias("lon"), (46.5 + _C("y") / 8000.0).alias("lat"))
+    plane = lonlat.select("fid", east.alias("x"), north.alias("y"))
+    lon, lat = inverse(_C("x"), _C("y"))
+    return plane.select("fid", F.round("x", 2).alias("easting"), F.round("y", 2).alias("northing"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+_cubic = lambda d: f"CASE WHEN {d} < 1 THEN (1.5 * {d} - 2.5) * {d} * {d} + 1 WHEN {d} < 2 THEN ((-0.5 * {d} + 2.5) * {d} - 4) * {d} + 2 ELSE 0 END"
+
+
+def _sampled_sql(name: str, at: str, grid: str, wide: int) -> str:
+    """CTE of r, c, z: the cells of `grid` around each row and column of `at`, weighted."""
+    reach = 2 * wide
+    return f"""{name} AS (SELECT r, c, sum(wr * wc * z) / sum(wr * wc) AS z FROM (
+  SELECT p.r, p.c, g.z, g.r = floor(p.fr) AND g.c = floor(p.fc) AS mid, {_cubic(f'abs((g.r + 0.5::DOUBLE - p.fr) / {wide})')} AS wr, {_cubic(f'abs((g.c + 0.5::DOUBLE - p.fc) / {wide})')} AS wc
+  FROM (SELECT *, unnest(range({2 * reach + 1})) AS i FROM (SELECT *, unnest(range({2 * reach + 1})) AS j FROM {at})) p JOIN {grid} g ON g.r = CAST(floor(p.fr) AS BIGINT) - {reach} + i AND g.c = CAST(floor(p.fc) AS BIGINT) - {reach} + j)
+  GROUP BY r, c HAVING bool_or(mid) AND sum(wr * wc) > 1e-6)"""
+
+
+@add(
+    "warped_mosaic",
+    with_sql("dem", more=",\n".join([
+        "g AS (SELECT * FROM dem WHERE z % 97 <> 0)",
+        "cells AS (SELECT r, c, r * 100000 + c AS key, 349000 + (c + 0.5::DOUBLE) * 40 AS x, 5263000 - (r + 0.5::DOUBLE) * 40 AS y FROM (SELECT unnest(range(-60, (SELECT CAST(max(r) * 1.2 AS BIGINT) + 80 FROM dem))) AS r), (SELECT unnest(range(-20, 120)) AS c))",
+        _inverse_sql("cells"),
+        "coarse_at AS (SELECT r, c, (47.5 - lat) / 0.0004::DOUBLE AS fr, (lon - 13.0) / 0.0006::DOUBLE AS fc FROM cells JOIN earth ON cells.key = earth.key)",
+        "fine_at AS (SELECT r, c, (5258000 - y) / 10 AS fr, (x - 350000) / 10 AS fc FROM cells WHERE x BETWEEN 349900 AND 350800)",
+        _sampled_sql("coarse", "coarse_at", "dem", 1),
+        _sampled_sql("fine", "fine_at", "g", 4),
+    ])) + "SELECT r, c, CAST(floor(coalesce(fine.z, coarse.z) + 0.5) AS BIGINT) AS z FROM coarse FULL JOIN fine USING (r, c)",
+)
+def _(spark, sf):
+    """The grid in degrees, and over it one of 10 m, on one grid of 40 m by cubic kernels."""
+    with scratch() as work:
+        grid = dem(spark, sf)
+        both = raster.mosaic(warp(grid, COARSE, TARGET), warp(grid.filter("z % 97 <> 0"), FINE, TARGET))
+        return work.keep(both.select("r", "c", F.floor(_C("z") + 0.5).alias("z")), "warped")
+
+
+#: Areas with a notch and a hole, in cells of 300 by 60, and the buffer around them.
+_OUTER = [(0, 0), (4000, 0), (4000, 4000), (1500, 4000), (1500, 3000), (0, 3000), (0, 0)]
+_HOLE = [(1700, 500), (3800, 500), (3800, 2700), (1700, 2500), (1700, 500)]
+REACH = 310.0
+_SIDES = [(a, b) for ring in (_OUTER, _HOLE) for a, b in zip(ring[:-1], ring[1:], strict=True)]
+_SIDE_ROWS = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in _SIDES)
+_ALONG = "greatest(0, least(1, ((x - px) * (rx - px) + (y - py) * (ry - py)) / ((rx - px) * (rx - px) + (ry - py) * (ry - py))))"
+
+
+@add(
+    "border_cut",
+    with_sql("dem", "lands", more=",\n".join([
+        f"side AS (SELECT land_id, CAST(x0 + ax AS DOUBLE) AS px, CAST(y0 + ay AS DOUBLE) AS py, CAST(x0 + bx AS DOUBLE) AS rx, CAST(y0 + by_ AS DOUBLE) AS ry FROM lands, (VALUES {_SIDE_ROWS}) e(ax, ay, bx, by_) WHERE country = 1)",
+        "cell AS (SELECT r, c, z, (c + 0.5::DOUBLE) * 300 AS x, (r + 0.5::DOUBLE) * 60 AS y FROM dem)",
+        f"met AS (SELECT r, c, z, land_id, count(*) FILTER ((py > y) <> (ry > y) AND x < (rx - px) * (y - py) / (ry - py) + px) % 2 = 1 OR min(sqrt(pow(x - (px + {_ALONG} * (rx - px)), 2) + pow(y - (py + {_ALONG} * (ry - py)), 2))) <= {REACH} AS held FROM cell, side GROUP BY ALL)",
+    ])) + "SELECT r, c, any_value(z) AS z FROM met WHERE held GROUP BY r, c",
+)
+def _(spark, sf):
+    """The grid cut out along the buffered border of one country."""
+    ring = lambda points: F.array(*[F.struct((_C("x0") + float(x)).alias("x"), (_C("y0") + float(y)).alias("y")) for x, y in points])
+    areas = view(spark, sf, "lands").filter("country = 1").select(_C("land_id").alias("area"), F.array(ring(_OUTER), ring(_HOLE)).alias("rings"))
+    found = cutline.spans(areas, 0.0, 0.0, 300.0, 60.0, REACH)
+    return cutline.clip(dem(spark, sf).select("r", "c", "z"), found)

@@ -104,6 +104,39 @@ def near_areas(points: DataFrame, areas: DataFrame, reach: float, cell: float) -
     return here.join(sent, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("dist", dist).filter(F.col("dist") <= reach)
 
 
+def meet(points: DataFrame, boxes: DataFrame, cell: float, reach: float = 0.0, x: str = "x", y: str = "y") -> DataFrame:
+    """Pairs of points(x, y, ...) and boxes(x0, y0, x1, y1, ...) that share a grid cell that the box, widened by `reach`,
+    touches; each pair once. What is asked of the pairs is filtered afterwards."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - reach) / cell), F.floor((F.col(b) + reach) / cell)))
+    sent = boxes.withColumn("_cx", cells("x0", "x1")).withColumn("_cy", cells("y0", "y1"))
+    here = points.withColumn("_cx", F.floor(F.col(x) / cell)).withColumn("_cy", F.floor(F.col(y) / cell))
+    return here.join(sent, ["_cx", "_cy"]).drop("_cx", "_cy")
+
+
+def closest(points: DataFrame, boxes: DataFrame, distance: Column, reach: float, order: list[str], other: Column | None = None) -> DataFrame:
+    """fid, best: the least (distance, *order) of each of points(fid, x, y, ...) over all boxes that `other` lets pass.
+
+    distance is at least that to the box. Points search within `reach`, those without a hit four times as far, until all
+    have one or the search covers everything."""
+    ends = [*points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first(), *boxes.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()]
+    if any(e is None for e in ends):
+        return points.select("fid", F.lit(None).alias("best")).filter("false")
+    span = sum(max(float(ends[k + 1]), float(ends[k + 5])) - min(float(ends[k]), float(ends[k + 4])) for k in (0, 2))
+    open_, found = points, None
+    while True:
+        met = meet(open_, boxes, reach, reach)
+        met = met.filter(other) if other is not None else met
+        best = met.withColumn("_d", distance).filter(F.col("_d") <= reach).groupBy("fid").agg(F.min(F.struct(F.col("_d").alias("distance"), *order)).alias("best"))
+        best = materialize(best, "closest")
+        found = best if found is None else found.unionByName(best)
+        if reach > span:
+            return found
+        open_ = materialize(open_.join(best.select("fid"), "fid", "left_anti"), "open")
+        if open_.isEmpty():
+            return found
+        reach *= 4
+
+
 def locate(points: DataFrame, areas: DataFrame, cell: float, tolerance: float = 1.0) -> DataFrame:
     """fid, land_id: the area that holds each point, else the nearest one within `tolerance`; the smaller id on a tie."""
     met = near_areas(points, areas, tolerance, cell)
@@ -128,7 +161,7 @@ def nearest_higher(peaks: DataFrame, radii: list[float]) -> DataFrame:
         met = here.join(sent, ["_cx", "_cy"]).filter((F.col("bz") > F.col("z")) & (F.abs(dx) <= r) & (F.abs(dy) <= r))
         best = materialize(met.groupBy("fid").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("bid").alias("bid"))).alias("b")).select("fid", F.col("b.bid").alias("target"), F.col("b.d2").alias("d2")), "targets")
         found = best if found is None else found.unionByName(best)
-        open_ = open_.join(best.select("fid"), "fid", "left_anti")
+        open_ = materialize(open_.join(best.select("fid"), "fid", "left_anti"), "open")
         if open_.isEmpty():
             break
     return peaks.select("fid").join(found, "fid", "left")

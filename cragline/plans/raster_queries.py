@@ -134,14 +134,15 @@ def _(spark, sf):
     return prominence(dem(spark, sf)).select("pix", "z", "keycol", "keycol_pix", "prom")
 
 
-#: A border that is no rectangle, in cell coordinates (row, column) of the grid.
-BORDER = [(0, 8), (2000, 8), (2000, 56), (100, 56), (60, 40), (0, 56), (0, 8)]
+#: A border that is no rectangle: parts of the grid's rows, and columns.
+BORDER = [(0, 8), (1, 8), (1, 56), (0.5, 56), (0.3, 40), (0, 56), (0, 8)]
 
 
 @add("prominence_filter", None)
 def _(spark, sf):
     from ..operators.spatial import ring_contains
 
-    kept = prominence(dem(spark, sf)).filter("prom >= 1300")
-    ring = F.array(*[F.struct(F.lit(float(c)).alias("x"), F.lit(float(r)).alias("y")) for r, c in BORDER])
+    rows = dem(spark, sf).agg((F.max("r") + 1).alias("rows"))  # one row
+    kept = prominence(dem(spark, sf)).filter("prom >= 1300").join(F.broadcast(rows))
+    ring = F.array(*[F.struct(F.lit(float(c)).alias("x"), (F.col("rows") * float(r)).alias("y")) for r, c in BORDER])
     return kept.filter(ring_contains(ring, F.col("pix") % 64 + 0.5, F.floor(F.col("pix") / 64) + 0.5)).select("pix", "prom", "keycol_pix")

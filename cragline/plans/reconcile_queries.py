@@ -12,11 +12,12 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import raster as O
 from ..operators import spatial as S
+from ..operators.neighbours import pairs
 from ..session import materialize, shared_dir
 from ..sources import delimited, grids, layers
 from .raster_queries import _FOCAL, _ORDER, whole
 from .raster_queries import NB as _NB
-from .spatial_queries import _MATCH, _REPAIR, _dist, _near, _top, match
+from .spatial_queries import _MATCH, _REPAIR, _dist, _first, _top, match
 from .stages import Stage, result, run_stages
 from .views import dem, pick, table, view, with_sql
 
@@ -161,17 +162,17 @@ def _(spark, sf):
     return O.resample(dem(spark, sf), 10.0, 16.0, cubic=True)
 
 
-@add("raster_mosaic_aligned", with_sql("dem") + "SELECT r, c, CAST(coalesce(f, g) AS DOUBLE) AS z FROM (SELECT r * 3 + i AS r, c * 3 + j AS c, z AS g FROM dem, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j) WHERE r * 3 + i BETWEEN 30 AND 89 AND c * 3 + j BETWEEN 20 AND 99) FULL JOIN (SELECT r // 5 + 40 AS r, c // 5 + 60 AS c, avg(z) AS f FROM dem WHERE z % 97 <> 0 GROUP BY 1, 2) USING (r, c) WHERE r BETWEEN 30 AND 89 AND c BETWEEN 20 AND 99")
+@add("raster_mosaic_aligned", with_sql("dem") + "SELECT r, c, CAST(coalesce(f, g) AS DOUBLE) AS z FROM (SELECT r * 3 + i AS r, c * 3 + j AS c, z AS g FROM dem, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j)) FULL JOIN (SELECT r // 5 + 40 AS r, c // 5 + 60 AS c, avg(z) AS f FROM dem WHERE z % 97 <> 0 GROUP BY 1, 2) USING (r, c)")
 def _(spark, sf):
-    """A coarse source of 30 m and over it a fine one of 2 m, which starts 600 m to the right and 400 m below, on one grid of 10 m, cropped."""
+    """A coarse source of 30 m and over it a fine one of 2 m, which starts 600 m to the right and 400 m below, on one grid of 10 m."""
     g = dem(spark, sf)
     fine = O.aligned(g.filter("z % 97 <> 0"), 2, 10, (600, 400))
-    return O.mosaic(O.aligned(g, 30, 10), fine).filter("r between 30 and 89 and c between 20 and 99")
+    return O.mosaic(O.aligned(g, 30, 10), fine)
 
 
-@add("polygon_centroid", with_sql("lands") + "SELECT land_id, x0 + (4000.0::DOUBLE * 4000 * 2000 - 1500.0 * 1000 * 750) / 14500000 AS x, y0 + (4000.0::DOUBLE * 4000 * 2000 - 1500.0 * 1000 * 3500) / 14500000 AS y FROM lands WHERE land_id = 0")
+@add("polygon_centroid", with_sql("lands") + "SELECT land_id, round(x0 + (4000.0::DOUBLE * 4000 * 2000 - 1500.0 * 1000 * 750) / 14500000, 3) AS x, round(y0 + (4000.0::DOUBLE * 4000 * 2000 - 1500.0 * 1000 * 3500) / 14500000, 3) AS y FROM lands")
 def _(spark, sf):
-    return _areas(spark, sf).filter("land_id = 0").select("land_id", S.polygon_centroid(_C("ring")).alias("m")).select("land_id", "m.x", "m.y")
+    return _areas(spark, sf).select("land_id", S.polygon_centroid(_C("ring")).alias("m")).select("land_id", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"))
 
 
 @add("same_place", with_sql("cases") + "SELECT k, CASE WHEN d = far AND dz = kd THEN 1 ELSE 0 END AS same FROM cases")
@@ -234,10 +235,11 @@ def _(spark, sf):
 
 @add("border_line", with_sql("peaks", "lands", more=_EDGES + ", " + _shape()) + "SELECT fid, round(min(line), 1) AS dist, CASE WHEN min(line) > 50 THEN 'INNER' ELSE 'BORDER_ZONE' END AS zone FROM pl WHERE country = 1 GROUP BY fid")
 def _(spark, sf):
-    """Distance to the nearest border line of one country; the areas of a country are few rows."""
+    """Distance to the nearest border line of one country."""
     line = S.segment_distance(_C("ring"), _C("x").cast("double"), _C("y").cast("double"))
-    lines = _areas(spark, sf).filter("country = 1").select("ring")
-    d = view(spark, sf, "peaks").select("fid", "x", "y").join(lines).groupBy("fid").agg(F.min(line).alias("d"))
+    edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    lines = _areas(spark, sf).filter("country = 1").select("land_id", "ring", edge(F.array_min, "x").alias("x0"), edge(F.array_max, "x").alias("x1"), edge(F.array_min, "y").alias("y0"), edge(F.array_max, "y").alias("y1"))
+    d = S.closest(view(spark, sf, "peaks").select("fid", "x", "y"), lines, line, 1000.0, ["land_id"]).select("fid", _C("best.distance").alias("d"))
     return d.select("fid", F.round("d", 1).alias("dist"), R.border_zone(_C("d")).alias("zone"))
 
 
@@ -269,7 +271,7 @@ def _(spark, sf):
     """Each row's nearest other within 800 and what its row says of it."""
     p = view(spark, sf, "peaks")
     a = p.select("fid", "x", "y")
-    near = S.near(a, a.select(_C("fid").alias("bid"), _C("x").alias("qx"), _C("y").alias("qy")), 800).filter("fid <> bid")
+    near = pairs(a, a.select(_C("fid").alias("bid"), _C("x").alias("qx"), _C("y").alias("qy")), 2, 800).filter("fid <> bid")  # one of two is another
     best = near.groupBy("fid").agg(F.min(F.struct("d2", "bid")).alias("b")).select("fid", _C("b.bid").alias("partner"))
     other = p.select(_C("fid").alias("partner"), _C("name").alias("partner_name"), _C("z").alias("z2"), _C("kx").alias("kx2"), _C("ky").alias("ky2"))
     both = best.join(p.select("fid", "z", "kx", "ky"), "fid").join(other, "partner")
@@ -280,7 +282,7 @@ def _(spark, sf):
 @add("match_percent", with_sql("peaks", "names", "lands", more=_EDGES + ", " + _shape() + ", " + _dist(300, "names") + ", " + _top(1) + ", l AS (SELECT DISTINCT fid FROM pl WHERE dist <= 1)") + "SELECT round(100.0 * (SELECT count(*) FROM best) / count(*), 1) AS name_pct, round(100.0 * (SELECT count(*) FROM l) / count(*), 1) AS land_pct FROM peaks")
 def _(spark, sf):
     p = view(spark, sf, "peaks").select("fid", "x", "y")
-    named = S.nearest(_near(spark, sf, "names", 300), ["fid"]).select("fid", F.lit(1).alias("named"))
+    named = _first(spark, sf, "names", 300).select("fid", F.lit(1).alias("named"))
     inside = S.locate(p, _areas(spark, sf), 2000.0).select("fid", F.lit(1).alias("inside"))
     share = lambda c: F.round(F.lit(100.0) * F.count(c) / F.count("*"), 1)
     return p.join(named, "fid", "left").join(inside, "fid", "left").agg(share("named").alias("name_pct"), share("inside").alias("land_pct"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import spatial as S
 from ..operators.graph import components
+from ..operators.neighbours import pairs
 from ..session import materialize
 from .views import pick, table, view, with_sql
 
@@ -37,9 +38,21 @@ def _near(spark, sf, right: str, r: float):
     return S.near(view(spark, sf, "peaks"), view(spark, sf, right), r)
 
 
+def _first(spark, sf, right: str, r: float, k: int = 1):
+    """The k nearest rows of `right` to each peak."""
+    return pairs(view(spark, sf, "peaks"), view(spark, sf, right), k, r)
+
+
+def _first_peaks(spark, sf, right: str, r: float):
+    """The nearest peak to each row of `right`."""
+    turned = view(spark, sf, right).select(F.col("bid").alias("fid"), F.col("qx").alias("x"), F.col("qy").alias("y"))
+    goals = view(spark, sf, "peaks").select(F.col("fid").alias("bid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    return pairs(turned, goals, 1, r).select(F.col("fid").alias("bid"), F.col("bid").alias("fid"), "d2")
+
+
 @add("knn_name_join", with_sql("peaks", "names", more=_dist(300, "names") + ", " + _top(1)) + "SELECT fid, bid, place, d2 FROM best")
 def _(spark, sf):
-    return S.nearest(_near(spark, sf, "names", 300), ["fid"]).select("fid", "bid", "place", "d2")
+    return _first(spark, sf, "names", 300).select("fid", "bid", "place", "d2")
 
 
 _MATCH = _dist(500) + ", " + _top(5) + ", dom AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d2, bid) AS j FROM best WHERE is_foreign = 0), hit AS (SELECT * FROM dom WHERE j = 1)"
@@ -47,7 +60,7 @@ _MATCH = _dist(500) + ", " + _top(5) + ", dom AS (SELECT *, row_number() OVER (P
 
 def match(spark, sf):
     """The nearest domestic row among the five nearest of all rows within 500."""
-    return S.nearest(S.nearest(_near(spark, sf, "refdb", 500), ["fid"], 5).filter("is_foreign = 0").drop("rank"), ["fid"])
+    return S.nearest(_first(spark, sf, "refdb", 500, 5).filter("is_foreign = 0").drop("rank"), ["fid"])
 
 
 @add("knn_match", with_sql("peaks", "refdb", more=_MATCH) + "SELECT fid, bid, code, round(sqrt(d2), 1) AS dist FROM hit")
@@ -57,8 +70,7 @@ def _(spark, sf):
 
 @add("near_calc", with_sql("peaks", "refdb", more=_dist(1000) + ", " + _top(1, "bid", "d2, fid")) + "SELECT bid, fid, round(sqrt(d2), 1) AS dist FROM best")
 def _(spark, sf):
-    w = Window.partitionBy("bid").orderBy("d2", "fid")
-    return _near(spark, sf, "refdb", 1000).withColumn("k", F.row_number().over(w)).filter("k = 1").select("bid", "fid", F.round(F.sqrt("d2"), 1).alias("dist"))
+    return _first_peaks(spark, sf, "refdb", 1000).select("bid", "fid", F.round(F.sqrt("d2"), 1).alias("dist"))
 
 
 @add("near_raw", with_sql("peaks", "refdb", more=_dist(600) + ", raw AS (SELECT bid, count(*) AS n FROM pairs GROUP BY bid), " + _top(1, "bid", "d2, fid")) + "SELECT best.bid, n, fid, round(sqrt(d2), 1) AS dist FROM best JOIN raw ON best.bid = raw.bid")
@@ -69,15 +81,17 @@ def _(spark, sf):
 
 @add("reciprocal_nearest", with_sql("peaks", "refdb", more=_dist(800) + ", r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d2, bid) AS k1, row_number() OVER (PARTITION BY bid ORDER BY d2, fid) AS k2 FROM pairs)") + "SELECT fid, bid, CASE WHEN k2 = 1 THEN 1 ELSE 0 END AS reciprocal FROM r WHERE k1 = 1")
 def _(spark, sf):
-    p = _near(spark, sf, "refdb", 800)
-    a = S.nearest(p, ["fid"]).select("fid", "bid")
-    b = p.withColumn("k", F.row_number().over(Window.partitionBy("bid").orderBy("d2", "fid"))).filter("k = 1").select("fid", "bid", F.lit(1).alias("hit"))
+    a = _first(spark, sf, "refdb", 800).select("fid", "bid")
+    b = _first_peaks(spark, sf, "refdb", 800).select("fid", "bid", F.lit(1).alias("hit"))
     return a.join(b, ["fid", "bid"], "left").select("fid", "bid", F.coalesce("hit", F.lit(0)).alias("reciprocal"))
 
 
 @add("nearest_preferred", with_sql("peaks", "names", more=_dist(400, "names") + ", " + _top(1, order="CASE WHEN f_code = 7302 THEN 0 ELSE 1 END, d2, bid")) + "SELECT fid, bid, f_code FROM best")
 def _(spark, sf):
-    return S.nearest(_near(spark, sf, "names", 400), ["fid"], order=[F.col("f_code") != 7302]).select("fid", "bid", "f_code")
+    p, names = view(spark, sf, "peaks"), view(spark, sf, "names")
+    wanted = pairs(p, names.filter("f_code = 7302"), 1, 400).select("fid", "bid", "f_code")
+    others = pairs(p.join(wanted, "fid", "left_anti"), names.filter("f_code <> 7302"), 1, 400).select("fid", "bid", "f_code")
+    return wanted.unionByName(others)
 
 
 @add("db_no_peak_anti", with_sql("peaks", "refdb", more=_MATCH) + "SELECT bid, code FROM refdb WHERE is_foreign = 0 AND bid NOT IN (SELECT bid FROM hit)")
@@ -139,24 +153,25 @@ def _(spark, sf):
 _IN = "x >= x0 AND x < x1 AND y >= y0 AND y < y1"
 
 
-def _lands(spark, sf):
-    return view(spark, sf, "lands")  # broadcast by the planner if it is small enough
+def _in_lands(spark, sf, reach: float = 0.0):
+    """Rows and areas that lie near each other, by grid cells of half an area's side."""
+    return S.meet(view(spark, sf, "peaks"), view(spark, sf, "lands"), 2000.0, reach)
 
 
 @add("pip_land", with_sql("peaks", "lands") + f"SELECT fid, land_id FROM peaks JOIN lands ON {_IN}")
 def _(spark, sf):
-    return view(spark, sf, "peaks").join(_lands(spark, sf), S.inside()).select("fid", "land_id")
+    return _in_lands(spark, sf).filter(S.inside()).select("fid", "land_id")
 
 
 @add("join_within_first", with_sql("peaks", "lands", more=f"j AS (SELECT fid, land_id, row_number() OVER (PARTITION BY fid ORDER BY land_id) AS k FROM peaks JOIN lands ON x >= x0 - 500 AND x < x1 + 500 AND y >= y0 - 500 AND y < y1 + 500)") + "SELECT fid, land_id FROM j WHERE k = 1")
 def _(spark, sf):
     wide = (F.col("x") >= F.col("x0") - 500) & (F.col("x") < F.col("x1") + 500) & (F.col("y") >= F.col("y0") - 500) & (F.col("y") < F.col("y1") + 500)
-    return view(spark, sf, "peaks").join(_lands(spark, sf), wide).groupBy("fid").agg(F.min("land_id").alias("land_id"))
+    return _in_lands(spark, sf, 500.0).filter(wide).groupBy("fid").agg(F.min("land_id").alias("land_id"))
 
 
 @add("clip_semi", with_sql("peaks", "lands") + f"SELECT fid FROM peaks WHERE EXISTS (SELECT 1 FROM lands WHERE country = 1 AND {_IN})")
 def _(spark, sf):
-    return view(spark, sf, "peaks").join(view(spark, sf, "lands").filter("country = 1"), S.inside(), "left_semi").select("fid")
+    return _in_lands(spark, sf).filter(S.inside() & (F.col("country") == 1)).select("fid").distinct()
 
 
 _RECT = "greatest(x0 - x, 0, x - x1) * greatest(x0 - x, 0, x - x1) + greatest(y0 - y, 0, y - y1) * greatest(y0 - y, 0, y - y1)"
@@ -164,10 +179,10 @@ _RECT = "greatest(x0 - x, 0, x - x1) * greatest(x0 - x, 0, x - x1) + greatest(y0
 
 @add("neighbor_land", with_sql("peaks", "lands", more=f"own AS (SELECT p.*, land_id AS own FROM peaks p JOIN lands ON {_IN}), n AS (SELECT fid, land_id, {_RECT} AS d2, row_number() OVER (PARTITION BY fid ORDER BY {_RECT}, land_id) AS k FROM own JOIN lands ON land_id <> own)") + "SELECT fid, land_id AS neighbor, round(sqrt(d2), 1) AS dist, CASE WHEN round(sqrt(d2), 1) <= 50 THEN 'BORDER_ZONE' ELSE 'INNER' END AS zone FROM n WHERE k = 1")
 def _(spark, sf):
-    own = view(spark, sf, "peaks").join(_lands(spark, sf), S.inside()).select("fid", "x", "y", F.col("land_id").alias("own"))
-    near = own.join(_lands(spark, sf), F.col("land_id") != F.col("own")).groupBy("fid").agg(F.min(F.struct(S.rect_distance2().alias("d2"), "land_id")).alias("b"))
-    dist = F.round(F.sqrt("b.d2"), 1)
-    return near.select("fid", F.col("b.land_id").alias("neighbor"), dist.alias("dist"), F.when(dist <= 50, "BORDER_ZONE").otherwise("INNER").alias("zone"))
+    own = _in_lands(spark, sf).filter(S.inside()).select("fid", "x", "y", F.col("land_id").alias("own"))
+    near = S.closest(own, view(spark, sf, "lands"), F.sqrt(S.rect_distance2()), 1000.0, ["land_id"], F.col("land_id") != F.col("own"))
+    dist = F.round("best.distance", 1)
+    return near.select("fid", F.col("best.land_id").alias("neighbor"), dist.alias("dist"), F.when(dist <= 50, "BORDER_ZONE").otherwise("INNER").alias("zone"))
 
 
 @add("border_distance", with_sql("peaks", "lands", more=f"o AS (SELECT fid, least(x - x0, x1 - x, y - y0, y1 - y) AS d FROM peaks JOIN lands ON {_IN})") + "SELECT fid, round(CAST(d AS DOUBLE), 1) AS dist, CASE WHEN d > 50 THEN 'INNER' ELSE 'BORDER_ZONE' END AS zone FROM o")
@@ -175,7 +190,7 @@ def _(spark, sf):
     p = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     ring = F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"), p("x0", "y0"))
     d = F.round(S.segment_distance(ring, F.col("x").cast("double"), F.col("y").cast("double")), 1)
-    return view(spark, sf, "peaks").join(_lands(spark, sf), S.inside()).select("fid", d.alias("dist"), rules.border_zone(d).alias("zone"))
+    return _in_lands(spark, sf).filter(S.inside()).select("fid", d.alias("dist"), rules.border_zone(d).alias("zone"))
 
 
 @add("bbox_filter", with_sql("peaks", "refdb", more="b AS (SELECT min(x) - 100 AS lx, max(x) + 100 AS hx, min(y) - 100 AS ly, max(y) + 100 AS hy FROM peaks)") + "SELECT bid FROM refdb, b WHERE qx BETWEEN lx AND hx AND qy BETWEEN ly AND hy")
@@ -184,10 +199,15 @@ def _(spark, sf):
     return view(spark, sf, "refdb").join(F.broadcast(box), F.col("qx").between(F.col("lx"), F.col("hx")) & F.col("qy").between(F.col("ly"), F.col("hy"))).select("bid")  # one row
 
 
-@add("densify_vertices", with_sql("lands") + "SELECT land_id, CAST(x0 + (x1 - x0) * i / 400 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y FROM lands, (SELECT unnest(range(401)) AS i)")
+_RING_POINTS = "SELECT land_id, x0 + (x1 - x0) * i / 400 AS x, y0 AS y, i FROM {0} UNION ALL SELECT land_id, x1, y0 + (y1 - y0) * i / 400, i FROM {0} UNION ALL SELECT land_id, x1 - (x1 - x0) * i / 400, y1, i FROM {0} UNION ALL SELECT land_id, x0, y1 - (y1 - y0) * i / 400, i FROM {0}"
+
+
+@add("densify_vertices", with_sql("lands", more="p AS (SELECT lands.*, i FROM lands, (SELECT unnest(range(400)) AS i))") + "SELECT land_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (" + _RING_POINTS.format("p") + " UNION ALL SELECT land_id, x0, y0, 400 FROM lands)")
 def _(spark, sf):
+    """Points along all edges of each ring, 10 apart."""
     p = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    return view(spark, sf, "lands").select("land_id", F.explode(S.densify(F.array(p("x0", "y0"), p("x1", "y0")), 10.0)).alias("v")).select("land_id", "v.x", "v.y")
+    ring = F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"), p("x0", "y0"))
+    return view(spark, sf, "lands").select("land_id", F.explode(S.densify(ring, 10.0)).alias("v")).select("land_id", "v.x", "v.y")
 
 
 @add("link_lines", with_sql("peaks") + "SELECT fid, 'LINESTRING(' || x || ' ' || y || ', ' || kx || ' ' || ky || ')' AS line, round(sqrt((x - kx) * (x - kx) + (y - ky) * (y - ky)), 1) AS len_m FROM peaks")
@@ -255,7 +275,13 @@ def _ranked(spark, sf):
 
 @add("top2_margin", with_sql("peaks", more=_GROUP) + "SELECT grp, fid, margin, CASE WHEN margin >= 1.25 THEN 1 ELSE 0 END AS is_clear FROM t WHERE k = 1")
 def _(spark, sf):
-    return _ranked(spark, sf).filter("k = 1").select("grp", "fid", "margin", F.when(F.col("margin") >= 1.25, 1).otherwise(0).alias("is_clear"))
+    # the two best of each part of a group, then of the group
+    s = view(spark, sf, "peaks").select("fid", (F.col("fid") % 97).alias("grp"), (((F.col("fid") * 37) % 101).cast("double") / 8).alias("score"))
+    two = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("fid")))).filter("k <= 2")
+    best = two(two(s.withColumn("salt", F.pmod(F.xxhash64("fid"), F.lit(64))), "grp", "salt"), "grp")
+    first, second = F.max(F.when(F.col("k") == 1, F.struct("score", "fid"))), F.max(F.when(F.col("k") == 2, F.col("score")))
+    t = best.groupBy("grp").agg(first.alias("a"), second.alias("next")).select("grp", "a.fid", F.coalesce(F.col("a.score") - F.col("next"), F.lit(99.0)).alias("margin"))
+    return t.select("grp", "fid", "margin", F.when(F.col("margin") >= 1.25, 1).otherwise(0).alias("is_clear"))
 
 
 @add("candidate_rank", with_sql("peaks", more=_GROUP) + "SELECT fid, grp, CASE WHEN margin >= 1.25 THEN least(k, 2) ELSE row_number() OVER (PARTITION BY grp ORDER BY score DESC, fid) END AS rank_ FROM t")

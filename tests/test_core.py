@@ -123,7 +123,7 @@ def test_ring(spark):
     assert tuple(row) == (True, False, 1.0)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.SQL) - {"region_centroids"}))  # whose SQL is slow; see test_whole
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("customer", "part", "nation", "embeddings"):

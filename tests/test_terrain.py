@@ -4,9 +4,11 @@ import random
 from collections import Counter, deque
 
 import pytest
+from test_core import scan
 from test_whole import NEAR, flood
 
 from cragline.operators import hydrology, polygons, raster, tiles
+from cragline.operators.prominence import prominence
 
 W = 64
 
@@ -143,3 +145,17 @@ def test_odd_grids(spark):
     one = grid(spark, {5: 1}).union(grid(spark, {5: 3}))
     assert [tuple(r) for r in hydrology.drainage(one, 4).collect()] == [(5, 1)]
     assert [tuple(r) for r in tiles.cells(tiles.pack(one, {"z": "i8"}, 4), {"z": "i8"}, 4, "z").collect()] == [(0, 5, 3)]
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_prominence_by_small_tiles(spark, few):
+    """Trees of many small tiles, merged at once or in rounds, give what a descending scan gives; ties and gaps with them."""
+    for kind, side in (("rough", 4), ("gaps", 5), ("flat", 3)):
+        z = land(kind)
+        rows = [[z.get(r * W + c) for c in range(W)] for r in range(21)]
+        strict = {p for p in z if all(z[q] < z[p] for _, q in around(z, p))}
+        want = {p: v for p, v in scan(rows).items() if p in strict and v > 0}
+        where = scan(rows, pixels=True)
+        got = prominence(grid(spark, z), few, side).collect()
+        assert {r["pix"]: r["prom"] for r in got} == want
+        assert {r["pix"]: r["keycol_pix"] for r in got} == {p: where.get(p) for p in want}

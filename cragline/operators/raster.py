@@ -52,6 +52,14 @@ def strict_maxima(dem: DataFrame) -> DataFrame:
     return sent.groupBy("r", "c").agg(own.alias("z"), other.alias("near")).filter("z is not null and (near is null or z > near)").select("r", "c", "z")
 
 
+def grid_counts(dem: DataFrame) -> DataFrame:
+    """valid, peaks, low, consistent of the grid in one scan: cells, local maxima, lowest height, and whether no cell repeats."""
+    sent = scatter(dem, ["z"], [(0, 0), *NEIGHBOURS])
+    own = F.when(F.col("ord") == 0, F.col("z"))
+    cells = sent.groupBy("r", "c").agg(F.max(own).alias("z"), F.count(own).alias("n"), F.max("z").alias("focal")).filter("n > 0")
+    return cells.agg(F.sum("n").alias("valid"), F.count(F.when(F.col("z") == F.col("focal"), 1)).alias("peaks"), F.min("z").alias("low"), (F.max("n") == 1).alias("consistent"))
+
+
 def mosaic(*sources: DataFrame) -> DataFrame:
     """Cells of all sources; where several have one, the later source wins."""
     rows = None

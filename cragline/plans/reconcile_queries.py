@@ -14,7 +14,7 @@ from ..operators import raster as O
 from ..operators import spatial as S
 from ..operators.neighbours import pairs
 from ..session import materialize, shared_dir
-from ..sources import delimited, grids, layers
+from ..sources import delimited, grids, layers, sinks
 from .raster_queries import _FOCAL, _ORDER, whole
 from .raster_queries import NB as _NB
 from .spatial_queries import _MATCH, _REPAIR, _dist, _first, _top, match
@@ -101,14 +101,12 @@ def _(spark, sf):
 
 @add("sinks", with_sql("peaks") + "SELECT 'points' AS layer, count(*) AS n, CAST(sum(x) AS BIGINT) AS s FROM peaks WHERE prom >= 150 UNION ALL SELECT 'lines', count(*), CAST(sum(abs(x - kx) + abs(y - ky)) AS BIGINT) FROM peaks WHERE x <> kx OR y <> ky")
 def _(spark, sf):
-    """A point and a line layer written as tables of their own and read back."""
-    p = view(spark, sf, "peaks")
+    """A point and a line layer written in one pass over their source; their counters are taken in the same job."""
     end = lambda x, y: F.struct(_C(x).alias("x"), _C(y).alias("y"))
-    points = materialize(p.filter("prom >= 150").drop("kx", "ky"), "points")
-    lines = materialize(p.filter("x <> kx or y <> ky").select("fid", F.array(end("x", "y"), end("kx", "ky")).alias("line")), "lines")
-    a = points.agg(F.count("*").alias("n"), F.sum("x").alias("s")).select(F.lit("points").alias("layer"), "n", "s")
-    length = F.abs(_C("line")[0].x - _C("line")[1].x) + F.abs(_C("line")[0].y - _C("line")[1].y)
-    return a.unionByName(lines.agg(F.count("*").alias("n"), F.sum(length).alias("s")).select(F.lit("lines").alias("layer"), "n", "s"))
+    layers_ = {"points": (_C("prom") >= 150, F.struct("fid", "x", "y", "z", "prom", "name")), "lines": ((_C("x") != _C("kx")) | (_C("y") != _C("ky")), F.struct("fid", F.array(end("x", "y"), end("kx", "ky")).alias("line")))}
+    length = F.abs(_C("lines.line")[0].x - _C("lines.line")[1].x) + F.abs(_C("lines.line")[0].y - _C("lines.line")[1].y)
+    seen = sinks.write_layers(view(spark, sf, "peaks"), layers_, _folder(spark, "layers"), {"sum_points": F.sum("points.x"), "sum_lines": F.sum(length)})
+    return spark.createDataFrame([(n, seen[n], seen[f"sum_{n}"]) for n in layers_], "layer string, n long, s long")
 
 
 @add("raster_window", with_sql("dem") + "SELECT r, c, z FROM dem WHERE r >= 90 AND r < 300 AND c >= 17 AND c < 40 AND z % 97 <> 0")
@@ -199,9 +197,7 @@ def _(spark, sf):
 
 @add("raster_counts", with_sql("dem", more=_FOCAL) + "SELECT (SELECT count(*) FROM dem) AS valid, (SELECT count(*) FROM f WHERE z >= near) AS peaks, (SELECT min(z) FROM dem) AS low, true AS consistent")
 def _(spark, sf):
-    g = dem(spark, sf)
-    order = g.agg(F.count("*").alias("valid"), F.countDistinct("pix").alias("sorted"), F.min("z").alias("low"))
-    return order.join(O.local_maxima(g).agg(F.count("*").alias("peaks"))).select("valid", "peaks", "low", (_C("valid") == _C("sorted")).alias("consistent"))  # one row each
+    return O.grid_counts(dem(spark, sf))
 
 
 # ---- polygons: areas with a notch at the upper left corner

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cragline.operators import spatial
 from cragline.operators.export import keycol_values
 from cragline.plans.stages import Stage, cascade, run_stages
-from cragline.sources import delimited, grids, layers
+from cragline.sources import delimited, grids, layers, sinks
 
 
 def test_headers_are_found_by_alias():
@@ -158,3 +158,16 @@ def test_keycol_values_of_rows_without_anything(spark):
     got = {r["bid"]: tuple(r)[1:] for r in keycol_values(rows, raw, 600.0).collect()}
     assert got == {1: (None, None, None, None, None, None, None), 2: (9, None, None, None, 470, 500, 30), 3: (None, None, 1, 1, None, 500, None)}
     assert keycol_values(rows, raw, 1000.0).filter("raw_peak = 7 and raw_dist = 900 and z_saddle = 90").count() == 3
+
+
+def test_layers_in_one_pass(spark, tmp_path):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 50), (4, 500)], "k int, v int")
+    path = str(tmp_path / "layers")
+    small, all_ = (F.col("v") < 100, F.struct("k", "v")), (F.lit(True), F.struct("k"))
+    seen = sinks.write_layers(df, {"small": small, "every": all_, "none": (F.col("v") > 999, F.struct("v"))}, path, {"total": F.sum("small.v")})
+    assert seen == {"small": 2, "every": 4, "none": 0, "total": 55}
+    back = spark.read.parquet(path)
+    assert sorted(tuple(r) for r in sinks.read_layer(back, "small").collect()) == [(1, 5), (3, 50)]
+    assert sorted(r["k"] for r in sinks.read_layer(back, "every").collect()) == [1, 2, 3, 4]
+    empty = sinks.write_layers(df.limit(0), {"small": small}, str(tmp_path / "empty"))
+    assert empty == {"small": 0}

@@ -6,6 +6,8 @@ empty result; a ring's last point repeats its first; names that start with _c or
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,25 +145,56 @@ def locate(points: DataFrame, areas: DataFrame, cell: float, tolerance: float =
     return met.groupBy("fid").agg(F.min(F.struct("dist", "land_id")).alias("b")).select("fid", F.col("b.land_id").alias("land_id"))
 
 
-def nearest_higher(peaks: DataFrame, radii: list[float]) -> DataFrame:
+#: Cells of a level of the pyramid that go to every task; there are at most so many by construction.
+SMALL = 4096
+FAN = 4
+
+
+def nearest_higher(peaks: DataFrame, radii: list[float] | None = None) -> DataFrame:
     """fid, target, d2 of every peak(fid, x, y, z, kx, ky): the nearest higher one around its key col, or nulls.
 
-    Squares grow from radius to radius; a peak with a hit in one leaves the search, as the candidates of a square that are
-    farther than a nearer one outside it do count.
+    With radii, hits in a smaller square around the key col come before nearer ones outside it, and those outside the last
+    square don't count.
+
+    The peaks lie in a pyramid of cells that know their greatest height and the box of their rows. Searches go down
+    together, level by level, only into cells that hold something higher and that can hold a better hit than some other
+    cell is sure to. Coarse levels are a few thousand cells at most and go to every task; fine ones are joined by cell.
     """
-    open_ = peaks.select("fid", "z", F.col("kx").alias("x"), F.col("ky").alias("y")).filter("x is not null and y is not null")
-    goal = peaks.filter("x is not null").select(F.col("fid").alias("bid"), F.col("z").alias("bz"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    found = None
-    for r in radii:
-        cell = lambda c: F.floor(F.col(c) / r)  # noqa: B023, E731
-        ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        here = open_.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
-        sent = goal.withColumn("_o", ring).withColumn("_cx", cell("qx") + F.col("_o.i")).withColumn("_cy", cell("qy") + F.col("_o.j")).drop("_o")
-        dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
-        met = here.join(sent, ["_cx", "_cy"]).filter((F.col("bz") > F.col("z")) & (F.abs(dx) <= r) & (F.abs(dy) <= r))
-        best = materialize(met.groupBy("fid").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("bid").alias("bid"))).alias("b")).select("fid", F.col("b.bid").alias("target"), F.col("b.d2").alias("d2")), "targets")
-        found = best if found is None else found.unionByName(best)
-        open_ = materialize(open_.join(best.select("fid"), "fid", "left_anti"), "open")
-        if open_.isEmpty():
-            break
-    return peaks.select("fid").join(found, "fid", "left")
+    radii = sorted(radii or [])
+    goal = peaks.filter("x is not null and y is not null and z is not null").select(F.col("fid").alias("bid"), F.col("z").alias("bz"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    ends = goal.agg(F.count("*").alias("n"), F.min("qx"), F.max("qx"), F.min("qy"), F.max("qy")).first()
+    if not ends["n"]:
+        return peaks.select("fid", F.lit(None).cast("long").alias("target"), F.lit(None).cast("double").alias("d2"))
+    left, right, low, high = (float(e) for e in ends[1:])
+    depth = max(1, math.ceil(math.log(ends["n"], FAN * FAN)) + 1)
+    side = max(right - left, high - low, 1e-9) * (1 + 1e-9) / FAN**depth
+    cell = lambda c, start: F.floor((F.col(c) - start) / side)
+    goal = goal.withColumn("_cx", cell("qx", left)).withColumn("_cy", cell("qy", low))
+    level = materialize(goal.groupBy("_cx", "_cy").agg(F.max("bz").alias("top"), F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1")), "pyramid")
+    levels = [level]
+    for _ in range(depth):
+        up = [F.floor(F.col(c) / FAN).alias(c) for c in ("_cx", "_cy")]
+        level = level.groupBy(*up).agg(F.max("top").alias("top"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+        levels.append(level)
+    step = lambda far: sum((F.when(far > r, 1).otherwise(0) for r in radii), F.lit(0))
+    key = lambda dx, dy: F.struct(step(F.greatest(dx, dy)).alias("step"), (dx * dx + dy * dy).alias("d2"))
+    least = lambda c, a, b: F.greatest(F.col(a) - F.col(c), F.lit(0), F.col(c) - F.col(b))
+    most = lambda c, a, b: F.greatest(F.abs(F.col(c) - F.col(a)), F.abs(F.col(c) - F.col(b)))
+    open_ = peaks.select("fid", "z", F.col("kx").alias("x"), F.col("ky").alias("y")).filter("x is not null and y is not null and z is not null")
+    open_ = open_.withColumn("_cx", F.lit(0).cast("long")).withColumn("_cy", F.lit(0).cast("long"))
+    for k in range(depth, -1, -1):
+        few = (FAN * FAN) ** (depth - k) <= SMALL
+        met = open_.join(F.broadcast(levels[k]) if few else levels[k], ["_cx", "_cy"]).filter(F.col("top") > F.col("z"))
+        met = met.withColumn("_sure", key(most("x", "x0", "x1"), most("y", "y0", "y1"))).withColumn("_may", key(least("x", "x0", "x1"), least("y", "y0", "y1")))
+        met = met.withColumn("_bound", F.min("_sure").over(Window.partitionBy("fid"))).filter(F.col("_may") <= F.col("_bound"))
+        open_ = met.select("fid", "z", "x", "y", "_cx", "_cy")
+        if k:
+            child = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(FAN) for j in range(FAN)]))
+            open_ = open_.withColumn("_o", child).withColumn("_cx", F.col("_cx") * FAN + F.col("_o.i")).withColumn("_cy", F.col("_cy") * FAN + F.col("_o.j")).drop("_o")
+        if not few:
+            open_ = materialize(open_, "search")
+    dx, dy = F.abs(F.col("x") - F.col("qx")), F.abs(F.col("y") - F.col("qy"))
+    hits = open_.join(goal, ["_cx", "_cy"]).filter(F.col("bz") > F.col("z")).withColumn("_k", key(dx, dy))
+    hits = hits.filter(F.col("_k.step") < len(radii)) if radii else hits
+    best = hits.groupBy("fid").agg(F.min(F.struct("_k.step", "_k.d2", "bid")).alias("b")).select("fid", F.col("b.bid").alias("target"), F.col("b.d2").alias("d2"))
+    return peaks.select("fid").join(best, "fid", "left")

@@ -145,7 +145,7 @@ _STEPS = (400, 800, 1600, 4000, 40000)
 
 @add("routing_target", with_sql("peaks", more="c AS (SELECT p.fid, q.fid AS target, (p.kx - q.x) * (p.kx - q.x) + (p.ky - q.y) * (p.ky - q.y) AS d2, CASE WHEN greatest(abs(p.kx - q.x), abs(p.ky - q.y)) <= 400 THEN 1 WHEN greatest(abs(p.kx - q.x), abs(p.ky - q.y)) <= 800 THEN 2 WHEN greatest(abs(p.kx - q.x), abs(p.ky - q.y)) <= 1600 THEN 3 WHEN greatest(abs(p.kx - q.x), abs(p.ky - q.y)) <= 4000 THEN 4 ELSE 5 END AS step FROM peaks p JOIN peaks q ON q.z > p.z), b AS (SELECT fid, arg_min(target, (step, d2, target)) AS target, arg_min(d2, (step, d2, target)) AS d2 FROM c GROUP BY fid)") + "SELECT p.fid, b.target, round(sqrt(b.d2) / 1000, 2) AS km FROM peaks p LEFT JOIN b ON p.fid = b.fid")
 def _(spark, sf):
-    # the test area is 20 km wide, so the search steps of 50 to 500 km are a hundredth here; the last one covers it all
+    # the test area is 20 km wide, so the squares are smaller than those of a country; the last one covers it all
     found = S.nearest_higher(view(spark, sf, "peaks"), [float(r) for r in _STEPS])
     return found.select("fid", "target", F.round(F.sqrt("d2") / 1000, 2).alias("km"))
 

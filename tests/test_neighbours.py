@@ -69,3 +69,23 @@ def test_closest_areas(spark):
     gap = lambda p, b: max(b[1] - p[1], 0, p[1] - b[2]) ** 2 + max(b[3] - p[2], 0, p[2] - b[4]) ** 2
     assert got == {p[0]: min((gap(p, b), b[0]) for b in boxes)[1] for p in points}
     assert spatial.closest(dp, db.limit(0), F.lit(0.0), 10.0, ["land_id"]).count() == 0
+
+
+@pytest.mark.parametrize("radii", [None, [30.0, 200.0, 1e6], [5.0, 60.0]])
+def test_nearest_higher(spark, radii):
+    """Crowded and lonely peaks, ties and nulls; by distance, and by squares first."""
+    rng = random.Random(8)
+    at = lambda: (rng.gauss(0, 3), rng.gauss(0, 3)) if rng.random() < 0.7 else (rng.uniform(-900, 900), rng.uniform(-900, 900))
+    rows = [(i, *map(round, at()), rng.randrange(60), *map(round, at())) for i in range(400)] + [(400, None, 1, 70, 0, 0), (401, 3, 4, 2, None, 0), (402, 3, 4, None, 1, 0)]
+    df = spark.createDataFrame(rows, "fid long, x long, y long, z int, kx long, ky long")
+    want = {}
+    for fid, _, _, z, kx, ky in rows:
+        found = []
+        for bid, x, y, top, _, _ in rows:
+            if None not in (x, y, z, top, kx, ky) and top > z:
+                step = sum(max(abs(kx - x), abs(ky - y)) > r for r in radii or [])
+                if not radii or step < len(radii):
+                    found.append((step, (kx - x) ** 2 + (ky - y) ** 2, bid))
+        want[fid] = min(found)[1:] if found else (None, None)
+    assert {r["fid"]: (r["d2"], r["target"]) for r in spatial.nearest_higher(df, radii).collect()} == want
+    assert spatial.nearest_higher(df.limit(0), radii).count() == 0

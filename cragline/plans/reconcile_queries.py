@@ -421,7 +421,7 @@ def _(spark, sf):
 # ---- the staged run
 
 
-@add("stage_run", "SELECT * FROM (VALUES ('first', 'peaks', 'DONE'), ('first', 'refined', 'DONE'), ('first', 'kept', 'DONE'), ('again', 'peaks', 'SKIP'), ('again', 'refined', 'SKIP'), ('again', 'kept', 'SKIP'), ('forced', 'peaks', 'SKIP'), ('forced', 'refined', 'DONE'), ('forced', 'kept', 'DONE'), ('only', 'peaks', 'LEFT OUT'), ('only', 'refined', 'LEFT OUT'), ('only', 'kept', 'SKIP')) t(run, stage, did)")
+@add("stage_run", with_sql("peaks", more="n AS (SELECT 'peaks' AS stage, count(*) AS rows FROM peaks UNION ALL SELECT 'refined', count(*) FROM peaks UNION ALL SELECT 'kept', count(*) FROM peaks WHERE prom >= 150)") + "SELECT run, t.stage, did, rows FROM (VALUES ('first', 'peaks', 'DONE'), ('first', 'refined', 'DONE'), ('first', 'kept', 'DONE'), ('again', 'peaks', 'SKIP'), ('again', 'refined', 'SKIP'), ('again', 'kept', 'SKIP'), ('forced', 'peaks', 'SKIP'), ('forced', 'refined', 'DONE'), ('forced', 'kept', 'DONE'), ('only', 'peaks', 'LEFT OUT'), ('only', 'refined', 'LEFT OUT'), ('only', 'kept', 'SKIP')) t(run, stage, did) JOIN n ON n.stage = t.stage")
 def _(spark, sf):
     folder = _folder(spark, "run")
     stages = [
@@ -432,7 +432,9 @@ def _(spark, sf):
     rows = []
     for run, options in (("first", {}), ("again", {}), ("forced", {"force": {"refined"}}), ("only", {"only": {"kept"}})):
         rows += [(run, *x) for x in run_stages(spark, stages, folder, {"least": 150}, **options)]
-    return spark.createDataFrame(rows, "run string, stage string, did string")
+    # what stands in each stage's table
+    counts = {x.name: result(spark, folder, x.name).count() for x in stages}
+    return spark.createDataFrame([(*r, counts[r[1]]) for r in rows], "run string, stage string, did string, rows long")
 
 
 @add("stage_result", with_sql("peaks") + "SELECT fid, CASE WHEN prom >= 170 THEN 'SAFE' ELSE 'REFINE' END AS band FROM peaks WHERE prom >= 150")

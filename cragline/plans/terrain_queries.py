@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import projection as P
 from ..functions.projection import inverse, utm33
 from ..operators import cutline, hydrology, polygons, raster
 from ..operators.warp import Frame, warp
-from ..session import scratch
+from ..session import scratch, shared_dir
+from .config import parse
 from .raster_queries import NB, whole
 from .views import dem, view, with_sql
 
@@ -173,17 +176,38 @@ _SIDE_ROWS = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in _SIDES)
 _ALONG = "greatest(0, least(1, ((x - px) * (rx - px) + (y - py) * (ry - py)) / ((rx - px) * (rx - px) + (ry - py) * (ry - py))))"
 
 
-@add(
-    "border_cut",
-    with_sql("dem", "lands", more=",\n".join([
-        f"side AS (SELECT land_id, CAST(x0 + ax AS DOUBLE) AS px, CAST(y0 + ay AS DOUBLE) AS py, CAST(x0 + bx AS DOUBLE) AS rx, CAST(y0 + by_ AS DOUBLE) AS ry FROM lands, (VALUES {_SIDE_ROWS}) e(ax, ay, bx, by_) WHERE country = 1)",
-        "cell AS (SELECT r, c, z, (c + 0.5::DOUBLE) * 300 AS x, (r + 0.5::DOUBLE) * 60 AS y FROM dem)",
-        f"met AS (SELECT r, c, z, land_id, count(*) FILTER ((py > y) <> (ry > y) AND x < (rx - px) * (y - py) / (ry - py) + px) % 2 = 1 OR min(sqrt(pow(x - (px + {_ALONG} * (rx - px)), 2) + pow(y - (py + {_ALONG} * (ry - py)), 2))) <= {REACH} AS held FROM cell, side GROUP BY ALL)",
-    ])) + "SELECT r, c, any_value(z) AS z FROM met WHERE held GROUP BY r, c",
-)
+_held = lambda which: ",\n".join([
+    f"side AS (SELECT land_id, country, CAST(x0 + ax AS DOUBLE) AS px, CAST(y0 + ay AS DOUBLE) AS py, CAST(x0 + bx AS DOUBLE) AS rx, CAST(y0 + by_ AS DOUBLE) AS ry FROM lands, (VALUES {_SIDE_ROWS}) e(ax, ay, bx, by_) WHERE {which})",
+    "cell AS (SELECT r, c, z, (c + 0.5::DOUBLE) * 300 AS x, (r + 0.5::DOUBLE) * 60 AS y FROM dem)",
+    f"met AS (SELECT r, c, z, land_id, country, count(*) FILTER ((py > y) <> (ry > y) AND x < (rx - px) * (y - py) / (ry - py) + px) % 2 = 1 OR min(sqrt(pow(x - (px + {_ALONG} * (rx - px)), 2) + pow(y - (py + {_ALONG} * (ry - py)), 2))) <= {REACH} AS held FROM cell, side GROUP BY ALL)",
+])
+
+
+def _bordered(spark, sf):
+    """area, country, rings of the areas with their holes."""
+    ring = lambda points: F.array(*[F.struct((_C("x0") + float(x)).alias("x"), (_C("y0") + float(y)).alias("y")) for x, y in points])
+    return view(spark, sf, "lands").select(_C("land_id").alias("area"), "country", F.array(ring(_OUTER), ring(_HOLE)).alias("rings"))
+
+
+@add("border_cut", with_sql("dem", "lands", more=_held("country = 1")) + "SELECT r, c, any_value(z) AS z FROM met WHERE held GROUP BY r, c")
 def _(spark, sf):
     """The grid cut out along the buffered border of one country."""
-    ring = lambda points: F.array(*[F.struct((_C("x0") + float(x)).alias("x"), (_C("y0") + float(y)).alias("y")) for x, y in points])
-    areas = view(spark, sf, "lands").filter("country = 1").select(_C("land_id").alias("area"), F.array(ring(_OUTER), ring(_HOLE)).alias("rings"))
-    found = cutline.spans(areas, 0.0, 0.0, 300.0, 60.0, REACH)
+    found = cutline.spans(_bordered(spark, sf).filter("country = 1"), 0.0, 0.0, 300.0, 60.0, REACH)
     return cutline.clip(dem(spark, sf).select("r", "c", "z"), found)
+
+
+@add("run_region", with_sql("dem", "lands", more=_held("country = 1")) + "SELECT 'border' AS run, count(DISTINCT r * 64 + c) AS cells, CAST(min(z) AS BIGINT) AS low FROM met WHERE held UNION ALL SELECT 'region', count(DISTINCT r * 64 + c), CAST(min(z) AS BIGINT) FROM met WHERE held AND land_id = 6")
+def _(spark, sf):
+    """The cells that a run of a country's border and one of a test region take, by the arguments of both."""
+    base = f"{shared_dir(spark)}/cragline-{uuid.uuid4().hex}"
+    areas = _bordered(spark, sf).filter("country = 1").drop("country")
+    areas.write.parquet(f"{base}/border")
+    areas.filter("area = 6").write.parquet(f"{base}/region")
+    asked = ["--workdir", base, "--austria-border", f"{base}/border", "--als-1m", f"{sf}/embeddings.parquet", "--copernicus-30m", f"{sf}/embeddings.parquet", "--buffer-dist", str(REACH)]
+    out = None
+    for run, more in (("border", []), ("region", ["--test-region", f"{base}/region"])):
+        config = parse(asked + more)
+        cut = cutline.clip(dem(spark, sf).select("r", "c", "z"), cutline.spans(config.areas(spark), 0.0, 0.0, 300.0, 60.0, config.buffer_dist))
+        row = cut.agg(F.lit(run).alias("run"), F.count("*").alias("cells"), F.min("z").cast("long").alias("low")).select("run", "cells", "low")
+        out = row if out is None else out.unionByName(row)
+    return out

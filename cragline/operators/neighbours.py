@@ -96,18 +96,15 @@ class Leaves:
 
 def leaves(a: DataFrame, b: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Leaves | None:
     """The leaves for queries a(x, y) and targets b(x, y); none if a side is empty."""
-    ends, picks = [], []
-    for side in (a, b):
-        r = side.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-        if not r["n"]:
-            return None
-        share = min(1.0, sample / r["n"])
-        kept = side if share == 1 else side.filter(F.pmod(F.xxhash64("x", "y", "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        t = kept.select("x", "y").toArrow()  # about `sample` rows
-        picks.append((np.stack([t["x"].to_numpy(), t["y"].to_numpy()], 1), r["n"]))
-        ends.append(r[1:])
-    low = [min(e[k] for e in ends) for k in (0, 2)]
-    high = [max(e[k] for e in ends) for k in (1, 3)]
+    both = a.select(F.lit(0).alias("side"), "x", "y", "id").unionByName(b.select(F.lit(1).alias("side"), "x", "y", "id"))
+    rows = {r["side"]: r for r in both.groupBy("side").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).collect()}  # two rows
+    if len(rows) < 2:
+        return None
+    share = F.when(F.col("side") == 0, int(min(1.0, sample / rows[0]["n"]) * (1 << 30))).otherwise(int(min(1.0, sample / rows[1]["n"]) * (1 << 30)))
+    t = both.filter(F.pmod(F.xxhash64("x", "y", "id"), F.lit(1 << 30)) < share).select("side", "x", "y").toArrow()  # about `sample` rows a side
+    which, place = t["side"].to_numpy(), np.stack([t["x"].to_numpy(), t["y"].to_numpy()], 1)
+    picks = [(place[which == k], rows[k]["n"]) for k in (0, 1)]
+    low, high = ([f(rows[0][c + e], rows[1][c + e]) for c in "xy"] for f, e in ((min, "0"), (max, "1")))
     side = max(high[0] - low[0], high[1] - low[1]) * (1 + 1e-6) or 1.0
     return Leaves((low[0], low[1], side), picks[1][0], picks[0][0], picks[1][1], picks[0][1], most)
 
@@ -131,9 +128,10 @@ def _best(q: np.ndarray, goal: np.ndarray, ids: np.ndarray, k: int, most: np.nda
 def k_nearest(a: DataFrame, b: DataFrame, k: int = 1, reach: float | None = None, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
     """fid, bid, rank (from 1) of the k nearest of b(bid, qx, qy) to each of a(fid, x, y), within reach if that is given."""
     spark = a.sparkSession
-    place = lambda df, n, x, y: df.select(F.col(n).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().distinct()
+    place = lambda df, n, x, y: df.select(F.col(n).cast("long").alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     asked, goals = place(a, "fid", "x", "y"), place(b, "bid", "qx", "qy")
     tree = leaves(asked, goals, sample, most)
+    asked, goals = asked.distinct(), goals.distinct()
     if tree is None:
         return spark.createDataFrame([], "fid long, bid long, rank int")
     ship = spark.sparkContext.broadcast(tree)

@@ -166,7 +166,7 @@ def nearest_higher(peaks: DataFrame, radii: list[float] | None = None) -> DataFr
     if not ends["n"]:
         return peaks.select("fid", F.lit(None).cast("long").alias("target"), F.lit(None).cast("double").alias("d2"))
     left, right, low, high = (float(e) for e in ends[1:])
-    depth = max(1, math.ceil(math.log(ends["n"], FAN * FAN)) + 1)
+    depth = max(1, math.ceil(math.log(max(1.0, ends["n"] / 64), FAN * FAN)))  # some 64 rows a cell, if they lie evenly
     side = max(right - left, high - low, 1e-9) * (1 + 1e-9) / FAN**depth
     cell = lambda c, start: F.floor((F.col(c) - start) / side)
     goal = goal.withColumn("_cx", cell("qx", left)).withColumn("_cy", cell("qy", low))

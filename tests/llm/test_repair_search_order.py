@@ -26,12 +26,17 @@ def same_as_sql(spark, name, tables):
     got = queries.QUERIES[name](spark, tables["dir"])
     con = duckdb.connect()
     for t in tables["names"]:
-        con.sql(f"create view {t} as select * from '{tables['dir']}/{t}.parquet/*.parquet'")
+        con.sql(f"create view {t} as select * from '{tables['dir']}/{t}.parquet{tables.get('files', '/*.parquet')}'")
     order = ", ".join(sorted(got.columns))
     want = con.sql(f"select {order} from ({queries.SQL[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*sorted(got.columns)).collect())
 
 
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_lexical_search"])
+def test_given_tables_against_sql(spark, name):
+    same_as_sql(spark, name, {"dir": SF, "names": ["conversations", "documents", "benchmark"], "files": ""})
+
+
 # conversation repair
 
 

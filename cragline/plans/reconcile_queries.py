@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from ..operators import raster as O
 from ..operators import spatial as S
 from ..operators.neighbours import pairs
 from ..session import materialize, shared_dir
-from ..sources import delimited, grids, layers, sinks
+from ..sources import delimited, grids, layers, sinks, tiff
 from .raster_queries import _FOCAL, _ORDER, whole
 from .raster_queries import NB as _NB
 from .spatial_queries import _MATCH, _REPAIR, _dist, _first, _top, match
@@ -116,12 +115,26 @@ def _(spark, sf):
     return grids.read_window(spark, path, 90, 300, 17, 40, 32)
 
 
-@add("raster_file", "SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, (r * 7 + c * 3) % 50 / 2.0::DOUBLE AS z, 500000 + (c + 0.5) * 10.0::DOUBLE AS x, 5200000 - (r + 0.5) * 10.0::DOUBLE AS y FROM range(150) a(r), range(70) b(c) WHERE (r * 7 + c * 3) % 50 <> 0")
+_XY = "500000 + (c + 0.5) * 10.0::DOUBLE AS x, 5200000 - (r + 0.5) * 10.0::DOUBLE AS y"
+_ORIGIN, _SIZE = (500000.0, 5200000.0), (10.0, 10.0)
+
+
+def _raster_files(spark, sf, window=None):
+    path = _folder(spark, "grid")
+    tiff.write_grid(dem(spark, sf).filter("z % 97 <> 0"), path, _ORIGIN, _SIZE, side=64, block=4, epsg=32633)
+    return tiff.read_grid(spark, path, _ORIGIN, window).select("r", "c", "z", "x", "y")
+
+
+@add("raster_file", with_sql("dem") + f"SELECT r, c, CAST(z AS DOUBLE) AS z, {_XY} FROM dem WHERE z % 97 <> 0")
+def _(spark, sf):
+    """The grid through tiled, LZW-packed BigTIFF files, written and read by many tasks."""
+    return _raster_files(spark, sf)
+
+
+@add("raster_file_window", with_sql("dem") + f"SELECT r, c, CAST(z AS DOUBLE) AS z, {_XY} FROM dem WHERE z % 97 <> 0 AND 500000 + (c + 0.5) * 10.0 BETWEEN 500100 AND 500300 AND 5200000 - (r + 0.5) * 10.0 >= 5198000")
 def _(spark, sf):
-    r, c = np.mgrid[0:150, 0:70]
-    z = (r * 7 + c * 3) % 50 / 2.0
-    path = _store(spark, "grid.tif", grids.tiff_file(np.where(z == 0, -9999, z), (500000.0, 5200000.0), (10.0, 10.0), -9999))
-    return grids.read_tiff(spark, path).select("r", "c", "z", "x", "y")
+    """A window by coordinates: headers choose the files and tiles that are read."""
+    return _raster_files(spark, sf, {"x": (500100, 500300), "y": (5198000, 5200000)})
 
 
 _GEOM = "CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN [k] WHEN k % 5 = 2 THEN [k, k + 2] ELSE [k, k + 2, k + 7] END"

@@ -39,17 +39,6 @@ def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/cragline-{uuid.uuid4().hex}/{name}"
 
 
-def _store(spark, name: str, content: bytes) -> str:
-    """A file with this content in the shared folder."""
-    path = _folder(spark, name)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
-    out.write(bytearray(content))
-    out.close()
-    return path
-
-
 # ---- sources and sinks
 
 _LAT = pick("p_partkey", "47.5", " 46.25 ", "x", "48", None, "47.125", "47", "")
@@ -67,16 +56,13 @@ def _(spark, sf):
     return delimited.reference_rows(delimited.read_table(spark, path), T.strip(_C("association")) == "OE", True)
 
 
-_LAYER = "SELECT n_nationkey AS fid, 7301 + n_nationkey % 3 AS f_code, n_name AS name, n_nationkey * 10.5::DOUBLE AS x, n_regionkey * 2.0::DOUBLE AS y FROM nation"
-
-
-@add("layer_points", _LAYER)
+@add("layer_points", with_sql("peaks") + "SELECT fid, CAST(z AS INTEGER) AS f_code, name, CAST(x AS DOUBLE) AS x, CASE WHEN fid % 11 = 0 THEN NULL ELSE CAST(y AS DOUBLE) END AS y FROM peaks WHERE fid % 11 <> 0 UNION ALL SELECT fid, CAST(z AS INTEGER), name, NULL, NULL FROM peaks WHERE fid % 11 = 0")
 def _(spark, sf):
-    """A file of three layers: one that is wanted but lacks fields, one without the name, and the one that fits."""
-    rows = table(spark, sf, "nation").selectExpr("n_nationkey", "7301 + n_nationkey % 3", "n_name", "n_nationkey * 10.5D", "n_regionkey * 2.0D").collect()  # the 25 nations
-    file = layers.layer_file({"wanted": (["F_CODE"], [(1, 0.0, 0.0)]), "other": (["F_CODE", "HOEHE"], []), "places": (["fid", "F_CODE", "Name"], [tuple(r) for r in rows])})
-    path = _store(spark, "places.gpkg", file)
-    got = layers.read_layer(spark, path, "fid long, f_code int, name string", ["wanted", "missing"], [{"F_CODE"}, {"NAME", "Name"}])
+    """Peaks through GeoPackage files that many tasks write, read back as the layer that has the fields."""
+    path = _folder(spark, "places")
+    rows = view(spark, sf, "peaks").select("fid", _C("z").alias("F_CODE"), _C("name").alias("Name"), "x", F.when(_C("fid") % 11 != 0, _C("y")).alias("y"))
+    layers.write_points(rows.repartition(8, "fid"), path, "places", file_rows=1000)
+    got = layers.read_layer(spark, path + "/*.gpkg", "fid long, f_code int, name string", ["missing"], [{"F_CODE"}, {"NAME", "Name"}])
     return got.select("fid", "f_code", "name", "x", "y")
 
 

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import sqlite3
 import struct
+import uuid
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 #: Bytes of the envelope by its indicator in a blob's header.
 ENVELOPE = (0, 32, 48, 48, 64)
@@ -100,18 +104,97 @@ def read_layer(spark: SparkSession, path: str, schema: str, wanted: list[str] =
     return files.mapInArrow(run, "file string, layer string, " + cols + ", x double, y double")
 
 
-def layer_file(layers: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
-    """A GeoPackage file with these layers: name to (columns without the geometry, rows of values and x, y)."""
+def layer_file(layers: dict[str, tuple[list[str], list[tuple]]], epsg: int = 32633) -> bytes:
+    """A GeoPackage file with these point layers: name to (columns without the geometry, rows of values and x, y)."""
     con = sqlite3.connect(":memory:")
-    con.execute("CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT)")
+    con.execute(f"PRAGMA application_id = {0x47504B47}")  # "GPKG", a fixed value of the format
+    con.execute("PRAGMA user_version = 10300")
+    con.execute("CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT, srs_id INTEGER PRIMARY KEY, organization TEXT, organization_coordsys_id INTEGER, definition TEXT, description TEXT)")
+    con.execute("CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT, identifier TEXT, description TEXT, last_change TEXT, min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER)")
+    con.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z TINYINT, m TINYINT)")
+    con.executemany("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, ?, ?, 'undefined', NULL)", [("undefined cartesian", -1, "NONE", -1), ("undefined geographic", 0, "NONE", 0), (f"EPSG:{epsg}", epsg, "EPSG", epsg)])
     for name, (columns, rows) in layers.items():
-        con.execute("INSERT INTO gpkg_contents VALUES (?, 'features')", (name,))
+        place = [r[-2:] for r in rows if r[-2] is not None and r[-1] is not None]
+        box = [pick(p[k] for p in place) if place else None for pick in (min, max) for k in (0, 1)]
+        con.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, '', '2000-01-01T00:00:00.000Z', ?, ?, ?, ?, ?)", (name, name, *box, epsg))
+        con.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POINT', ?, 0, 0)", (name, epsg))
         con.execute(f'CREATE TABLE "{name}" ({", ".join(f"{chr(34)}{c}{chr(34)}" for c in columns)}, geom BLOB)')
-        con.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * (len(columns) + 1))})', [(*r[:-2], point_blob(*r[-2:])) for r in rows])
+        con.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * (len(columns) + 1))})', [(*r[:-2], None if r[-2] is None or r[-1] is None else point_blob(*r[-2:])) for r in rows])
     con.commit()
     return con.serialize()
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class LayerWriter(DataSourceArrowWriter):
+    """Each task writes files of its own under hidden names; those of the tasks that count become visible at the end."""
+
+    def __init__(self, options, overwrite: bool):
+        self.options, self.overwrite = dict(options), overwrite
+
+    def write(self, iterator):
+        system, root = pafs.FileSystem.from_uri(self.options["path"])
+        most, names, held = int(self.options["file_rows"]), [], []
+        system.create_dir(root, recursive=True)
+
+        def close():
+            if held:
+                names.append(f"{uuid.uuid4().hex}.gpkg")
+                with system.open_output_stream(f"{root}/.{names[-1]}") as f:
+                    f.write(layer_file({self.options["layer"]: (columns, held)}, int(self.options["epsg"])))
+                held.clear()
+
+        for b in iterator:
+            columns = b.schema.names[:-2]
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(row)
+                if len(held) >= most:
+                    close()
+        close()
+        return Written(names)
+
+    def commit(self, messages):
+        system, root = pafs.FileSystem.from_uri(self.options["path"])
+        mine = {n for m in messages if m for n in m.names}
+        for x in system.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if x.base_name.startswith(".") and x.base_name[1:] in mine:
+                system.move(x.path, f"{root}/{x.base_name[1:]}")
+            elif x.base_name.endswith(".gpkg") and (self.overwrite or x.base_name.startswith(".")):
+                system.delete_file(x.path)
+
+    def abort(self, messages):
+        system, root = pafs.FileSystem.from_uri(self.options["path"])
+        for x in system.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if x.base_name.startswith(".") and x.base_name.endswith(".gpkg"):
+                system.delete_file(x.path)
+
+
+class LayerSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "cragline_layer"
+
+    def schema(self):
+        raise ValueError("layers are read by read_layer()")
+
+    def writer(self, schema, overwrite):
+        return LayerWriter(self.options, overwrite)
+
+
+def write_points(rows: DataFrame, path: str, layer: str, x: str = "x", y: str = "y", file_rows: int = 200_000, epsg: int = 32633, mode: str = "overwrite") -> None:
+    """Write rows as GeoPackage files of at most file_rows points of one layer, made by the tasks that hold them.
+
+    Rows without x or y have no geometry; without rows there is no file.
+    """
+    rows.sparkSession.dataSource.register(LayerSource)
+    rest = [c for c in rows.columns if c not in (x, y)]
+    out = rows.select(*rest, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    out.write.format("cragline_layer").options(layer=layer, file_rows=file_rows, epsg=epsg).mode(mode).save(path)
+
+
 def update(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """rows with the columns of changes added, or replaced where the key has a change; a key changes at most once."""
     new = [c for c in changes.columns if c != key]

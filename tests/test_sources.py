@@ -171,3 +171,18 @@ def test_layers_in_one_pass(spark, tmp_path):
     assert sorted(r["k"] for r in sinks.read_layer(back, "every").collect()) == [1, 2, 3, 4]
     empty = sinks.write_layers(df.limit(0), {"small": small}, str(tmp_path / "empty"))
     assert empty == {"small": 0}
+
+
+def test_layers_written_by_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}/l"
+    rows = [(k, f"n{k}" if k % 3 else None, float(k), None if k % 5 == 0 else -float(k)) for k in range(103)]
+    cells = spark.createDataFrame(rows, "ID long, NAME string, x double, y double")
+    layers.write_points(cells.repartition(3), path, "a", file_rows=10)
+    got = layers.read_layer(spark, path + "/*.gpkg", "id long, name string")
+    assert got.select("file").distinct().count() >= 11
+    assert sorted(tuple(r) for r in got.select("id", "layer", "name", "x", "y").collect()) == sorted((k, "a", n, None if y is None else x, y) for k, n, x, y in rows)
+    layers.write_points(cells.filter("ID < 2"), path, "a")
+    assert sorted(r["id"] for r in layers.read_layer(spark, path + "/*.gpkg", "id long").collect()) == [0, 1]
+    assert not [p for p in (tmp_path / "l").iterdir() if p.name.startswith(".") and p.name.endswith(".gpkg")]
+    layers.write_points(cells.filter("ID < 1"), path, "a", mode="append")
+    assert layers.read_layer(spark, path + "/*.gpkg", "id long").count() == 3

@@ -304,6 +304,31 @@ def test_decontamination(spark, odd, empty, block):
     assert decontaminate.scan(odd, bench).count() == 10 and decontaminate.scan(empty, bench).count() == 0 and decontaminate.scan(odd, bench.filter("false")).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [10**6, 2_000])
+def test_decontamination_of_a_sentence_that_many_items_share(spark, block):
+    common = "one two three four five six seven eight nine ten"
+    items = [(f"i{k}", common + (f" own{k}" if k % 2 else "")) for k in range(3_000)]
+    docs = [(k, f"{common} {common} own{k} " * (1 + k % 3)) for k in range(250)] + [(900, "clean text"), (901, None)]
+    got = {r["doc_id"]: r for r in decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id string, text string"), block=block).collect()}
+    every = hashlib.sha256(",".join(sorted(i for i, _ in items)).encode()).hexdigest()
+    for k in range(250):
+        r = got[k]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (21 * (1 + k % 3), (20 + k % 2) * (1 + k % 3), 3_000, every)
+    assert [got[k]["contaminated"] for k in (900, 901)] == [False, False] and got[900]["n_items"] == 0
+
+
+def test_windows_that_items_share_are_looked_up_once(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_counts", lambda _, tokens: np.ones(len(tokens), np.int64))
+    window = np.arange(1, 11, dtype=np.int64)
+    t = decontaminate._table(None, pa.table({"item": [f"i{k}" for k in range(20_000)], "words": pa.array([window] * 20_000, pa.list_(pa.int64()))}))
+    h, d, first = np.tile(window, 500).astype(np.uint64), np.zeros(5_000, np.int64), np.array([0, 5_000])
+    assert len(t["size"]) == 1
+    for most in (1, 7, 1 << 20):
+        begin, win = decontaminate._match(t, h, d, first, most)
+        assert begin.tolist() == list(range(0, 5_000, 10)) and not win.any()
+    assert decontaminate._items(t, np.unique(win)) == sorted(f"i{k}" for k in range(20_000))
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_token_files(spark, odd, empty, planes):
     ids = np.random.default_rng(1).integers(0, 2**32, tokenfile.BLOCK + 77, dtype=np.uint32)

@@ -38,7 +38,7 @@ def test_language(spark, odd, empty):
     by = {r[0]: r for r in got}
     assert len(got) == 10 and by[1][3] == by[2][3] == by[6][3] == "und" and by[4][3] == "de"
     assert langid.identify(empty, langid.fit(empty)).count() == 0
-    assert {r["lang_pred"] for r in langid.identify(odd, ([], np.zeros((1024, 1), np.float32))).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.identify(odd, langid.fit(empty)).collect()} == {"und"}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = queries.op1_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
     assert out.filter("lang_pred = lang").count() >= 0.97 * out.count()
@@ -102,6 +102,37 @@ def test_language_tells_scripts_apart(spark):
     assert got.pop(99) == "und" and all(got[i] == x for i, _, x in rows[:-1])
 
 
+def test_language_does_not_depend_on_the_room_for_entries(spark):
+    rng = random.Random(6)
+    say = {x: ["".join(rng.choice("abcdefghijklmnoßéж") for _ in range(rng.randrange(2, 9))) for _ in range(60)] for x in "uvwxyz"}
+    pure = spark.createDataFrame([(" ".join(rng.choices(say[x], k=400)), x) for x in say], "text string, lang string")
+    rows = [(i, " ".join(rng.choice(say[a if rng.random() < 0.7 else b]) for _ in range(rng.choice([1, 9, 300]))), a) for i in range(60) for a, b in [rng.sample("uvwxyz", 2)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(pure)
+    whole = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    # a single word of the other language names that one, so only long texts must get their main language
+    assert all(whole[i]["lang_pred"] == x and whole[i]["n_langs"] == 2 for i, t, x in rows if t.count(" ") > 100)
+    for entries in (600 * 6, 40 * 6, 1):  # a text or two at a time, long texts in parts of words, a word at a time
+        for r in langid.identify(docs, model, entries=entries).collect():
+            want = whole[r["doc_id"]]
+            assert (r["lang_pred"], r["n_langs"]) == (want["lang_pred"], want["n_langs"]) and abs(r["score"] - want["score"]) < 1e-4
+
+
+def test_a_thousand_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêë"
+    word = lambda k: letters[k % 37] + letters[k // 37 % 37] + letters[(k * 7 + 3) % 37]
+    rows = [(k, " ".join([word(k)] * 6), f"l{k:04d}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.names) == 1000 and len(model.start) == langid.SLOTS + 1 and len(model.value) <= 3000
+    plain = np.full((langid.SLOTS, 3), 0.5)
+    for k in range(3):
+        code = langid._grams(np.frombuffer(rows[k][1].encode(), np.uint8), np.array([0, len(rows[k][1].encode())]))[0]
+        np.add.at(plain[:, k], code, 1)
+    assert np.array_equal(model.rows(np.arange(langid.SLOTS))[:, :3], np.log(plain / plain.sum(0)).astype(np.float32))
+    assert all(r["lang_pred"] == f"l{r['doc_id']:04d}" for r in langid.identify(docs, model).collect())
+
+
 def test_bpe_equals_the_library(spark, odd, empty):
     from tokenizers import Tokenizer
 

@@ -1,4 +1,5 @@
-"""Raster grids as long tables, square tiles and plain GeoTIFF files.
+"""Raster grids as long tables, square tiles and plain GeoTIFF files (read whole, from any store that Spark reads; see tiff.py for
+tiled files in many tasks).
 
 A grid is pix, r, c, z with valid cells only. Tiles are Parquet rows (tr, tc, z array, row by row, null for missing),
 partitioned by tile row, so a window reads the tiles that it touches.
@@ -18,7 +19,8 @@ SIDE = 256
 
 
 def write_tiles(dem: DataFrame, path: str, side: int = SIDE) -> None:
-    """Write dem(r, c, z) as tiles."""
+    """Write dem(r, c, z) as tiles. Of repeated cells the greatest stays; cells without z are missing; no cells, no tiles."""
+    dem = dem.groupBy("r", "c").agg(F.max("z").alias("z"))
     cell = F.struct(((F.col("r") % side) * side + F.col("c") % side).cast("int").alias("k"), F.col("z"))
     rows = dem.groupBy(F.floor(F.col("r") / side).alias("tr"), F.floor(F.col("c") / side).alias("tc")).agg(F.map_from_entries(F.collect_list(cell)).alias("m"))  # one tile's cells at most
     rows.select("tr", "tc", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.try_element_at("m", k)).alias("z")).write.partitionBy("tr").parquet(path)

@@ -104,6 +104,12 @@ def test_tiles(spark, tmp_path):
     assert got == {(r, c): v for (r, c), v in z.items() if 3 <= r < 33 and c < 20}
 
 
+def test_tiles_of_repeated_and_missing_cells(spark, tmp_path):
+    rows = [(0, 0, 1), (0, 0, 7), (0, 0, None), (0, 1, None), (5, 5, 2), (5, 5, 2)]
+    grids.write_tiles(spark.createDataFrame(rows, "r long, c long, z int"), str(tmp_path / "t"), 4)
+    assert sorted((r["r"], r["c"], r["z"]) for r in grids.read_window(spark, str(tmp_path / "t"), 0, 9, 0, 9, 4).collect()) == [(0, 0, 7), (5, 5, 2)]
+
+
 def test_stages(spark, tmp_path):
     ran = []
 

@@ -95,8 +95,10 @@ def _sample(z: np.ndarray, top: int, left: int, row: np.ndarray, col: np.ndarray
     return total, weight, middle
 
 
-def warp(cells: DataFrame, source: Frame, target: Frame, cubic: bool = True, side: int = T.SIDE) -> DataFrame:
-    """r, c, z on target's grid of cells(r, c, z) on source's."""
+def warp(cells: DataFrame, source: Frame, target: Frame, cubic: bool = True, side: int = T.SIDE, extent: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """r, c, z on target's grid of cells(r, c, z) on source's; with an extent (rows from and below, columns from and
+    below), of its new cells only."""
+    r_from, r_to, c_from, c_to = extent or (-(1 << 62), 1 << 62, -(1 << 62), 1 << 62)
     packed = materialize(T.pack(cells.filter(F.col("z").isNotNull()), {"z": "f8"}, side), "source")
 
     def run(batches):
@@ -116,8 +118,11 @@ def warp(cells: DataFrame, source: Frame, target: Frame, cubic: bool = True, sid
         outline_c = np.r_[x, x, np.full(len(y), -2), np.full(len(y), w + 2)] + left
         r, c = between(source, target, outline_r, outline_c)
         more = 3  # a widened kernel's reach, in new cells, beyond the outline
-        cols = np.arange(int(np.floor(c.min())) - more, int(np.ceil(c.max())) + more)
-        for row in np.array_split(np.arange(int(np.floor(r.min())) - more, int(np.ceil(r.max())) + more), max(1, int((r.max() - r.min()) * len(cols)) >> 18)):
+        cols = np.arange(max(c_from, int(np.floor(c.min())) - more), min(c_to, int(np.ceil(c.max())) + more))
+        rows = np.arange(max(r_from, int(np.floor(r.min())) - more), min(r_to, int(np.ceil(r.max())) + more))
+        if not len(rows) or not len(cols):
+            return
+        for row in np.array_split(rows, max(1, len(rows) * len(cols) >> 18)):
             rr, cc = (x.ravel() for x in np.meshgrid(row, cols, indexing="ij"))
             at, across = between(target, source, rr + 0.5, cc + 0.5)
             near = (at > top - 3 * scale[0]) & (at < top + h + 3 * scale[0]) & (across > left - 3 * scale[1]) & (across < left + w + 3 * scale[1])

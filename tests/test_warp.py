@@ -116,3 +116,21 @@ def test_spans_and_clip(spark, reach, dy):
     kept = [(r["r"], r["c"]) for r in cutline.clip(cells, found, 8).collect()]
     assert sorted(kept) == sorted({(r, c) for _, r, c in want if -40 <= r < 40 and -10 <= c < 50})
     assert cutline.clip(cells.limit(0), found).count() == 0 and cutline.clip(cells, found.limit(0)).count() == 0
+
+
+def test_mosaic_keeps_to_its_extent(spark, tmp_path):
+    """Far south the grid in degrees leaves the target's columns."""
+    import duckdb
+
+    from cragline import registry
+
+    rng = random.Random(5)
+    rows = [(r, [rng.randrange(-5000, 5000) / 10000 for _ in range(64)]) for r in [*range(3), *range(1100, 1125)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = set(con.execute(registry.SQL["warped_mosaic"]).fetchall())
+    assert {tuple(r) for r in registry.QUERIES["warped_mosaic"](spark, str(tmp_path)).select("r", "c", "z").collect()} == want
+    assert min(c for r, c, _ in want) == -20
+    whole = warp(spark.createDataFrame([(1110, c, 1.0) for c in range(64)], "r long, c long, z double"), Frame(13.0, 47.5, 0.0006, 0.0004), Frame(349000.0, 5263000.0, 40.0, 40.0, 15.0))
+    assert whole.agg(F.min("c")).first()[0] < -20  # the operator itself has no such border

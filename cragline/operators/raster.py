@@ -206,9 +206,46 @@ def divide_pairs(basins: DataFrame) -> DataFrame:
     return met.groupBy("r", "c").agg(F.first("basin").alias("u"), F.min_by("nb", "ord").alias("v")).select("r", "c", F.col("u").cast("string").alias("u_basin"), F.col("v").cast("string").alias("v_basin"))
 
 
-def disc(points: DataFrame, dem: DataFrame, radius: int) -> DataFrame:
-    """fid, pix, z, d2 of the cells within `radius` cells of points(fid, pr, pc)."""
-    box = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    near = points.select("fid", "pr", "pc", box.alias("dr")).select("*", box.alias("dc")).filter(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= radius * radius)
-    near = near.select("fid", (F.col("pr") + F.col("dr")).alias("r"), (F.col("pc") + F.col("dc")).alias("c"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-    return near.join(dem.select("r", "c", "pix", "z"), ["r", "c"]).select("fid", "pix", "z", "d2")
+def disc_heights(points: DataFrame, dem: DataFrame, radius: int, side: int = tiles.SIDE) -> DataFrame:
+    """fid, low, high, pix, d2, own of the cells within `radius` cells of each of points(fid, pr, pc): least and greatest
+    height, the first cell of the greatest and its squared distance, and the point's own height; none without a cell.
+
+    Cells go to the tiles that can ask for them, places asked for to their own tile, once each; no pair of a point and a
+    cell is ever a row. Unknown heights count as lowest, and not as `low`. Of repeated cells the highest counts (`low`: the lowest).
+    """
+    steps = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if dr * dr + dc * dc <= radius * radius]
+    wide = side + 2 * radius
+    spread = lambda x: F.explode(F.sequence(F.floor((F.col(x) - radius) / side), F.floor((F.col(x) + radius) / side)))
+    sent = dem.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "pix", "z", spread("r").alias("tr")).select("*", spread("c").alias("tc"))
+    asked = points.select(F.col("pr").cast("long").alias("r"), F.col("pc").cast("long").alias("c")).dropna().distinct()
+    asked = asked.select("r", "c", F.floor(F.col("r") / side).alias("tr"), F.floor(F.col("c") / side).alias("tc"))
+    z_kind, pix_kind = (dem.schema[n].dataType.simpleString() for n in ("z", "pix"))
+
+    def run(key, places: pa.Table, cells: pa.Table) -> pa.Table:
+        top, left = key[0].as_py() * side - radius, key[1].as_py() * side - radius
+        z, pix = cells["z"], cells["pix"].to_numpy()
+        known = np.asarray(z.is_valid())
+        order = np.lexsort((-pix, z.fill_null(0).to_numpy(), known))  # the greatest last, the first cell of equal ones
+        at = ((cells["r"].to_numpy() - top) * wide + cells["c"].to_numpy() - left)[order]
+        none = len(order)
+        highest, lowest = np.full(wide * wide, -1), np.full(wide * wide, none)
+        highest[at] = np.arange(none)
+        sure = np.flatnonzero(known[order])[::-1]
+        lowest[at[sure]] = sure
+        here = (places["r"].to_numpy() - top) * wide + places["c"].to_numpy() - left
+        best, least, d2 = np.full(len(here), -1), np.full(len(here), none), np.zeros(len(here), np.int64)
+        for dr, dc in steps:
+            there = highest[here + dr * wide + dc]
+            d2[there > best] = dr * dr + dc * dc
+            best = np.maximum(best, there)
+            least = np.minimum(least, lowest[here + dr * wide + dc])
+        own = highest[here]
+        ok = np.flatnonzero(best >= 0)
+        pick = lambda col, k: col.take(pa.array(np.r_[order, 0][k[ok]], mask=(k[ok] < 0) | (k[ok] == none)))
+        found = {"low": pick(z, least), "high": pick(z, best), "pix": pick(cells["pix"], best), "d2": d2[ok].astype(np.int32), "own": pick(z, own)}
+        return pa.table({"r": places["r"].take(ok), "c": places["c"].take(ok), **found})
+
+    kinds = f"r long, c long, low {z_kind}, high {z_kind}, pix {pix_kind}, d2 int, own {z_kind}"
+    found = asked.groupBy("tr", "tc").cogroup(sent.groupBy("tr", "tc")).applyInArrow(run, kinds)
+    # both sides grow with the grid: their estimated sizes, of packed files, must not have one broadcast
+    return points.join(found.hint("merge"), (F.col("pr") == F.col("r")) & (F.col("pc") == F.col("c"))).select("fid", "low", "high", "pix", "d2", "own")

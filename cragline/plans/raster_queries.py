@@ -86,18 +86,19 @@ _DISC = "d AS (SELECT p.pix AS fid, q.pix, q.z, (p.r - q.r) * (p.r - q.r) + (p.c
 
 @add("disc_zonal_max", with_sql("dem", more=_DISC) + "SELECT fid, max(z) AS z FROM d GROUP BY fid")
 def _(spark, sf):
-    return O.disc(_points(spark, sf), dem(spark, sf), 3).groupBy("fid").agg(F.max("z").alias("z"))
+    return O.disc_heights(_points(spark, sf), dem(spark, sf), 3).groupBy("fid").agg(F.max("high").alias("z"))
 
 
 @add("disc_zonal_min", with_sql("dem", more=_DISC) + "SELECT fid, min(z) AS z FROM d GROUP BY fid")
 def _(spark, sf):
-    return O.disc(_points(spark, sf), dem(spark, sf), 3).groupBy("fid").agg(F.min("z").alias("z"))
+    return O.disc_heights(_points(spark, sf), dem(spark, sf), 3).groupBy("fid").agg(F.min("low").alias("z"))
 
 
 @add("local_max_disc", with_sql("dem", more=_DISC) + "SELECT fid, z, pix, d2, z - own AS dz FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY z DESC, pix) AS k, max(CASE WHEN d2 = 0 THEN z END) OVER (PARTITION BY fid) AS own FROM d) WHERE k = 1")
 def _(spark, sf):
-    best = F.max_by(F.struct("z", "pix", "d2"), F.struct("z", (-F.col("pix")).alias("p")))
-    return O.disc(_points(spark, sf), dem(spark, sf), 3).groupBy("fid").agg(best.alias("b"), F.max(F.when(F.col("d2") == 0, F.col("z"))).alias("own")).select("fid", "b.z", "b.pix", "b.d2", (F.col("b.z") - F.col("own")).alias("dz"))
+    best = F.max_by(F.struct("high", "pix", "d2"), F.struct("high", (-F.col("pix")).alias("p")))
+    found = O.disc_heights(_points(spark, sf), dem(spark, sf), 3).groupBy("fid").agg(best.alias("b"), F.max("own").alias("own"))
+    return found.select("fid", F.col("b.high").alias("z"), "b.pix", "b.d2", (F.col("b.high") - F.col("own")).alias("dz"))
 
 
 @add("basin_divide_pairs", with_sql("dem", more="b AS (SELECT r, c, r // 5 * 100 + c // 7 AS basin FROM dem)") + "SELECT r, c, CAST(u AS VARCHAR) AS u_basin, CAST(v AS VARCHAR) AS v_basin FROM (SELECT a.r, a.c, a.basin AS u, n.basin AS v, row_number() OVER (PARTITION BY a.r, a.c ORDER BY n.r, n.c) AS k FROM b a JOIN b n ON n.r BETWEEN a.r - 1 AND a.r + 1 AND n.c BETWEEN a.c - 1 AND a.c + 1 AND n.basin <> a.basin) WHERE k = 1")

@@ -152,6 +152,32 @@ def test_discs_around_all_cells(spark, tall):
     assert {r["fid"]: (r["z"], r["pix"], r["d2"], r["dz"]) for r in collect(spark, "local_max_disc", folder)} == want
 
 
+@pytest.mark.parametrize("name", ["disc_zonal_max", "disc_zonal_min", "local_max_disc"])
+def test_discs_broadcast_no_grid(spark, tall, name):
+    """The grid's packed file is far smaller than its cells; no side of a join may go through the driver for it."""
+    df = registry.QUERIES[name](spark, tall[0])
+    df.collect()
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_discs_over_tiles(spark):
+    """Points on the grid and beside it, gaps, unknown heights and ties, on tiles smaller than the grid."""
+    rng = random.Random(3)
+    z = {(r, c): rng.choice([None, *range(4)]) for r in range(-3, 18) for c in range(13) if rng.random() < 0.6}
+    dem = spark.createDataFrame([(r * 100 + c, r, c, v) for (r, c), v in z.items()], "pix long, r long, c long, z int")
+    at = {k: (rng.randrange(-9, 24), rng.randrange(-6, 19)) for k in range(300)}
+    points = spark.createDataFrame([(k, *p) for k, p in at.items()], "fid long, pr long, pc long")
+    want = {}
+    for k, (r, c) in at.items():
+        d = [((-1 if v is None else v), -(i * 100 + j), (i - r) ** 2 + (j - c) ** 2, v) for (i, j), v in z.items() if (i - r) ** 2 + (j - c) ** 2 <= 4]
+        if d:
+            _, p, d2, v = max(d, key=lambda x: x[:2])
+            want[k] = (min((x[3] for x in d if x[3] is not None), default=None), v, -p, d2, z.get((r, c)))
+    for side in (4, 256):
+        got = {r["fid"]: tuple(r)[1:] for r in raster.disc_heights(points, dem, 2, side).collect()}
+        assert got == want and 0 < len(want) < 300
+
+
 def test_box_of_all_peaks(spark):
     sf = "/root/testdata/sf0.001"
     peaks = [((k * 7919) % 20011, (k * 10007) % 20021) for (k,) in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]

@@ -89,3 +89,41 @@ def test_nearest_higher(spark, radii):
         want[fid] = min(found)[1:] if found else (None, None)
     assert {r["fid"]: (r["d2"], r["target"]) for r in spatial.nearest_higher(df, radii).collect()} == want
     assert spatial.nearest_higher(df.limit(0), radii).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["even", "grid", "clusters", "line", "far"])
+def test_around_counts_and_names_the_nearest(spark, kind, monkeypatch):
+    """Numbers within a radius, circles' edges and equal places among them, and the nearest, in parts too."""
+    from cragline.operators import spatial
+
+    rng = random.Random(kind)
+    at = {
+        "even": lambda: (rng.uniform(-40, 40), rng.uniform(-40, 40)),
+        "grid": lambda: (rng.randrange(-12, 12), rng.randrange(-12, 12)),
+        "clusters": lambda: (rng.choice([0, 5, 31]) + rng.gauss(0, 0.01), rng.choice([0, 4]) + rng.gauss(0, 0.01)),
+        "line": lambda: (rng.randrange(60), 7),
+        "far": lambda: (rng.randrange(1_000_000_000, 1_000_000_030), -rng.randrange(20)),
+    }[kind]
+    asks, goals = [(k, *at()) for k in range(150)], [(1000 - k, *at()) for k in range(260)]
+    a = spark.createDataFrame([(k, float(x), float(y)) for k, x, y in asks] + [(999, None, 1.0)], "fid long, x double, y double")
+    b = spark.createDataFrame([(k, float(x), float(y)) for k, x, y in goals] + [(5, 0.0, None)], "bid long, qx double, qy double")
+    want = {}
+    for k, x, y in asks:
+        met = [((x - p) ** 2 + (y - q) ** 2, i) for i, p, q in goals if (x - p) ** 2 + (y - q) ** 2 <= 25]
+        if met:
+            want[k] = (len(met), *min(met))
+    for most in (1 << 20, 40):
+        monkeypatch.setattr(spatial, "MOST", most)
+        assert {r["fid"]: (r["n"], r["d2"], r["bid"]) for r in spatial.around(a, b, 5).collect()} == want and len(want) > 20
+    monkeypatch.setattr(spatial, "BLOCK", 7)
+    assert {r["fid"]: (r["d2"], r["bid"]) for r in spatial.around(a, b, 5, False).collect()} == {k: v[1:] for k, v in want.items()}
+    assert spatial.around(a, b.filter("false"), 5).count() == 0
+
+
+def test_near_raw_makes_no_pairs(spark):
+    """No side of the search is broadcast or copied to nine cells, and no pair is a row: it goes by numbers."""
+    from cragline import registry
+
+    df = registry.QUERIES["near_raw"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "d2" in plan and "Join Inner" not in plan

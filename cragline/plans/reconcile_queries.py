@@ -249,8 +249,9 @@ def _(spark, sf):
 def _(spark, sf):
     """The first row whose disc meets each row's disc, its own before others."""
     p = view(spark, sf, "peaks").select("fid", "x", "y")
-    met = S.near(p, p.select(_C("fid").alias("bid"), _C("x").alias("qx"), _C("y").alias("qy")), 300)
-    return met.groupBy("fid").agg(F.min(F.struct(_C("bid") != _C("fid"), "d2", "bid")).alias("b"), F.count("*").alias("n")).select("fid", _C("b.bid").alias("hit"), "n")
+    met = S.around(p, p.select(_C("fid").alias("bid"), _C("x").alias("qx"), _C("y").alias("qy")), 300)
+    # a row's disc meets itself, which comes before all others
+    return met.select("fid", _C("fid").alias("hit"), "n")
 
 
 @add("identity_attach", with_sql("peaks", more="m AS (SELECT p.fid, q.fid AS hit, row_number() OVER (PARTITION BY p.fid ORDER BY pow(p.x - q.x - q.fid % 7, 2) + pow(p.y - q.y, 2), q.fid DESC) AS k FROM peaks p JOIN peaks q ON pow(p.x - q.x - q.fid % 7, 2) + pow(p.y - q.y, 2) <= 25)") + "SELECT fid, hit FROM m WHERE k = 1")

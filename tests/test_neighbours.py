@@ -147,7 +147,7 @@ def joined(df):
     return rows, most
 
 
-@pytest.mark.parametrize("name", ["keycol_export"])
+@pytest.mark.parametrize("name", ["keycol_export", "disc_intersects_first"])
 def test_one_crowded_place_makes_no_pairs(spark, tmp_path, name):
     """All rows of both layers at a few places: the results of SQL, and no join as large as their pairs."""
     import duckdb

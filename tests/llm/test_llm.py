@@ -394,6 +394,34 @@ def test_token_files_equal_the_library(spark, odd, name, table):
             assert back[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
+def test_token_files_give_the_library_every_whole_text(monkeypatch):
+    import tokenizers
+
+    real, seen = tokenizers.Tokenizer, []
+
+    class Seen:
+        def __init__(self, tok):
+            self.tok = tok
+
+        @classmethod
+        def from_str(cls, spec):
+            return cls(real.from_str(spec))
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return self.tok.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Seen)
+    texts = ["The cat. The cat.", None, "", "the  cat.\nThe cat", "The cat. The cat."] * tokenfile.CALL
+    ids, offs = tokenfile.Library(bpe.load_spec(WORD)).encode(pa.array(texts))
+    assert seen == [t or "" for t in texts]
+    tok = real.from_file(WORD)
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(12, 16))

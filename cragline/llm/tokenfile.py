@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -78,13 +79,14 @@ class Library:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and offsets; a call holds few texts, since the library keeps much a token."""
-        flat_ids, sizes = [], []
+        flat_ids, sizes = array("I"), []
         for k in range(0, len(texts), CALL):
             part = [t or "" for t in texts.slice(k, CALL).to_pylist()]
             for e in self.tok.encode_batch_fast(part, add_special_tokens=False):
-                flat_ids.append(np.array(e.ids, np.uint32))
-                sizes.append(len(flat_ids[-1]))
-        return np.concatenate([np.zeros(0, np.uint32), *flat_ids]), np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+                ids = e.ids  # makes a new list
+                flat_ids.fromlist(ids)  # numpy takes seven times as long over a list
+                sizes.append(len(ids))
+        return np.asarray(flat_ids, np.uint32), np.r_[0, np.cumsum(sizes, dtype=np.int64)]
 
 
 def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1, planes: str = "byte") -> str:
